@@ -33,8 +33,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """``sizes`` (source, source_size) with target. Sources weigh ``weights`` in
     turn, by code point, null last; they share ``share`` of all sizes, none
     above ``most`` times its own. Ordered by that limit over the weight, the
-    sources that reach it come first, so one running sum finds the level of the
-    rest. Works on one row per source."""
+    sources that reach it come first; the level (size per weight) is that of the
+    first source below its limit, and falls again after it. Works on one row per
+    source."""
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
     weighed = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("double")).withColumn("limit", F.col("source_size") * F.lit(float(most)))
@@ -42,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     whole = Window.partitionBy()
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     level = weighed.withColumn("level", (F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    level = level.withColumn("level", F.min(F.when(F.col("limit") / F.col("w") > F.col("level"), F.col("level"))).over(whole))
+    level = level.withColumn("level", F.max(F.when(F.col("limit") / F.col("w") > F.col("level"), F.col("level"))).over(whole))
     return level.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("w"), F.col("limit"))).alias("target"))
 
 

@@ -29,7 +29,7 @@ SQL = {
         l as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0))
                 / (sum(w) over () - coalesce(sum(w) over (o rows between unbounded preceding and 1 preceding), 0)) as lev
               from w window o as (order by cap / w, source is null, source)),
-        m as (select *, min(case when cap / w > lev then lev end) over () as level from l),
+        m as (select *, max(case when cap / w > lev then lev end) over () as level from l),
         t as (select source, source_size, least(cap, coalesce(level * w, cap)) as target from m),
         e as (select *, coalesce(floor(target / source_size), 0)::int as epochs from t),
         r as (select *, target - epochs * source_size as rest from e),

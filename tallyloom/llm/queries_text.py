@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
 from .common import table
+from .html_text import extract
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe}
+QUERIES = {"op1_main_text": op1_main_text, "op5_byte_bpe": op5_byte_bpe}
 SQL: dict[str, str] = {}

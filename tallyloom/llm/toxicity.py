@@ -22,10 +22,10 @@ from .learning import labelled_sample, mixed, word_hashes
 
 BITS = 20
 #: The training sample has at most so many labelled rows, dealt to shards of about SHARD rows.
-TRAIN_ROWS, SHARD = 24_000, 6_000
-ALPHA, BETA, L2, EPOCHS = 1.0, 1.0, 1.0, 3
+TRAIN_ROWS, SHARD = 32_000, 16_000
+ALPHA, BETA, L2, EPOCHS = 1.0, 1.0, 1.0, 4
 #: The L1 term grows with the examples of a shard between these bounds: one for every so many.
-L1_BOUNDS, L1_ROWS = (1.0, 4.0), 2_000
+L1_BOUNDS, L1_ROWS = (1.0, 4.0), 3_000
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
