@@ -57,6 +57,7 @@ def forget(df: DataFrame) -> None:
         if any(at.rpartition("/")[2] in f for f in files):
             remove(spark, at)
             _WRITTEN.remove((spark, at))
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffles that led to it
 
 
 @atexit.register

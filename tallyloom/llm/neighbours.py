@@ -5,7 +5,9 @@ every node with its neighbours' vectors (those it points to and the nearest that
 point to it), compares them with each other and keeps each one's nearest.
 Queries walk the graph: the nearest unexpanded nodes of each query's list are
 joined with the graph until no list changes. Equal vectors are one node, so a
-vector that very many rows share costs as much as any other.
+vector that very many rows share costs as much as any other. What the rounds
+and walks move are half-precision copies, scaled to the largest component; the
+distances returned come from the original vectors.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import forget, written
 
-DEGREE, BACK, PASSED_ON = 16, 16, 5
+DEGREE, BACK, PASSED_ON = 32, 32, 5
 TREES, LEAF, SEED = 4, 256, 7
 ROUNDS, ENOUGH = 6, 0.002
-BEAM, STEPS = 48, 12
+BEAM, STEPS = 64, 16
 _EDGES = "u long, c long, d double"
 _PIECE = 256
 
@@ -40,10 +42,23 @@ def taking_part(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.join(F.broadcast(size.select("n")), F.size("v") == F.col("n")).drop("n")
 
 
+def halved(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and v of ``rows`` with h, the vector as half-precision bytes."""
+    largest = rows.agg(F.max(F.expr("array_max(transform(v, x -> abs(x)))"))).first()[0] or 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            x = (v.flatten().to_numpy() / largest).astype(np.float16).reshape(len(v), -1)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], v, pa.array([r.tobytes() for r in x], pa.binary())], [*keep, "v", "h"])
+
+    return rows.select(*keep, "v").mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", v array<double>, h binary")
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32).reshape(len(column), -1)
 
 
 def _edges(u: np.ndarray, c: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
@@ -65,20 +80,25 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
 def first_graph(nodes: DataFrame, rows: int, k: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """u, c, d: near pairs from leaves of random-projection trees. A leaf of many
     nodes is dealt to chunks of about ``leaf``, so every task is bounded."""
-    size = nodes.select(F.size("v")).first()[0]
-    middle = np.array(nodes.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").toPandas()["m"])
+    size = len(nodes.select("h").first()[0]) // 2
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(_matrix(batch.column("h")).sum(0, np.float64))], ["i", "x"])
+
+    middle = np.array(nodes.select("h").mapInArrow(add, "i int, x double").groupBy("i").agg((F.sum("x") / rows).alias("m")).orderBy("i").toPandas()["m"])
     depth = max(0, math.ceil(math.log2(max(1, rows / leaf))))
     planes = np.random.default_rng(SEED).standard_normal((trees, depth, size))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            side = np.einsum("tds,ns->ntd", planes, _matrix(batch.column("v")) - middle) > 0
+            side = np.einsum("tds,ns->ntd", planes, _matrix(batch.column("h")) - middle) > 0
             code = (side * (1 << np.arange(depth, dtype=np.int64))).sum(2) if depth else np.zeros((batch.num_rows, trees), np.int64)
             for t in range(trees):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t)), pa.array(code[:, t]), batch.column("id"), batch.column("v")], ["tree", "leaf", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t)), pa.array(code[:, t]), batch.column("id"), batch.column("h")], ["tree", "leaf", "id", "h"])
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, x = table.column("id").to_numpy(), _matrix(table.column("v"))
+        ids, x = table.column("id").to_numpy(), _matrix(table.column("h"))
         out = []
         for i in range(0, len(ids), _PIECE):  # rows of the distance matrix, not all at once
             part = x[i : i + _PIECE]
@@ -91,14 +111,14 @@ def first_graph(nodes: DataFrame, rows: int, k: int, trees: int = TREES, leaf: i
             out.append(_edges(np.repeat(ids[i : i + len(part)], m), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([_edges(*[np.zeros(0)] * 3)])
 
-    dealt = nodes.mapInArrow(deal, "tree long, leaf long, id long, v array<float>")
+    dealt = nodes.mapInArrow(deal, "tree long, leaf long, id long, h binary")
     chunks = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("id") / leaf).alias("chunks"))
     salted = dealt.join(chunks, ["tree", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("id", "tree"), F.col("chunks")))
-    return salted.select("tree", "leaf", "chunk", "id", "v").groupBy("tree", "leaf", "chunk").applyInArrow(compare, _EDGES)
+    return salted.select("tree", "leaf", "chunk", "id", "h").groupBy("tree", "leaf", "chunk").applyInArrow(compare, _EDGES)
 
 
 def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, m, v) sorted by hub: for every member of a hub's list its nearest others in the list."""
+    """Rows (hub, m, h) sorted by hub: for every member of a hub's list its nearest others in the list."""
 
     def compare(hub: np.ndarray, m: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(np.concatenate(([True], hub[1:] != hub[:-1])))
@@ -123,7 +143,7 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rest = None
     for batch in batches:
-        hub, m, x = batch.column("hub").to_numpy(), batch.column("m").to_numpy(), _matrix(batch.column("v"))
+        hub, m, x = batch.column("hub").to_numpy(), batch.column("m").to_numpy(), _matrix(batch.column("h"))
         if rest is not None:
             hub, m, x = np.concatenate((rest[0], hub)), np.concatenate((rest[1], m)), np.concatenate((rest[2], x))
         if not len(hub):
@@ -140,13 +160,13 @@ def descend(nodes: DataFrame, graph: DataFrame, k: int = DEGREE, back: int = BAC
     closest = Window.partitionBy("hub").orderBy("d", "m")
     reverse = graph.selectExpr("c as hub", "u as m", "d").withColumn("r", F.row_number().over(closest)).where(F.col("r") <= back).select("hub", "m")
     lists = graph.selectExpr("u as hub", "c as m").union(reverse).distinct()
-    rows = lists.join(nodes, lists["m"] == nodes["id"]).select("hub", "m", "v").repartition("hub").sortWithinPartitions("hub")
+    rows = lists.join(nodes, lists["m"] == nodes["id"]).select("hub", "m", "h").repartition("hub").sortWithinPartitions("hub")
     return nearest(rows.mapInArrow(_local_join, _EDGES).union(graph.select("u", "c", "d")), k)
 
 
 def build(nodes: DataFrame, k: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph u, c, d (squared distance) of ``nodes`` (id, v
-    array<float>, all distinct), each round written to the shared folder. Ends
+    """The neighbour graph u, c, d (squared distance) of ``nodes`` (id, h:
+    half-precision bytes; vectors distinct), each round written to the shared folder. Ends
     when a round shortens the distances by less than ``ENOUGH`` in all."""
     rows = nodes.count()
     graph = written(nearest(first_graph(nodes, rows, k), k), "graph")
@@ -161,32 +181,34 @@ def build(nodes: DataFrame, k: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
     return graph
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)")
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = _matrix(batch.column("h")) - _matrix(batch.column("qh"))
+        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array((x * x).sum(1, dtype=np.float64))], ["query", "node", "d"])
 
 
 def walk(starts: DataFrame, graph: DataFrame, vectors: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
-    """query, node, d: for each row of ``starts`` (query, qv, node: an entry
+    """query, node: for each row of ``starts`` (query, qh, node: an entry
     point) the ``beam`` nearest nodes that a greedy walk finds. ``graph`` is
-    walked both ways; ``vectors``: id, v. A query ends when all of its list is expanded."""
+    walked both ways; ``vectors``: id, h. A query ends when all of its list is expanded."""
     back = graph.selectExpr("c as u", "u as c", "d").withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("d", "c"))).where(F.col("r") <= BACK).select("u", "c")
     steps_from = written(graph.select("u", "c").union(back).distinct(), "steps")
-    queries = starts.select("query", "qv").distinct()
+    queries = starts.select("query", "qh").distinct()
     best = Window.partitionBy("query").orderBy("d", "node")
-    now = starts.join(vectors, starts["node"] == vectors["id"]).select("query", "node", _distance("qv", "v").alias("d"), F.lit(False).alias("done"))
-    now = written(now, "beam")
+    now = starts.join(vectors, starts["node"] == vectors["id"]).select("query", "node", "h", "qh")
+    now = written(now.mapInArrow(_distances, "query long, node long, d double").withColumn("done", F.lit(False)), "beam")
     for _ in range(steps):
         fresh = now.where("not done")
         if fresh.isEmpty():
             break
         found = fresh.join(steps_from, fresh["node"] == steps_from["u"]).select("query", F.col("c").alias("node")).distinct()
         found = found.join(now.select("query", "node"), ["query", "node"], "left_anti")
-        scored = found.join(vectors, found["node"] == vectors["id"]).join(queries, "query").select("query", "node", _distance("qv", "v").alias("d"), F.lit(False).alias("done"))
-        merged = now.withColumn("done", F.lit(True)).union(scored)
+        scored = found.join(vectors, found["node"] == vectors["id"]).join(queries, "query").select("query", "node", "h", "qh").mapInArrow(_distances, "query long, node long, d double")
+        merged = now.withColumn("done", F.lit(True)).union(scored.withColumn("done", F.lit(False)))
         following = written(merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"), "beam")
         forget(now)
         now = following
-    return now.select("query", "node", "d")
+    return now.select("query", "node")
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = 10, beam: int = BEAM) -> DataFrame:
@@ -198,18 +220,18 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, beam: int = BEA
     Rows that repeat a vec_id are candidates like any other.
     """
     rows = written(taking_part(embeddings), "vectors")
-    grouped = rows.groupBy("v").agg(F.min("vec_id").alias("id"))
-    nodes = written(grouped.select("id", "v", F.transform("v", lambda x: x.cast("float")).alias("narrow")), "nodes")
+    nodes = written(halved(rows.groupBy("v").agg(F.min("vec_id").alias("id")), ["id"]), "nodes")
     if nodes.isEmpty():
         return rows.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "0D as score")
-    graph = build(nodes.select("id", F.col("narrow").alias("v")))
+    graph = build(nodes.select("id", "h"))
     key = F.xxhash64("v")  # of its own, so that a vector of many rows can be split
-    named = rows.withColumn("key", key).join(nodes.select("id", "v").withColumn("key", key), ["key", "v"]).select("vec_id", F.col("id").alias("node"), "v")
-    queries = named.where(is_query).select(F.col("vec_id").alias("query"), F.col("v").alias("qv"), "node").dropDuplicates(["query"])
-    queries = written(queries, "queries")
-    found = walk(queries, graph, nodes.select("id", "v"), beam)
+    named = rows.withColumn("key", key).join(nodes.withColumn("key", key), ["key", "v"]).select("vec_id", F.col("id").alias("node"), "v", "h")
+    queries = written(named.where(is_query).select(F.col("vec_id").alias("query"), F.col("v").alias("qv"), F.col("h").alias("qh"), "node").dropDuplicates(["query"]), "queries")
+    found = walk(queries.drop("qv"), graph, nodes.select("id", "h"), beam)
+    exact = F.expr("sqrt(aggregate(zip_with(qv, v, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")
+    found = found.join(nodes.select(F.col("id").alias("node"), "v"), "node").join(queries.select("query", "qv"), "query").select("query", "node", exact.alias("d"))
     # Of equal vectors no more than k + 1 rows, the smallest, can be among the k nearest others.
     members = named.select("node", F.col("vec_id")).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1).drop("r")
     order = Window.partitionBy("query").orderBy("d", "vec_id")
     ranked = found.join(members, "node").where("vec_id <> query").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), "rank", "vec_id", F.sqrt("d").alias("score"))
+    return ranked.select(F.col("query").alias("query_id"), "rank", "vec_id", F.col("d").alias("score"))
