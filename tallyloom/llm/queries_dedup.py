@@ -8,6 +8,11 @@ from .common import LOWER, UPPER, table
 from .exact_dedup import exact_groups
 from .line_dedup import drop_repeated_lines
 from .simhash import simhash_groups
+from .suffix_dedup import cut_repeats
+
+
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op4_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +27,7 @@ def op10_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_chunk_recipes": op4_chunk_recipes, "op6_line_windows": op6_line_windows, "op10_simhash_variants": op10_simhash_variants}
+QUERIES = {"op3_suffix_repeats": op3_suffix_repeats, "op4_chunk_recipes": op4_chunk_recipes, "op6_line_windows": op6_line_windows, "op10_simhash_variants": op10_simhash_variants}
 SQL = {
     "op4_chunk_recipes": f"""
         with t as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as s from documents)
