@@ -72,7 +72,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     goal = targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most)
     along = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bin_rows = sums.withColumn("before", F.coalesce(F.sum("bin_size").over(along), F.lit(0))).join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "bin_size")
-    bin_rows = bin_rows.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("int")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    bin_rows = bin_rows.withColumn("epochs", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     b = bin_rows.select(F.col("source").alias("of"), F.col("bin").alias("in_bin"), "source_size", "target", "before", "epochs", "rest")
     joined = drawn.join(b, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("in_bin")))
     inside = Window.partitionBy("of", "in_bin").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -38,7 +38,7 @@ def test_targets_equal_repeated_sharing(spark, seed):
 def rows(n=400, seed=1):
     r = random.Random(seed)
     out = [(i, " ".join("w" * r.randint(1, 5) for _ in range(r.randint(0, 60))), "hot" if i % 3 == 0 else r.choice(["a", "b", None]), "clash", 0) for i in range(n)]
-    return [*out, (n, None, "a", "clash", 0), (n + 1, "", None, "clash", 0)]
+    return [*out, (n, None, "a", "clash", 0), (n + 1, "", "wordless", "clash", 0)]
 
 
 def test_taken_words_come_near_the_target(spark):
