@@ -29,7 +29,7 @@ _DIGITS = Context(prec=28, rounding=ROUND_HALF_EVEN)
 def number_text(x: Decimal) -> str:
     """Plain notation without trailing zeros, after rounding to 28 digits. An
     integer that needs more digits is an error."""
-    x = _DIGITS.plus(x)
+    x = _DIGITS.create_decimal(x)
     if not x.is_finite():
         raise InvalidOperation
     text = f"{x:f}"

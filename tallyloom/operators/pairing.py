@@ -83,8 +83,9 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
         return counts.withColumn(f"{c}_rank", before + (F.col("m_") + 1) / 2).drop("m_")
 
     both = rows.join(ranks(x), F.col(x).eqNullSafe(F.col(f"{x}_v"))).join(ranks(y), F.col(y).eqNullSafe(F.col(f"{y}_v")))
-    rho = F.corr(F.col(f"{x}_rank").cast("double"), F.col(f"{y}_rank").cast("double"))
-    return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(rho, F.lit(0.0)), F.lit(0.0)).alias("rho"))
+    a, b = F.col(f"{x}_rank").cast("double"), F.col(f"{y}_rank").cast("double")
+    sums = both.agg(F.count(F.lit(1)).alias("n"), F.covar_pop(a, b).alias("c_"), (F.stddev_pop(a) * F.stddev_pop(b)).alias("s_"))
+    return sums.select("n", F.when(F.col("s_") > 0, F.col("c_") / F.col("s_")).otherwise(0.0).alias("rho"))
 
 
 def headroom(treated: Column, control: Column) -> Column:
