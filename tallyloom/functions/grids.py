@@ -17,7 +17,7 @@ def from_vector(v: Column, width: int) -> Column:
 
 def valid(g: Column) -> Column:
     """Not empty, rectangular, colours 0 to 9, no side over 30."""
-    width = F.size(g[0])
+    width = F.size(F.get(g, F.lit(0)))
     whole = F.forall(g, lambda r: (F.size(r) == width) & F.forall(r, lambda c: c.isNotNull() & c.between(0, 9)))
     return F.coalesce((F.size(g) > 0) & (width > 0) & (F.size(g) <= LARGEST) & (width <= LARGEST) & whole, F.lit(False))
 
@@ -29,14 +29,14 @@ def text(g: Column) -> Column:
 
 def from_text(t: Column) -> Column:
     """The inverse; blank lines are skipped, null unless all are digits."""
-    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
-    cells = F.transform(lines, lambda x: F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: c.cast("int")))
-    return F.when(F.forall(lines, lambda x: x.rlike("^[0-9]+$")) & (F.size(lines) > 0), cells)
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    digits = F.transform(lines, lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substr(x, i, F.lit(1)).try_cast("int")))
+    return F.when(F.forall(lines, lambda x: x.rlike("^[0-9]+$")) & (F.size(lines) > 0), digits)
 
 
 def turned(g: Column) -> Column:
     """A quarter turn clockwise."""
-    return F.transform(F.sequence(F.lit(0), F.size(g[0]) - 1), lambda c: F.transform(F.reverse(g), lambda r: r[c]))
+    return F.transform(F.sequence(F.lit(0), F.size(F.get(g, F.lit(0))) - 1), lambda c: F.transform(F.reverse(g), lambda r: r[c]))
 
 
 def mirrored(g: Column) -> Column:
