@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     ``forget``."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression="zstd")
     _WRITTEN.append((spark, at))
     return spark.read.schema(df.schema).parquet(at)
 

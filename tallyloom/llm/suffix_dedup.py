@@ -220,9 +220,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     again = found.groupBy("h").count().where("count > 1").select("h")
     key = F.xxhash64("h")  # of its own, so that a gram of very many places can be split
     places = found.withColumn("k", key).join(again.withColumn("k", key), ["k", "h"]).groupBy("doc_id").agg(F.collect_list(F.struct("p", "h", "most", "least")).alias("found"))
+    places = written(places, "places")
+    forget(found)
     around = docs.join(places, "doc_id").mapInArrow(_surroundings(length), "key binary, h long, most int, least int, before binary, after binary, doc_id long, p long")
     around = written(around, "around")
-    forget(found)
+    forget(places)
     distinct = around.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("h", "most", "least", "before", "after")])
     distinct = written(distinct, "distinct")
     crowd = distinct.groupBy("h").count().where(F.col("count") > crowded).select("h")
