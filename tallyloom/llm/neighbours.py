@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from .common import forget, written
 
 DEGREE, BACK, PASSED_ON = 32, 32, 5
-TREES, LEAF, SEED = 4, 256, 7
-ROUNDS, ENOUGH = 6, 0.002
-BEAM, STEPS = 64, 16
+TREES, LEAF, SEED = 8, 1024, 7
+#: How many of its leaf's nodes each node starts with, per tree.
+FROM_LEAF = 16
+ROUNDS, ENOUGH = 6, 0.001
+BEAM, STEPS = 160, 16
 _EDGES = "u long, c long, d double"
 _PIECE = 256
 
@@ -77,7 +79,7 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
     return edges.repartition("u").groupBy("u", "c").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def first_graph(nodes: DataFrame, rows: int, k: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def first_graph(nodes: DataFrame, rows: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """u, c, d: near pairs from leaves of random-projection trees. A leaf of many
     nodes is dealt to chunks of about ``leaf``, so every task is bounded."""
     size = len(nodes.select("h").first()[0]) // 2
@@ -104,7 +106,7 @@ def first_graph(nodes: DataFrame, rows: int, k: int, trees: int = TREES, leaf: i
             part = x[i : i + _PIECE]
             d = np.maximum((part * part).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * part @ x.T, 0)
             d[np.arange(len(part)), np.arange(i, i + len(part))] = np.inf
-            m = min(k, len(ids) - 1)
+            m = min(FROM_LEAF, len(ids) - 1)
             if m < 1:
                 break
             near = np.argpartition(d, m - 1, axis=1)[:, :m]
@@ -169,7 +171,7 @@ def build(nodes: DataFrame, k: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
     half-precision bytes; vectors distinct), each round written to the shared folder. Ends
     when a round shortens the distances by less than ``ENOUGH`` in all."""
     rows = nodes.count()
-    graph = written(nearest(first_graph(nodes, rows, k), k), "graph")
+    graph = written(nearest(first_graph(nodes, rows), k), "graph")
     total = graph.agg(F.sum("d")).first()[0]
     for _ in range(rounds):
         following = written(descend(nodes, graph, k), "graph")
