@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grids
-from ..operators import search, votes
+from ..operators import generate, search, votes
 from ..tables import table
 
 QUERIES, SQL = {}, {}
@@ -129,3 +129,10 @@ def bounded_paths_depth2(spark, d):
     x = search.expansions(_steps(spark, d), ["vec_id", "step"], 4.2)
     p = search.bounded_paths(x, ["vec_id"], 4.2, 2)
     return p.groupBy("vec_id", F.size("path").alias("depth")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("nll"), 6).alias("best"))
+
+
+@query()
+def schema_generate(spark, d):
+    """Records of twenty seeds; their invariants are tested."""
+    seeds = spark.range(1, 21).withColumnRenamed("id", "seed")
+    return generate.records(seeds, 10, 5, "diverse").select("seed", "index", "split", F.length("text").alias("chars"), "target")
