@@ -38,6 +38,8 @@ _UNWANTED = set(
     "breadcrumb breadcrumbs sidebar sidebars aside footer foot comment comments commentlist reply replies respond disqus discussion "
     "related recommended recommendations pagination pager widget widgets masthead toolbar search topbar skip hidden header".split()
 )
+_HOLDERS = set("article body content main wrap wrapper container layout page entry".split())
+_ALWAYS = set("ad ads advert adverts advertisement comment comments commentlist reply replies disqus cookie cookies consent menu nav navbar navigation".split())
 _ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -133,6 +135,10 @@ class _Page:
                 if key in ("class", "id"):
                     words = set(re.split(r"[^a-z0-9]+", value))
                     unwanted = words & _UNWANTED
+                    if words & {"open", "closed"}:  # a state of the article, not the comments themselves
+                        unwanted -= {"comment", "comments"}
+                    if words & _HOLDERS and not unwanted & _ALWAYS:  # such as content-sidebar-wrap
+                        unwanted = set()
                     if inside and words & {"header"}:
                         unwanted -= {"header"}
                     if tag not in _NEVER or tag == "article" and unwanted & {"comment", "comments", "reply", "related", "promo", "ad"}:

@@ -52,6 +52,7 @@ LONG = "A sentence of the article, with commas, and enough characters to count a
 PAGES = {
     "article": (f"<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{LONG}<p>Short &amp; last.</article><footer>{LONG}</footer>", f"Title\n\n{LONG}\n\nShort & last."),
     "soup": (f"<body class='has-sidebar'><div id=cookie-banner>{LONG}</div><div class=menu><a href=1>a</a> <a href=2>b</a></div><div class=content><h2>Head</h2><div>{LONG}</div><p>{LONG}</p><ul><li>One<li>Two</ul><pre>a   b</pre></div><div class='sidebar'><p>{LONG}</p></div><div id=comments><p>{LONG}</p><p>{LONG}</p></div><form><p>{LONG}</p></form></body>", f"Head\n\n{LONG}\n\n{LONG}\n\nOne\n\nTwo\n\na b"),
+    "states": (f"<div class='content-sidebar-wrap'><div class='post comments-open'><p>{LONG}</p></div><ul class=commentlist><li class=comment><div class=comment-content><p>{LONG}</p></div></ul></div>", LONG),
     "scripts": (f"<body><script>var x='</p><p>{LONG}';</script><style>p{{}}</style><!-- <p>{LONG}</p> --><main><p>{LONG}</p><noscript>{LONG}</noscript></main></body>", LONG),
     "inline": (f"<article><p>{LONG} <b>bo</b>ld<br>next&nbsp;line</p></article>", f"{LONG} bold next line"),
     "short": ("<body><div class=ad>Buy</div><article><p>Tiny.</p></article></body>", "Tiny."),
