@@ -22,7 +22,7 @@ from .learning import labelled_sample, mixed, word_hashes
 
 BITS = 20
 #: The training sample has at most so many labelled rows, dealt to shards of about SHARD rows.
-TRAIN_ROWS, SHARD = 32_000, 16_000
+TRAIN_ROWS, SHARD = 24_000, 12_000
 ALPHA, BETA, L2, EPOCHS = 1.0, 1.0, 1.0, 4
 #: The L1 term grows with the examples of a shard between these bounds: one for every so many.
 L1_BOUNDS, L1_ROWS = (1.0, 4.0), 3_000
@@ -91,7 +91,7 @@ def train(sample: DataFrame, shard_rows: int = SHARD) -> DataFrame:
     label): each shard trains alone in an order fixed by a hash of doc_id, and
     the shards' weights are averaged. A sample of one label gives its bias."""
     rows = sample.count()
-    shards = max(1, math.ceil(rows / shard_rows))
+    shards = max(1, round(rows / shard_rows))
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "doc_id"])[["text", "label"]]
