@@ -40,10 +40,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _spans_hashed(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """For each of ``ends`` the hashes of the byte spans that begin at ``starts``:
+    prefix sums of a polynomial give all of them at once."""
+    n = len(data)
+    if len(_POWERS[0]) <= n:
+        for i, base in enumerate((_ODD, _INVERSE)):
+            p = np.full(n + (1 << 16), base, np.uint64)
+            p[0] = 1
+            _POWERS[i] = np.cumprod(p)
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER[data] + np.uint64(1)) * _POWERS[0][:n])))
+    return [mixed((prefix[e] - prefix[starts]) * _POWERS[1][starts]) for e in ends]
+
+
+def stem_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Of words (``starts``, ``ends``) the hashes of their first so many
+    characters, for each of ``lengths``; a shorter word is its own stem."""
+    lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), np.full(max(lengths) + 1, len(data)))
+    first = np.searchsorted(lead, starts)
+    return _spans_hashed(data, starts, *[np.minimum(ends, lead[np.minimum(first + k, len(lead) - 1)]) for k in lengths])
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts at offsets ``at`` in ``data``: for every word (letters,
-    digits, bytes above 127; A-Z lowered) its start, its end and its hash. Prefix
-    sums of a polynomial give all hashes at once."""
+    digits, bytes above 127; A-Z lowered) its start, its end and its hash."""
     n = len(data)
     letter = _LETTER[data]
     before = np.concatenate(([False], letter[:-1]))
@@ -54,10 +74,4 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last = at[(at > 0) & (at <= n)] - 1
     after[last] = False
     ends = np.flatnonzero(letter & ~after) + 1
-    if len(_POWERS[0]) <= n:
-        for i, base in enumerate((_ODD, _INVERSE)):
-            p = np.full(n + (1 << 16), base, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.cumprod(p)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER[data] + np.uint64(1)) * _POWERS[0][:n])))
-    return starts, ends, mixed((prefix[ends] - prefix[starts]) * _POWERS[1][starts])
+    return starts, ends, _spans_hashed(data, starts, ends)[0]

@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed n-grams.
 
-Features are hashed words, word pairs and triples, and skip-grams (one word left
-out). FTRL-proximal keeps a learning rate per coordinate and its L1 term sets
+Features are hashed words, word pairs and triples, skip-grams (one word left
+out) and, so that inflected forms share a weight, the beginnings of words. FTRL-proximal keeps a learning rate per coordinate and its L1 term sets
 most weights to exactly zero, so that the model is a few rows (index, weight)
 which every scoring task gets.
 """
@@ -18,21 +18,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, utf8
-from .learning import labelled_sample, mixed, word_hashes
+from .learning import labelled_sample, mixed, stem_hashes, word_hashes
 
 BITS = 20
+#: Characters of the beginnings of words.
+STEMS = (4, 6, 8)
 #: The training sample has at most so many labelled rows, dealt to shards of about SHARD rows.
 TRAIN_ROWS, SHARD = 24_000, 12_000
-ALPHA, BETA, L2, EPOCHS = 1.0, 1.0, 1.0, 4
-#: The L1 term grows with the examples of a shard between these bounds: one for every so many.
-L1_BOUNDS, L1_ROWS = (1.0, 4.0), 3_000
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 1.0, 6
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, feature index) for the n-grams and skip-grams of all texts."""
-    starts, _, h = word_hashes(data, at)
+    """(number of the text, feature index) for the n-grams, skip-grams and stems of all texts."""
+    starts, ends, h = word_hashes(data, at)
     doc = np.searchsorted(at, starts, side="right") - 1
     docs, found = [doc], [h]
+    for k, stem in zip(STEMS, stem_hashes(data, starts, ends, STEMS), strict=True):
+        docs.append(doc)
+        found.append(mixed(stem + np.uint64(k)))
     for step, salt in ((1, 1), (2, 2)):
         if len(h) > step:
             same = doc[:-step] == doc[step:]
@@ -51,12 +54,11 @@ def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[
     """Weights and bias after ``epochs`` passes over (distinct feature indices, label)."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    l1 = min(max(len(examples) / L1_ROWS, L1_BOUNDS[0]), L1_BOUNDS[1])
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
-        w = (np.sign(zi) * l1 - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
-        w[np.abs(zi) <= l1] = 0.0
+        w = (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
+        w[np.abs(zi) <= L1] = 0.0
         return w
 
     for _ in range(epochs):
