@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,8 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Names of elements and words of their attributes.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small strike strong sub sup time tt u var".split())
@@ -38,8 +41,11 @@ _UNWANTED = set(
     "breadcrumb breadcrumbs sidebar sidebars aside footer foot comment comments commentlist reply replies respond disqus discussion "
     "related recommended recommendations pagination pager widget widgets masthead toolbar search topbar skip hidden header".split()
 )
-_HOLDERS = set("article body content main wrap wrapper container layout page entry".split())
-_ALWAYS = set("ad ads advert adverts advertisement comment comments commentlist reply replies disqus cookie cookies consent menu nav navbar navigation".split())
+_STATES = set("open opened closed enabled disabled fixed loaded accepted".split())
+_ABSENT = set("has with without no not is".split())
+_TITLED = set("article post entry story content title".split())
+_WRAPS = set("wrap wrapper container layout grid row".split())
+_APART = set("ad ads comment comments commentlist promo related replies reply".split())
 _ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -48,13 +54,45 @@ _GOOD = set("article body content entry main page post text blog story".split())
 LEVELS, SCORED_CHARS = 5, 25
 
 
+@lru_cache(maxsize=10_000)
+def _class_words(value: str) -> tuple[tuple[str, ...], ...]:
+    """The words of each name in a class or id."""
+    names = (re.split(r"[^a-z0-9]+", _HUMP.sub("-", name).lower()) for name in value.split())
+    return tuple(w for words in names if (w := tuple(filter(None, words))))
+
+
+@lru_cache(maxsize=10_000)
+def _unwanted(value: str, inside: bool) -> frozenset[str]:
+    """What speaks against an element of this class or id. Names of a page's
+    state or layout (has-sidebar, comments-open, content-sidebar-wrap) say
+    nothing of the element; a header within an article belongs to it."""
+    found: set[str] = set()
+    for words in _class_words(value):
+        if "hidden" in words:
+            if words in (("hidden",), ("is", "hidden"), ("visually", "hidden")):
+                found.add("hidden")
+            continue
+        bad = _UNWANTED.intersection(words)
+        if not bad or words[0] in _ABSENT or "with" in words or words[-1] in _STATES:
+            continue
+        if bad <= {"widget", "widgets"} and words[0] not in bad:  # what page builders call every block
+            continue
+        if bad == {"header"} and (inside or words[0] in _TITLED):
+            continue
+        if bad <= {"sidebar", "sidebars"} and words[-1] in _WRAPS and not {*words} <= bad | _WRAPS:
+            continue
+        found |= bad
+    return frozenset(found)
+
+
 class _Page:
     """The elements of a page (parallel lists; 0 is the root) and its text blocks in order."""
 
     def __init__(self, source: str) -> None:
-        self.parent, self.tag, self.drop, self.bonus = [0], ["#root"], [False], [0]
-        self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
-        self.stack, self.parts, self.linked, self.in_link = [0], [], 0, False
+        self.parent, self.tag, self.drop, self.bonus, self.inside = [0], ["#root"], [False], [0], [False]
+        self.blocks: list[tuple[int, str, int, int]] = []  # element, text, characters in links, links
+        self.stack, self.parts, self.linked, self.links, self.in_link = [0], [], 0, 0, False
+        self.open: Counter[str] = Counter()  # elements of the stack by tag
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -77,15 +115,17 @@ class _Page:
 
     def _flush(self) -> None:
         if self.parts and (text := " ".join("".join(self.parts).split())):
-            self.blocks.append((self.stack[-1], text, min(self.linked, len(text))))
-        self.parts, self.linked = [], 0
+            self.blocks.append((self.stack[-1], text, min(self.linked, len(text)), max(self.links, int(self.linked > 0))))
+        self.parts, self.linked, self.links = [], 0, 0
 
     def _pop_to(self, depth: int) -> None:
+        self.open.subtract(self.tag[e] for e in self.stack[depth:])
         del self.stack[depth:]
 
     def _tag(self, tag: str, end: bool, attrs: str) -> None:
         if tag == "a":
             self.in_link = not end and "href" in attrs.lower()
+            self.links += self.in_link and not self.drop[self.stack[-1]]
             return
         if tag in _INLINE:
             return
@@ -98,10 +138,8 @@ class _Page:
         if tag != "span":
             self._flush()
         if end:
-            for depth in range(len(self.stack) - 1, 0, -1):
+            for depth in range(len(self.stack) - 1, 0, -1) if self.open[tag] else ():
                 if self.tag[self.stack[depth]] == tag:
-                    if tag == "span" and self.drop[self.stack[depth]] is False or tag != "span":
-                        self._flush() if tag != "span" else None
                     self._pop_to(depth)
                     break
                 if tag == "span":  # closes nothing but the innermost element
@@ -109,7 +147,7 @@ class _Page:
             if tag != "span":
                 self.in_link = False
             return
-        if tag != "span":
+        if tag != "span" and any(map(self.open.__getitem__, ("p", "span", *_CLOSES.get(tag, ())))):
             for depth in range(len(self.stack) - 1, 0, -1):
                 open_tag = self.tag[self.stack[depth]]
                 if open_tag in ("p", "span") or open_tag in _CLOSES.get(tag, ()):
@@ -125,32 +163,27 @@ class _Page:
     def _open(self, tag: str, attrs: str) -> None:
         above = self.stack[-1]
         drop, bonus = self.drop[above], 0
-        inside = any(self.tag[e] in ("article", "main") for e in self.stack)
+        inside = self.inside[above]
         if not drop and tag in _DROPPED and not (tag == "header" and inside):
             drop = True
         if not drop and attrs:
             for key, *values in _ATTR.findall(attrs):
-                value = "".join(values).lower()
-                key = key.lower()
+                key, value = key.lower(), html.unescape("".join(values))
                 if key in ("class", "id"):
-                    words = set(re.split(r"[^a-z0-9]+", value))
-                    unwanted = words & _UNWANTED
-                    if words & {"open", "closed"}:  # a state of the article, not the comments themselves
-                        unwanted -= {"comment", "comments"}
-                    if words & _HOLDERS and not unwanted & _ALWAYS:  # such as content-sidebar-wrap
-                        unwanted = set()
-                    if inside and words & {"header"}:
-                        unwanted -= {"header"}
-                    if tag not in _NEVER or tag == "article" and unwanted & {"comment", "comments", "reply", "related", "promo", "ad"}:
+                    unwanted = _unwanted(value, inside)
+                    if tag not in _NEVER or tag == "article" and unwanted & _APART:
                         drop |= bool(unwanted)
-                    bonus += 25 * bool(words & _GOOD)
+                    bonus += 25 * any(_GOOD.intersection(w) for w in _class_words(value))
                 elif tag not in _NEVER:
+                    value = value.lower()
                     drop |= key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
         self.parent.append(above)
         self.tag.append(tag)
         self.drop.append(bool(drop))
         self.bonus.append(bonus)
+        self.inside.append(inside or tag in ("article", "main"))
         self.stack.append(len(self.tag) - 1)
+        self.open[tag] += 1
 
     def path(self, element: int) -> Iterator[int]:
         while element:
@@ -167,16 +200,18 @@ def main_text(source: str | None) -> str:
         return ""
     n = len(page.tag)
     chars, linked, points, links = [0] * n, [0] * n, [0.0] * n, [0] * n
-    for element, text, in_links in page.blocks:
-        for e in page.path(element):
-            chars[e] += len(text)
-            linked[e] += in_links
-            links[e] += in_links > 0
+    for element, text, in_links, anchors in page.blocks:
+        chars[element] += len(text)
+        linked[element] += in_links
+        links[element] += anchors
         if len(text) >= SCORED_CHARS:
             worth = 1 + text.count(",") + min(len(text) / 100, 3)
             above = page.parent[element] if re.fullmatch(r"p|h[1-6]|li|dd|dt|span|pre|blockquote", page.tag[element]) and page.parent[element] else element
             for level, e in zip(range(LEVELS), page.path(above), strict=False):
                 points[e] += worth / (1, 2, 6, 9, 12)[level]
+    for e in range(n - 1, 0, -1):  # an element stands after its parent
+        for sums in (chars, linked, links):
+            sums[page.parent[e]] += sums[e]
     density = [x / max(c, 1) for x, c in zip(linked, chars, strict=True)]
     score = [(p + _FIRST.get(t, 0) + b) * (1 - d) if p else 0.0 for p, t, b, d in zip(points, page.tag, page.bonus, density, strict=True)]
     best = max(range(n), key=score.__getitem__)
@@ -196,13 +231,11 @@ def main_text(source: str | None) -> str:
                 plain = page.tag[e] == "p" and (chars[e] > 80 and density[e] < 0.25 or chars[e] <= 80 and not linked[e])
                 if plain or score[e] >= enough and density[e] < 0.5:
                     kept.add(e)
-    menus = {e for e in range(1, n) if page.tag[e] in ("ul", "ol", "div", "table", "section", "p") and links[e] > 1 and density[e] > 0.7}
-    out = []
-    for element, text, _ in page.blocks:
-        path = [*page.path(element), 0]
-        if not kept.isdisjoint(path) and menus.isdisjoint(path):
-            out.append(text)
-    return "\n\n".join(out)
+    holds = [e in kept for e in range(n)]
+    for e in range(1, n):
+        menu = page.tag[e] in ("ul", "ol", "div", "table", "section", "p") and links[e] > 1 + (page.tag[e] == "p") and density[e] > 0.7
+        holds[e] = (holds[e] or holds[page.parent[e]]) and not menu
+    return "\n\n".join(text for element, text, *_ in page.blocks if holds[element])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -59,6 +59,9 @@ PAGES = {
     "empty": ("", ""),
     "plain": ("no markup at all", "no markup at all"),
     "broken": (f"<article><p>{LONG}<p class=\"x>{LONG}", None),
+    "layout": (f"<div class='page has-sidebar overflow-hidden'><div class='page-footer'><p>{LONG}</p></div><div class='sidebar container'><p>{LONG}</p></div><div class='entry-content' data-state='hidden' data-id='ad'><div class='post-header'><h1>Head</h1></div><p title='hidden'>{LONG}</p><div class='elementor-widget'><p>{LONG}</p></div><div class=readerComments><p>{LONG}</p></div></div></div>", f"Head\n\n{LONG}\n\n{LONG}"),
+    "links": (f"<article><p><a href=1>Front page</a> | <a href=2>Weather</a> | <a href=3>Sports</a></p><p>{LONG} <a href=4>Four</a></p></article>", f"{LONG} Four"),
+    "unmatched": ("<div>" * 20000 + "</section>" * 20000 + f"<p>{LONG}</p>" + "<li>x" * 20000, None),
     "deep": ("<div>" * 3000 + f"<p>{LONG}</p>", LONG),
 }
 
