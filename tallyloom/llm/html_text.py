@@ -147,10 +147,13 @@ class _Page:
             if tag != "span":
                 self.in_link = False
             return
-        if tag != "span" and any(map(self.open.__getitem__, ("p", "span", *_CLOSES.get(tag, ())))):
+        if tag != "span":
+            closed = ("p", "span", *_CLOSES.get(tag, ()))
             for depth in range(len(self.stack) - 1, 0, -1):
+                if not any(map(self.open.__getitem__, closed)):
+                    break
                 open_tag = self.tag[self.stack[depth]]
-                if open_tag in ("p", "span") or open_tag in _CLOSES.get(tag, ()):
+                if open_tag in closed:
                     if open_tag != "span" or any(self.tag[e] == "p" for e in self.stack[max(0, depth - 8) : depth]):
                         self._pop_to(depth)
                     continue
