@@ -15,7 +15,7 @@ from tallyloom.llm.bpe import encode
 from tallyloom.llm.common import table, written
 from tallyloom.llm.exact_dedup import drop_exact
 from tallyloom.llm.learning import fold
-from tallyloom.llm.mixing import take_mix
+from tallyloom.llm.mixing import label_weights, take_mix
 from tallyloom.llm.quality_crf import keep_good
 from tallyloom.llm.simhash import drop_near
 
@@ -38,8 +38,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return take_mix(docs.select(*COLUMNS))
+    """Documents as often as the mix takes them, those labelled good the more readily."""
+    return take_mix(docs.select(*COLUMNS), label_weights(table(spark, sf_dir, "labels")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

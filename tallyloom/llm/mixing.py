@@ -47,6 +47,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return level.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("w"), F.col("limit"))).alias("target"))
 
 
+def label_weights(labels: DataFrame) -> DataFrame:
+    """doc_id, weight: documents labelled good are drawn twice as readily as
+    unlabelled ones, those labelled bad half as readily."""
+    label = F.col("quality")
+    return labels.select("doc_id", F.when(label == 1, 2.0).when(label == 0, 0.5).otherwise(1.0).alias("weight"))
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, bins: int = BINS) -> DataFrame:
     """How often the mix takes each document: doc_id, source, size (words),
     source_size, target, copies, taken (copies times size).

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
-from .mixing import mix
+from .mixing import label_weights, mix
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents labelled good are drawn twice as readily as unlabelled ones, those labelled bad half as readily."""
-    label = F.col("quality")
-    quality = table(spark, sf_dir, "labels").select("doc_id", F.when(label == 1, 2.0).when(label == 0, 0.5).otherwise(1.0).alias("weight"))
-    return mix(table(spark, sf_dir, "documents"), quality).select("doc_id", "size", "source_size", "target", "taken")
+    weights = label_weights(table(spark, sf_dir, "labels"))
+    return mix(table(spark, sf_dir, "documents"), weights).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {"op8_source_mix": op8_source_mix}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallyloom.llm.bpe import read_ranks
 from tallyloom.llm.learning import fold
-from tallyloom.llm.mixing import mix
+from tallyloom.llm.mixing import label_weights, mix
 from tallyloom.llm.quality_crf import quality
 
 from .test_dedup import ASCII_LOWER, brute_components, brute_print
@@ -57,7 +57,7 @@ def test_every_stage(spark, folder):
     assert set(texts(near)) == set(groups.values()) and near.columns == docs.columns
 
     mixed = stage["mix"](spark, near, folder).persist()
-    want = {x.doc_id: x.copies for x in mix(near).collect() if x.copies}
+    want = {x.doc_id: x.copies for x in mix(near, label_weights(spark.read.parquet(f"{folder}/labels.parquet"))).collect() if x.copies}
     assert Counter(x.doc_id for x in mixed.collect()) == want and mixed.columns == docs.columns
 
     coding = tiktoken.Encoding("own", pat_str=vocabularies.PATTERN, mergeable_ranks=read_ranks(vocabularies.path("byte_bpe_50k.tiktoken")), special_tokens={})
