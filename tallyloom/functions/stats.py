@@ -43,9 +43,43 @@ def student_quantile(p: float, df: int) -> float:
     return high
 
 
+#: Up to so many trials the tail is summed in exact integers.
+EXACT = 1000
+
+
+def _stirling_error(n: int) -> float:
+    """ln n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _just(wins: int, trials: int) -> float:
+    """P(X = wins) of a fair coin, by its deviance from an even split (Loader's saddle point)."""
+    if wins in (0, trials):
+        return math.ldexp(1.0, -trials)
+    x = (2 * wins - trials) / trials
+    deviance = trials / 2 * ((1 + x) * math.log1p(x) + (1 - x) * math.log1p(-x))
+    error = _stirling_error(trials) - _stirling_error(wins) - _stirling_error(trials - wins)
+    return math.sqrt(trials / (2 * math.pi * wins * (trials - wins))) * math.exp(error - deviance)
+
+
 def tail_at_least(wins: int, trials: int) -> float:
-    """P(X >= wins) of a fair coin, in exact integers."""
-    return sum(math.comb(trials, k) for k in range(wins, trials + 1)) / 2**trials
+    """P(X >= wins) of a fair coin: in exact integers for few trials, else from
+    the first term by the ratio of neighbouring ones, until none counts."""
+    if trials <= EXACT:
+        return sum(math.comb(trials, k) for k in range(wins, trials + 1)) / 2**trials
+    if wins > trials:
+        return 0.0
+    if 2 * wins <= trials:
+        return 1.0 - tail_at_least(trials - wins + 1, trials)
+    term = total = 1.0
+    k = wins
+    while k < trials and term > 1e-18 * total:
+        term *= (trials - k) / (k + 1)
+        total += term
+        k += 1
+    return _just(wins, trials) * total
 
 
 @F.pandas_udf(T.DoubleType())

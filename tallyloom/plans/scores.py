@@ -161,17 +161,17 @@ TAIL = "(select sum(exp(lgamma(w + x + 1) - lgamma(i + 1) - lgamma(w + x - i + 1
 
 @query(COUNTS + " select tenant, wins, losses, ties from c")
 def sign_counts(spark, d):
-    return pairing.sign_test(tenant_deltas(spark, d).where("k < 1500"), ["tenant"], "sign2_tol01").drop("p")
+    return pairing.sign_test(tenant_deltas(spark, d), ["tenant"], "sign2_tol01").drop("p")
 
 
 @query(COUNTS + ", q as (select tenant, i, greatest(wins, losses) as hi, wins + losses as n from c, range(0, 1000) r(i)) select tenant, least(1.0, round(2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))), 6)) as p from q where i >= hi and i <= n group by tenant")
 def sign_two_sided(spark, d):
-    return pairing.sign_test(tenant_deltas(spark, d).where("k < 1500"), ["tenant"], "sign2_tol01_r6").select("tenant", "p")
+    return pairing.sign_test(tenant_deltas(spark, d), ["tenant"], "sign2_tol01_r6").select("tenant", "p")
 
 
 @query(COUNTS + ", q as (select tenant, i, wins as hi, wins + losses as n from c, range(0, 1000) r(i)) select tenant, round(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))), 6) as p from q where i >= hi and i <= n group by tenant")
 def sign_one_sided(spark, d):
-    return pairing.sign_test(tenant_deltas(spark, d).where("k < 1500"), ["tenant"], "sign1_eps").select("tenant", F.round("p", 6).alias("p"))
+    return pairing.sign_test(tenant_deltas(spark, d), ["tenant"], "sign1_eps").select("tenant", F.round("p", 6).alias("p"))
 
 
 @query(PAIRED + ", s as (select tenant, count(*) as n, stddev_samp(delta) as sd from p group by tenant) select tenant, n, round((1.960 + 0.842) * sd / sqrt(n), 6) as mde, ceil(pow((1.960 + 0.842) * sd / 0.05, 2))::bigint as required from s")
@@ -229,7 +229,7 @@ GATE = PAIRED + ", few as (select * from p where k < 1500), c as (select tenant,
 
 
 def _gate_rows(spark, d):
-    x = tenant_deltas(spark, d).where("k < 1500")
+    x = tenant_deltas(spark, d)
     c = pairing.pooled(x, ["tenant"], "z196").join(pairing.sign_test(x, ["tenant"], "sign2_tol01"), "tenant")
     return c.join(x.groupBy("tenant").agg(F.avg("control").alias("control")), "tenant")
 
