@@ -6,7 +6,7 @@ from fractions import Fraction
 
 import pytest
 
-from tallyloom.functions.stats import tail_at_least
+from tallyloom.functions.stats import student_cdf, student_quantile, tail_at_least
 from tallyloom.plans import scores
 
 ORDERS, TENANTS = 4000, 2
@@ -77,3 +77,26 @@ def test_tail_of_very_many_trials_is_cheap():
     n = 10**9  # two standard deviations above the middle, by the normal law with a continuity correction
     wins = n // 2 + round(math.sqrt(n))
     assert tail_at_least(wins, n) == pytest.approx(math.erfc((wins - 0.5 - n / 2) / math.sqrt(n / 2)) / 2, rel=1e-6)
+
+
+def test_pooled_t_takes_every_pair(spark, folder):
+    d = [x for *_, x in pairs()]
+    r = scores.pooled_ci_t(spark, folder).first()
+    mean, se = statistics.fmean(d), statistics.stdev(d) / math.sqrt(len(d))
+    low, high = 0.0, 3.0
+    while high - low > 1e-10:
+        low, high = ((low + high) / 2, high) if student_cdf((low + high) / 2, len(d) - 1) < 0.975 else (low, (low + high) / 2)
+    q = round(low, 4)
+    assert r.n == len(d) == sum(k % 97 != 0 for k in range(ORDERS))
+    assert (r["mean"], r.se, r.low, r.high) == pytest.approx((mean, se, mean - q * se, mean + q * se), abs=1.1e-6)
+    assert r.excludes_zero
+
+
+@pytest.mark.parametrize("df", [1001, 3000, 40000])
+def test_quantile_of_many_degrees_inverts_the_sums(df):
+    for p in (0.9, 0.975, 0.995):
+        assert student_cdf(student_quantile(p, df), df) == pytest.approx(p, abs=1e-11)
+
+
+def test_quantile_of_very_many_degrees_is_normal():
+    assert student_quantile(0.975, 10**9) == pytest.approx(statistics.NormalDist().inv_cdf(0.975), abs=1e-8)
