@@ -50,8 +50,7 @@ def leaf_bag(spark, d):
 
 @query(W + " select arm, k, (5 - spoiled)::int as shared from facts where not missing and not broken and k % 7 < 3")
 def bag_overlap(spark, d):
-    rows = arms.both(spark, d).where("k % 7 < 3")
-    rows = rows.withColumn("p", parsed("prediction")).withColumn("g", parsed("gold")).where("p.valid")
+    rows = arms.both(spark, d).withColumn("p", parsed("prediction")).withColumn("g", parsed("gold")).where("p.valid")
     return rows.select("arm", "k", overlap(F.col("p.leaves"), F.col("g.leaves")).alias("shared"))
 
 
@@ -275,7 +274,7 @@ def audit_mismatch(spark, d):
 
 @query(W + ", f as (select k, case when (k * 3) % 5 = 0 then 1 else 0 end as s0, case when (k * 4 + 7) % 5 = 0 then 1 else 0 end as s1 from g where k % 10 = 0), x as (select k, 'status' as path, s0 as bad, 0 as gone from f union all select k, 'priority', s1, (k % 20 = 0)::int from f) select k, path, case when gone = 1 then 'miss' when bad = 1 then 'wrong' else 'hit' end as status from x union all select k, 'more', 'extra' from f")
 def field_diff_status(spark, d):
-    g = arms.gold(spark, d).where("k % 10 = 0")
+    g = arms.gold(spark, d)
     leaf = lambda name, v: F.struct(F.lit(name).alias("path"), v.alias("value"))
     spoil = lambda j, name: F.when(F.expr(arms.SPOILED["base"].format(j=j)), F.concat(F.lit("x"), F.col(name))).otherwise(F.col(name))
     gold = g.select("k", F.inline(F.array(leaf("status", F.col("status")), leaf("priority", F.col("priority")))))

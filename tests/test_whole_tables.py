@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 
 from tallyloom.functions.stats import student_cdf, student_quantile, tail_at_least
-from tallyloom.plans import scores
+from tallyloom.plans import scores, tables_text
 
 ORDERS, TENANTS = 4000, 2
 
@@ -100,3 +100,32 @@ def test_quantile_of_many_degrees_inverts_the_sums(df):
 
 def test_quantile_of_very_many_degrees_is_normal():
     assert student_quantile(0.975, 10**9) == pytest.approx(statistics.NormalDist().inv_cdf(0.975), abs=1e-8)
+
+
+def test_bag_overlap_of_every_order(spark, folder):
+    want = {("tuned", k, sum((k * 29 + j * 13) % 23 != 0 for j in range(5))) for k in range(ORDERS)}
+    want |= {("base", k, sum((k * (j + 3) + j * j * 7) % 5 != 0 for j in range(5))) for k in range(ORDERS) if k % 97 and k % 41}
+    got = [tuple(r) for r in scores.bag_overlap(spark, folder).select("arm", "k", "shared").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_field_status_of_every_order(spark, folder):
+    want = {(k, "more", "extra") for k in range(ORDERS)}
+    want |= {(k, "status", "wrong" if k * 3 % 5 == 0 else "hit") for k in range(ORDERS)}
+    want |= {(k, "priority", "miss" if k % 20 == 0 else "wrong" if (k * 4 + 7) % 5 == 0 else "hit") for k in range(ORDERS)}
+    got = [tuple(r) for r in scores.field_diff_status(spark, folder).select("k", "path", "status").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_numbers_of_every_line(spark, tmp_path):
+    rows = [(k, n, 1000.25 * k + n) for k in range(1, 40) for n in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in tables_text.numeric_token_norm(spark, str(tmp_path)).select("k", "n", "plain", "grouped", "numeric").collect())
+    assert got == [(k, n, str(int(v)), str(int(v)), True) for k, n, v in rows]
+
+
+def test_running_total_of_every_event(spark, tmp_path):
+    rows = [(i, "ab"[i % 3 == 0], i, i * 0.25) for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in tables_text.running_totals(spark, str(tmp_path)).select("event_id", "event_type", "running").collect())
+    assert got == [(i, t, sum(v for j, u, _, v in rows if u == t and j <= i)) for i, t, _, _ in rows]
