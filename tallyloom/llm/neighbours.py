@@ -6,14 +6,14 @@ point to it), compares them with each other and keeps each one's nearest.
 Queries walk the graph: the nearest unexpanded nodes of each query's list are
 joined with the graph until no list changes. Equal vectors are one node, so a
 vector that very many rows share costs as much as any other. What the rounds
-and walks move are half-precision copies, scaled to the largest component; the
-distances returned come from the original vectors.
+and walks move are the vectors themselves, in the precision of the column, and
+all distances are taken in double precision, so no row's size changes those of others.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,9 @@ DEGREE, BACK, PASSED_ON = 32, 32, 5
 TREES, LEAF, SEED = 8, 1024, 7
 #: How many of its leaf's nodes each node starts with, per tree.
 FROM_LEAF = 16
-ROUNDS, ENOUGH = 6, 0.001
-BEAM, STEPS = 160, 16
+BEAM = 160
 _EDGES = "u long, c long, d double"
-_PIECE = 256
+_PIECE = 128
 
 
 def taking_part(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -44,23 +43,22 @@ def taking_part(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.join(F.broadcast(size.select("n")), F.size("v") == F.col("n")).drop("n")
 
 
-def halved(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and v of ``rows`` with h, the vector as half-precision bytes."""
-    largest = rows.agg(F.max(F.expr("array_max(transform(v, x -> abs(x)))"))).first()[0] or 1.0
+def packed(rows: DataFrame, keep: list[str], kind: str) -> DataFrame:
+    """``keep`` and v of ``rows`` with h, the vector as bytes of a numpy ``kind`` that holds it exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column("v")
-            x = (v.flatten().to_numpy() / largest).astype(np.float16).reshape(len(v), -1)
+            x = v.flatten().to_numpy().astype(kind).reshape(len(v), -1)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], v, pa.array([r.tobytes() for r in x], pa.binary())], [*keep, "v", "h"])
 
     return rows.select(*keep, "v").mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", v array<double>, h binary")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64).reshape(len(column), -1)
 
 
 def _edges(u: np.ndarray, c: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
@@ -68,7 +66,9 @@ def _edges(u: np.ndarray, c: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
 
 
 def _pairwise(x: np.ndarray) -> np.ndarray:
-    """Squared distances within the last two axes' points."""
+    """Squared distances within the last two axes' points, moved to their middle
+    so that little cancels; a median, as one far point would move a mean."""
+    x = x - np.median(x, axis=-2, keepdims=True)
     n = (x * x).sum(-1)
     return np.maximum(n[..., :, None] + n[..., None, :] - 2 * (x @ np.swapaxes(x, -1, -2)), 0)
 
@@ -79,28 +79,30 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
     return edges.repartition("u").groupBy("u", "c").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def first_graph(nodes: DataFrame, rows: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def first_graph(nodes: DataFrame, rows: int, kind: str, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """u, c, d: near pairs from leaves of random-projection trees. A leaf of many
     nodes is dealt to chunks of about ``leaf``, so every task is bounded."""
-    size = len(nodes.select("h").first()[0]) // 2
+    size = len(nodes.select("h").first()[0]) // np.dtype(kind).itemsize
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(_matrix(batch.column("h")).sum(0, np.float64))], ["i", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(np.median(_matrix(batch.column("h"), kind), 0))], ["i", "x"])
 
-    middle = np.array(nodes.select("h").mapInArrow(add, "i int, x double").groupBy("i").agg((F.sum("x") / rows).alias("m")).orderBy("i").toPandas()["m"])
+    # A median of the batches' medians: no single vector moves it.
+    middle = np.array(nodes.select("h").mapInArrow(centre, "i int, x double").groupBy("i").agg(F.percentile_approx("x", 0.5).alias("m")).orderBy("i").toPandas()["m"])
     depth = max(0, math.ceil(math.log2(max(1, rows / leaf))))
     planes = np.random.default_rng(SEED).standard_normal((trees, depth, size))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            side = np.einsum("tds,ns->ntd", planes, _matrix(batch.column("h")) - middle) > 0
+            side = np.einsum("tds,ns->ntd", planes, _matrix(batch.column("h"), kind) - middle) > 0
             code = (side * (1 << np.arange(depth, dtype=np.int64))).sum(2) if depth else np.zeros((batch.num_rows, trees), np.int64)
             for t in range(trees):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t)), pa.array(code[:, t]), batch.column("id"), batch.column("h")], ["tree", "leaf", "id", "h"])
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, x = table.column("id").to_numpy(), _matrix(table.column("h"))
+        ids, x = table.column("id").to_numpy(), _matrix(table.column("h"), kind)
+        x = x - np.median(x, 0) if len(x) else x
         out = []
         for i in range(0, len(ids), _PIECE):  # rows of the distance matrix, not all at once
             part = x[i : i + _PIECE]
@@ -119,77 +121,81 @@ def first_graph(nodes: DataFrame, rows: int, trees: int = TREES, leaf: int = LEA
     return salted.select("tree", "leaf", "chunk", "id", "h").groupBy("tree", "leaf", "chunk").applyInArrow(compare, _EDGES)
 
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, m, h) sorted by hub: for every member of a hub's list its nearest others in the list."""
-
-    def compare(hub: np.ndarray, m: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        begin = np.flatnonzero(np.concatenate(([True], hub[1:] != hub[:-1])))
-        sizes = np.diff(np.append(begin, len(hub)))
-        for i in range(0, len(begin), _PIECE):
-            b, n = begin[i : i + _PIECE], sizes[i : i + _PIECE]
-            wide = int(n.max())
-            if wide < 2:
+def _local_join(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (hub, m, h) sorted by hub: for every member of a hub's list its nearest others in the list."""
+
+        def compare(hub: np.ndarray, m: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            begin = np.flatnonzero(np.concatenate(([True], hub[1:] != hub[:-1])))
+            sizes = np.diff(np.append(begin, len(hub)))
+            for i in range(0, len(begin), _PIECE):
+                b, n = begin[i : i + _PIECE], sizes[i : i + _PIECE]
+                wide = int(n.max())
+                if wide < 2:
+                    continue
+                at = b[:, None] + np.minimum(np.arange(wide)[None], n[:, None] - 1)
+                d = _pairwise(x[at])
+                real = np.arange(wide)[None] < n[:, None]
+                d[~(real[:, :, None] & real[:, None, :])] = np.inf
+                d[:, np.arange(wide), np.arange(wide)] = np.inf
+                k = min(PASSED_ON, wide - 1)
+                near = np.argpartition(d, k - 1, axis=2)[:, :, :k]
+                dist = np.take_along_axis(d, near, 2)
+                ids = m[at]
+                c = np.take_along_axis(ids[:, None, :].repeat(wide, 1), near, 2)
+                ok = np.isfinite(dist)
+                yield _edges(np.broadcast_to(ids[:, :, None], c.shape)[ok], c[ok], dist[ok])
+
+        rest = None
+        for batch in batches:
+            hub, m, x = batch.column("hub").to_numpy(), batch.column("m").to_numpy(), _matrix(batch.column("h"), kind)
+            if rest is not None:
+                hub, m, x = np.concatenate((rest[0], hub)), np.concatenate((rest[1], m)), np.concatenate((rest[2], x))
+            if not len(hub):
                 continue
-            at = b[:, None] + np.minimum(np.arange(wide)[None], n[:, None] - 1)
-            d = _pairwise(x[at])
-            real = np.arange(wide)[None] < n[:, None]
-            d[~(real[:, :, None] & real[:, None, :])] = np.inf
-            d[:, np.arange(wide), np.arange(wide)] = np.inf
-            k = min(PASSED_ON, wide - 1)
-            near = np.argpartition(d, k - 1, axis=2)[:, :, :k]
-            dist = np.take_along_axis(d, near, 2)
-            ids = m[at]
-            c = np.take_along_axis(ids[:, None, :].repeat(wide, 1), near, 2)
-            ok = np.isfinite(dist)
-            yield _edges(np.broadcast_to(ids[:, :, None], c.shape)[ok], c[ok], dist[ok])
-
-    rest = None
-    for batch in batches:
-        hub, m, x = batch.column("hub").to_numpy(), batch.column("m").to_numpy(), _matrix(batch.column("h"))
+            cut = np.searchsorted(hub, hub[-1])  # the last hub may go on in the next batch
+            yield from compare(hub[:cut], m[:cut], x[:cut]) if cut else ()
+            rest = hub[cut:], m[cut:], x[cut:]
         if rest is not None:
-            hub, m, x = np.concatenate((rest[0], hub)), np.concatenate((rest[1], m)), np.concatenate((rest[2], x))
-        if not len(hub):
-            continue
-        cut = np.searchsorted(hub, hub[-1])  # the last hub may go on in the next batch
-        yield from compare(hub[:cut], m[:cut], x[:cut]) if cut else ()
-        rest = hub[cut:], m[cut:], x[cut:]
-    if rest is not None:
-        yield from compare(*rest)
+            yield from compare(*rest)
+
+    return join
 
 
-def descend(nodes: DataFrame, graph: DataFrame, k: int = DEGREE, back: int = BACK) -> DataFrame:
+def descend(nodes: DataFrame, graph: DataFrame, kind: str, k: int = DEGREE, back: int = BACK) -> DataFrame:
     """One round: u, c, d after neighbours of neighbours have been compared."""
     closest = Window.partitionBy("hub").orderBy("d", "m")
     reverse = graph.selectExpr("c as hub", "u as m", "d").withColumn("r", F.row_number().over(closest)).where(F.col("r") <= back).select("hub", "m")
     lists = graph.selectExpr("u as hub", "c as m").union(reverse).distinct()
     rows = lists.join(nodes, lists["m"] == nodes["id"]).select("hub", "m", "h").repartition("hub").sortWithinPartitions("hub")
-    return nearest(rows.mapInArrow(_local_join, _EDGES).union(graph.select("u", "c", "d")), k)
-
-
-def build(nodes: DataFrame, k: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph u, c, d (squared distance) of ``nodes`` (id, h:
-    half-precision bytes; vectors distinct), each round written to the shared folder. Ends
-    when a round shortens the distances by less than ``ENOUGH`` in all."""
-    rows = nodes.count()
-    graph = written(nearest(first_graph(nodes, rows), k), "graph")
-    total = graph.agg(F.sum("d")).first()[0]
-    for _ in range(rounds):
-        following = written(descend(nodes, graph, k), "graph")
+    return nearest(rows.mapInArrow(_local_join(kind), _EDGES).union(graph.select("u", "c", "d")), k)
+
+
+def build(nodes: DataFrame, kind: str, k: int = DEGREE) -> DataFrame:
+    """The neighbour graph u, c, d (squared distance) of ``nodes`` (id, h: bytes
+    of a ``kind``; vectors distinct), each round written to the shared folder.
+    Ends when a round changes no edge: its digest stays."""
+    graph = written(nearest(first_graph(nodes, nodes.count(), kind), k), "graph")
+    digest = F.expr("bit_xor(xxhash64(u, c))")
+    before, now = None, graph.agg(digest).first()[0]
+    while now != before:
+        following = written(descend(nodes, graph, kind, k), "graph")
         forget(graph)
-        graph, before = following, total
-        total = graph.agg(F.sum("d")).first()[0]
-        if total is None or total >= before * (1 - ENOUGH):
-            break
+        graph, before = following, now
+        now = graph.agg(digest).first()[0]
     return graph
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = _matrix(batch.column("h")) - _matrix(batch.column("qh"))
-        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array((x * x).sum(1, dtype=np.float64))], ["query", "node", "d"])
+def _distances(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("h"), kind) - _matrix(batch.column("qh"), kind)
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array((x * x).sum(1))], ["query", "node", "d"])
+
+    return run
 
 
-def walk(starts: DataFrame, graph: DataFrame, vectors: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+def walk(starts: DataFrame, graph: DataFrame, vectors: DataFrame, kind: str, beam: int = BEAM) -> DataFrame:
     """query, node: for each row of ``starts`` (query, qh, node: an entry
     point) the ``beam`` nearest nodes that a greedy walk finds. ``graph`` is
     walked both ways; ``vectors``: id, h. A query ends when all of its list is expanded."""
@@ -198,14 +204,11 @@ def walk(starts: DataFrame, graph: DataFrame, vectors: DataFrame, beam: int = BE
     queries = starts.select("query", "qh").distinct()
     best = Window.partitionBy("query").orderBy("d", "node")
     now = starts.join(vectors, starts["node"] == vectors["id"]).select("query", "node", "h", "qh")
-    now = written(now.mapInArrow(_distances, "query long, node long, d double").withColumn("done", F.lit(False)), "beam")
-    for _ in range(steps):
-        fresh = now.where("not done")
-        if fresh.isEmpty():
-            break
+    now = written(now.mapInArrow(_distances(kind), "query long, node long, d double").withColumn("done", F.lit(False)), "beam")
+    while not (fresh := now.where("not done")).isEmpty():
         found = fresh.join(steps_from, fresh["node"] == steps_from["u"]).select("query", F.col("c").alias("node")).distinct()
         found = found.join(now.select("query", "node"), ["query", "node"], "left_anti")
-        scored = found.join(vectors, found["node"] == vectors["id"]).join(queries, "query").select("query", "node", "h", "qh").mapInArrow(_distances, "query long, node long, d double")
+        scored = found.join(vectors, found["node"] == vectors["id"]).join(queries, "query").select("query", "node", "h", "qh").mapInArrow(_distances(kind), "query long, node long, d double")
         merged = now.withColumn("done", F.lit(True)).union(scored.withColumn("done", F.lit(False)))
         following = written(merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"), "beam")
         forget(now)
@@ -222,14 +225,15 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, beam: int = BEA
     Rows that repeat a vec_id are candidates like any other.
     """
     rows = written(taking_part(embeddings), "vectors")
-    nodes = written(halved(rows.groupBy("v").agg(F.min("vec_id").alias("id")), ["id"]), "nodes")
+    kind = "f4" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
+    nodes = written(packed(rows.groupBy("v").agg(F.min("vec_id").alias("id")), ["id"], kind), "nodes")
     if nodes.isEmpty():
         return rows.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "0D as score")
-    graph = build(nodes.select("id", "h"))
+    graph = build(nodes.select("id", "h"), kind)
     key = F.xxhash64("v")  # of its own, so that a vector of many rows can be split
     named = rows.withColumn("key", key).join(nodes.withColumn("key", key), ["key", "v"]).select("vec_id", F.col("id").alias("node"), "v", "h")
     queries = written(named.where(is_query).select(F.col("vec_id").alias("query"), F.col("v").alias("qv"), F.col("h").alias("qh"), "node").dropDuplicates(["query"]), "queries")
-    found = walk(queries.drop("qv"), graph, nodes.select("id", "h"), beam)
+    found = walk(queries.drop("qv"), graph, nodes.select("id", "h"), kind, beam)
     exact = F.expr("sqrt(aggregate(zip_with(qv, v, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")
     found = found.join(nodes.select(F.col("id").alias("node"), "v"), "node").join(queries.select("query", "qv"), "query").select("query", "node", exact.alias("d"))
     # Of equal vectors no more than k + 1 rows, the smallest, can be among the k nearest others.

@@ -53,3 +53,23 @@ def test_few_rows(spark, n):
     rows = [(100 * i, [1.0 + i, 0.0]) for i in range(n)]
     got = run(spark, rows)
     assert all(len(x) == n - 1 for x in got.values())
+
+
+def recall(spark, rows):
+    want, got = brute(rows), run(spark, rows)
+    return sum(len({v for _, v in got[q]} & {v for _, v in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def test_one_huge_vector_spoils_no_other_row(spark):
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(10, 16))
+    x = centres[r.integers(0, 10, 2000)] + 0.5 * r.normal(size=(2000, 16))
+    x[1234] = 1e8
+    assert recall(spark, [(i, v.tolist()) for i, v in enumerate(x)]) >= 0.95
+
+
+def test_recall_in_a_dense_cluster_of_a_third(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(6000, 16))
+    x[::3] = x[0] + 1e-5 * r.normal(size=(2000, 16))
+    assert recall(spark, [(i, v.tolist()) for i, v in enumerate(x)]) >= 0.95
