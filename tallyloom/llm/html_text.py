@@ -22,17 +22,27 @@ from .common import pieces
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select|svg|math|object|canvas|audio|video|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>script|style|noscript|iframe|textarea|title)(?![\w:-])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:\s(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|/)?)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*+)(?P<attrs2>[^>]*+)>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
+#: Start and end tags of elements that hold no text of the page, ends of what they never hold, and what may only look like them.
+_EMBEDS = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(?P<raw>script|style|noscript|iframe|textarea|title)(?![\w:-])(?P<attrs>[^>]*+)>(?:.*?(?:</(?P=raw)\s*+>|\Z))"
+    r"|<(?P<end>/?)(?P<tag>svg|object|canvas|audio|video|template|select|annotation-xml|annotation)(?![\w:-])(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|</(?P<bar>article|main|body)(?![\w:-])",
+    re.S | re.I,
+)
+_EMBED = set("svg object canvas audio video template select annotation annotation-xml".split())
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Names of elements and words of their attributes.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small strike strong sub sup time tt u var".split())
+_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small strike strong sub sup time tt u var "
+              "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 _DROPPED = set("head nav footer aside form menu dialog button fieldset header".split())
 _NEVER = set("html body article main".split())
 _UNWANTED = set(
@@ -85,6 +95,29 @@ def _unwanted(value: str, inside: bool) -> frozenset[str]:
     return frozenset(found)
 
 
+def _embedded(source: str) -> dict[int, int]:
+    """Where elements without text of the page begin and where their own end tag
+    ends. One that closes itself or is never closed holds nothing."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while m := _EMBEDS.search(source, at):
+        at = m.end()
+        if m["raw"]:
+            if m["attrs"].endswith("/") and opened.get("svg"):  # closes itself there
+                at = m.end("attrs") + 1
+        elif m["bar"]:
+            opened.clear()
+        elif tag := m["tag"]:
+            starts = opened.setdefault(tag.lower(), [])
+            if not m["end"]:
+                if not m["rest"].endswith("/"):
+                    starts.append(m.start())
+            elif starts:
+                found[starts.pop()] = at
+    return found
+
+
 class _Page:
     """The elements of a page (parallel lists; 0 is the root) and its text blocks in order."""
 
@@ -93,13 +126,14 @@ class _Page:
         self.blocks: list[tuple[int, str, int, int]] = []  # element, text, characters in links, links
         self.stack, self.parts, self.linked, self.links, self.in_link = [0], [], 0, 0, False
         self.open: Counter[str] = Counter()  # elements of the stack by tag
+        embedded = _embedded(source)
         at = 0
-        for m in _TOKEN.finditer(source):
+        while m := _TOKEN.search(source, at):
             if m.start() > at:
                 self._text(source[at : m.start()])
-            at = m.end()
+            at = embedded.get(m.start()) or m.end()
             name = m["tag"] or m["tag2"]
-            if name:
+            if name and name.lower() not in _EMBED:
                 self._tag(name.lower(), bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or "")
         self._text(source[at:])
         self._flush()

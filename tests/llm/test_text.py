@@ -78,3 +78,21 @@ def test_pages_column(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
     assert len(got) == len(rows) and all(x.n_chars == len(x.text) for x in got)
     assert [x.text for x in got if x.page_id == 99] == ["", ""]
+
+
+EMBEDDED = {
+    "self-closed": (f'<article><p>A <svg class="i"/> b</p><p>{LONG}</p></article>', f"A b\n\n{LONG}"),
+    "closed": (f"<article><p>A <svg><title/><text>no</text><svg><g/></svg></svg> b</p><select><option>no</select><p>{LONG}</p></article>", f"A b\n\n{LONG}"),
+    "unclosed": (f"<article><video src=1><p>{LONG}</p><object data=2><p>Last.</p><video src=3>no</video></article>", f"{LONG}\n\nLast."),
+    "closed elsewhere": (f"<article><video src=1><p>{LONG}</p></article><div></video></div>", LONG),
+    "custom": (f"<article><video-player><p>{LONG}</p></video-player><title-bar>Name</title-bar><p>{LONG}</p></article>", f"{LONG}\n\nName\n\n{LONG}"),
+    "math": (f"<article><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding=tex>x=2</annotation></semantics></math> hold. {LONG}</p></article>", f"Let x=2 hold. {LONG}"),
+    "only looks so": (f"<article><video><script>'</video>'</script>no<!-- </video> --> no</video><p>{LONG}</p></article>", LONG),
+    "many": (f"<article><p>{LONG}</p>" + "<svg><video>" * 20000 + "</article>", LONG),
+}
+
+
+@pytest.mark.parametrize("name", EMBEDDED)
+def test_embedded_elements_swallow_nothing_else(name):
+    source, want = EMBEDDED[name]
+    assert main_text(source) == want
