@@ -4,6 +4,10 @@ Paragraphs pass points for their length and commas to the elements above them,
 less with each level; an element's points are discounted by the share of its
 text that stands in links. The best element, raised to the article that holds
 it, and siblings that score well or read like paragraphs are kept.
+
+Names of classes and ids only speak against an element. Those of comments,
+adverts and menus exclude it; others (header, share, search) and forms do so
+unless it holds most of the page's paragraphs, as a form around a whole page does.
 """
 
 from __future__ import annotations
@@ -43,14 +47,20 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small strike strong sub sup time tt u var "
               "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
-_DROPPED = set("head nav footer aside form menu dialog button fieldset header".split())
+_DROPPED = set("head nav footer aside menu dialog button".split())
+_DOUBTFUL = set("form fieldset header".split())
+_READ = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 _NEVER = set("html body article main".split())
 _UNWANTED = set(
-    "ad ads adbox adunit adsense adslot advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice "
-    "alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social menu nav navbar navigation "
-    "breadcrumb breadcrumbs sidebar sidebars aside footer foot comment comments commentlist reply replies respond disqus discussion "
-    "related recommended recommendations pagination pager widget widgets masthead toolbar search topbar skip hidden header".split()
+    "ad ads adbox adunit adsense adslot advert adverts advertisement advertising sponsor sponsored promo promoted promotion cookie cookies consent gdpr "
+    "popup modal overlay newsletter subscribe subscription signup login paywall menu nav navbar navigation "
+    "breadcrumb breadcrumbs comment comments commentlist reply replies respond disqus discussion "
+    "related recommended recommendations pagination pager skip hidden".split()
 )
+_SUSPECT = set("banner notice alert share sharing social sidebar sidebars aside footer foot widget widgets masthead toolbar search topbar header".split())
+#: Words that say where or how large an element is, or whose service it links to: they don't make a name mean something else.
+_NEUTRAL = set("page site main top bottom left right primary secondary global box block bar area section wrapper wrap container inner outer content list item items button buttons link links icon icons "
+               "post entry article text title row col column facebook twitter linkedin whatsapp pinterest reddit email print".split())
 _STATES = set("open opened closed enabled disabled fixed loaded accepted".split())
 _ABSENT = set("has with without no not is".split())
 _TITLED = set("article post entry story content title".split())
@@ -62,6 +72,8 @@ _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _FIRST = {"div": 5, "article": 10, "section": 3, "main": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "address": -3, "th": -5}
 _GOOD = set("article body content entry main page post text blog story".split())
 LEVELS, SCORED_CHARS = 5, 25
+#: An element under suspicion is a plain wrapper if it holds more than this share of the page's paragraph points.
+MOST = 0.7
 
 
 @lru_cache(maxsize=10_000)
@@ -72,27 +84,39 @@ def _class_words(value: str) -> tuple[tuple[str, ...], ...]:
 
 
 @lru_cache(maxsize=10_000)
-def _unwanted(value: str, inside: bool) -> frozenset[str]:
-    """What speaks against an element of this class or id. Names of a page's
-    state or layout (has-sidebar, comments-open, content-sidebar-wrap) say
-    nothing of the element; a header within an article belongs to it."""
+def _unwanted(value: str, inside: bool) -> tuple[frozenset[str], bool]:
+    """(what excludes an element of this class or id, whether it is under
+    suspicion). Names of a page's state or layout (has-sidebar, comments-open,
+    content-sidebar-wrap) say nothing of the element; a header within an
+    article belongs to it, and so does what is named after a subject of its own
+    (social-history, related-work)."""
     found: set[str] = set()
+    suspect = False
     for words in _class_words(value):
         if "hidden" in words:
             if words in (("hidden",), ("is", "hidden"), ("visually", "hidden")):
                 found.add("hidden")
             continue
         bad = _UNWANTED.intersection(words)
-        if not bad or words[0] in _ABSENT or "with" in words or words[-1] in _STATES:
+        doubt = _SUSPECT.intersection(words)
+        if not (bad or doubt) or words[0] in _ABSENT or "with" in words or words[-1] in _STATES:
             continue
-        if bad <= {"widget", "widgets"} and words[0] not in bad:  # what page builders call every block
+        if bad | doubt <= {"widget", "widgets"} and words[0] not in doubt:  # what page builders call every block
             continue
-        if bad == {"header"} and (inside or words[0] in _TITLED):
+        if bad | doubt == {"header"} and (inside or words[0] in _TITLED):
             continue
-        if bad <= {"sidebar", "sidebars"} and words[-1] in _WRAPS and not {*words} <= bad | _WRAPS:
+        if bad | doubt <= {"sidebar", "sidebars"} and words[-1] in _WRAPS and not {*words} <= doubt | _WRAPS:
             continue
         found |= bad
-    return frozenset(found)
+        named = all(w in _UNWANTED or w in _SUSPECT or w in _NEUTRAL or w.isdigit() for w in words)
+        suspect |= bool(doubt) and (named or not inside)
+    return frozenset(found), suspect
+
+
+@lru_cache(maxsize=10_000)
+def _says_only(value: str) -> bool:
+    """Whether a class of a heading or paragraph is nothing but unwanted words."""
+    return any(all(w in _UNWANTED or w in _SUSPECT for w in words) for words in _class_words(value))
 
 
 def _embedded(source: str) -> dict[int, int]:
@@ -122,10 +146,12 @@ class _Page:
     """The elements of a page (parallel lists; 0 is the root) and its text blocks in order."""
 
     def __init__(self, source: str) -> None:
-        self.parent, self.tag, self.drop, self.bonus, self.inside = [0], ["#root"], [False], [0], [False]
+        self.parent, self.tag, self.drop, self.bonus, self.inside, self.suspect = [0], ["#root"], [False], [0], [False], [False]
         self.blocks: list[tuple[int, str, int, int]] = []  # element, text, characters in links, links
         self.stack, self.parts, self.linked, self.links, self.in_link = [0], [], 0, 0, False
         self.open: Counter[str] = Counter()  # elements of the stack by tag
+        # A tag that the page's end cuts off is closed there, so no search for a tag's end is in vain.
+        whole, source = len(source), source + ">"
         embedded = _embedded(source)
         at = 0
         while m := _TOKEN.search(source, at):
@@ -135,7 +161,7 @@ class _Page:
             name = m["tag"] or m["tag2"]
             if name and name.lower() not in _EMBED:
                 self._tag(name.lower(), bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or "")
-        self._text(source[at:])
+        self._text(source[at:whole])
         self._flush()
 
     def _text(self, text: str) -> None:
@@ -201,15 +227,19 @@ class _Page:
         above = self.stack[-1]
         drop, bonus = self.drop[above], 0
         inside = self.inside[above]
-        if not drop and tag in _DROPPED and not (tag == "header" and inside):
+        suspect = tag in _DOUBTFUL and not (tag == "header" and inside)
+        if tag in _DROPPED:
             drop = True
         if not drop and attrs:
             for key, *values in _ATTR.findall(attrs):
                 key, value = key.lower(), html.unescape("".join(values))
                 if key in ("class", "id"):
-                    unwanted = _unwanted(value, inside)
-                    if tag not in _NEVER or tag == "article" and unwanted & _APART:
+                    unwanted, doubted = _unwanted(value, inside)
+                    if tag in _READ:  # an id is often a slug of its words
+                        drop |= "hidden" in unwanted or key == "class" and _says_only(value)
+                    elif tag not in _NEVER or tag == "article" and unwanted & _APART:
                         drop |= bool(unwanted)
+                        suspect |= doubted and tag not in _NEVER
                     bonus += 25 * any(_GOOD.intersection(w) for w in _class_words(value))
                 elif tag not in _NEVER:
                     value = value.lower()
@@ -217,7 +247,8 @@ class _Page:
         self.parent.append(above)
         self.tag.append(tag)
         self.drop.append(bool(drop))
-        self.bonus.append(bonus)
+        self.bonus.append(bonus - 25 * suspect)
+        self.suspect.append(suspect)
         self.inside.append(inside or tag in ("article", "main"))
         self.stack.append(len(self.tag) - 1)
         self.open[tag] += 1
@@ -236,17 +267,26 @@ def main_text(source: str | None) -> str:
     if not page.blocks:
         return ""
     n = len(page.tag)
-    chars, linked, points, links = [0] * n, [0] * n, [0.0] * n, [0] * n
-    for element, text, in_links, anchors in page.blocks:
+    chars, linked, points, links, read = [0] * n, [0] * n, [0.0] * n, [0] * n, [0.0] * n
+    worth = [1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= SCORED_CHARS else 0.0 for _, text, *_ in page.blocks]
+    for (element, text, in_links, _), w in zip(page.blocks, worth, strict=True):
+        read[element] += w * (2 * in_links < len(text))
+    for e in range(n - 1, 0, -1):  # an element stands after its parent
+        read[page.parent[e]] += read[e]
+    out = page.drop[:]
+    for e in range(1, n):
+        out[e] |= out[page.parent[e]] or page.suspect[e] and read[e] <= MOST * read[0]
+    for (element, text, in_links, anchors), w in zip(page.blocks, worth, strict=True):
+        if out[element]:
+            continue
         chars[element] += len(text)
         linked[element] += in_links
         links[element] += anchors
-        if len(text) >= SCORED_CHARS:
-            worth = 1 + text.count(",") + min(len(text) / 100, 3)
+        if w:
             above = page.parent[element] if re.fullmatch(r"p|h[1-6]|li|dd|dt|span|pre|blockquote", page.tag[element]) and page.parent[element] else element
             for level, e in zip(range(LEVELS), page.path(above), strict=False):
-                points[e] += worth / (1, 2, 6, 9, 12)[level]
-    for e in range(n - 1, 0, -1):  # an element stands after its parent
+                points[e] += w / (1, 2, 6, 9, 12)[level]
+    for e in range(n - 1, 0, -1):
         for sums in (chars, linked, links):
             sums[page.parent[e]] += sums[e]
     density = [x / max(c, 1) for x, c in zip(linked, chars, strict=True)]
@@ -264,14 +304,14 @@ def main_text(source: str | None) -> str:
         enough = max(10.0, 0.2 * score[best])
         # Blocks that stand in the container itself stay with the best element only if they read like paragraphs.
         for e in range(1, n):
-            if e != best and page.parent[e] == page.parent[best] and not page.drop[e] and chars[e] and page.tag[best] not in ("body", "html"):
+            if e != best and page.parent[e] == page.parent[best] and not out[e] and chars[e] and page.tag[best] not in ("body", "html"):
                 plain = page.tag[e] == "p" and (chars[e] > 80 and density[e] < 0.25 or chars[e] <= 80 and not linked[e])
                 if plain or score[e] >= enough and density[e] < 0.5:
                     kept.add(e)
     holds = [e in kept for e in range(n)]
     for e in range(1, n):
         menu = page.tag[e] in ("ul", "ol", "div", "table", "section", "p") and links[e] > 1 + (page.tag[e] == "p") and density[e] > 0.7
-        holds[e] = (holds[e] or holds[page.parent[e]]) and not menu
+        holds[e] = (holds[e] or holds[page.parent[e]]) and not menu and not out[e]
     return "\n\n".join(text for element, text, *_ in page.blocks if holds[element])
 
 
