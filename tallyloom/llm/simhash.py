@@ -1,25 +1,29 @@
 """SimHash near-duplicates found through deletion-variant signatures.
 
 A 64-bit fingerprint is cut into two halves. If two fingerprints differ in at
-most three bits, one half differs in at most one. Each half is therefore
-indexed under its own value and under its 32 variants with one bit wild;
-fingerprints that meet under a key are verified on all 64 bits. Only distinct
-fingerprints are indexed, so copies never multiply.
+most three bits, one half differs in at most one. Each different half is
+therefore indexed under its 32 variants with one bit wild; an equality join of
+the variants finds the halves that differ in one bit, and the fingerprints that
+have such halves, or share one, meet and are verified on all 64 bits. Only
+distinct fingerprints are compared, so copies never multiply.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import forget, pieces, written
 
 WORDS, DISTANCE, SEED = 3, 3, 42
-#: Buckets of more fingerprints are cut again by variants of the other half.
+#: Places of more fingerprints are cut again by variants of the other half.
 HOT = 2000
+_NARROW = 64
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -55,49 +59,144 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _variants(value: str, bits: int) -> str:
-    """SQL: an array of (key, bit): the value itself (bit 2), then the value with each bit cleared in turn, and what that bit was."""
-    clear = f"transform(sequence(0, {bits - 1}), i -> struct((i + 1L) * {1 << bits}L + ({value} & ~shiftleft(1L, i)) as key, cast(shiftright({value}, i) & 1 as int) as bit))"
-    return f"concat(array(struct({value} as key, 2 as bit)), {clear})"
-
-
-def _half(side: str) -> str:
-    return f"({side} = 0, shiftrightunsigned(fp, 32), fp & 4294967295L)"
-
-
-def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+def _halves(nodes: DataFrame) -> DataFrame:
+    """id, fp, side, value, other: both halves of every fingerprint."""
+    high, low = "shiftrightunsigned(fp, 32)", "fp & 4294967295L"
+    return nodes.selectExpr("id", "fp", f"inline(array(struct(0L as side, {high} as value, {low} as other), struct(1L as side, {low} as value, {high} as other)))")
+
+
+def _dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """By a number of partitions that small inputs keep: what follows makes many rows of one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def places(values: DataFrame, hot: int = HOT) -> DataFrame:
+    """key, side, value, crowded: where fingerprints meet. ``values``: side,
+    value, n, a row for every different half. A half that several fingerprints
+    share is a place, and so are two halves that differ in one bit: both have
+    the same variant with that bit wild, which no third half has, so no key is
+    ever hot. A place of more than ``hot`` fingerprints is crowded."""
+    variants = "transform(sequence(0L, 31L), i -> struct((shiftleft(2L * (i + 1) + side, 32) | (value & ~shiftleft(1L, int(i)))) as key, cast(shiftleft(1, int(shiftright(value, int(i)) & 1)) as tinyint) as seen))"
+    met = _dealt(values, "side", "value").selectExpr(f"inline({variants})").groupBy("key").agg(F.bit_or("seen").alias("seen")).where("seen = 3")
+    first, bit = "key & 4294967295L", "shiftleft(1L, int(shiftright(key, 33) - 1))"
+    near = met.selectExpr("key", "shiftright(key, 32) & 1 as side", f"explode(array({first}, ({first}) | {bit})) as value")
+    own = values.where("n > 1").selectExpr("shiftleft(side, 32) | value as key", "side", "value")
+    sized = own.union(near).join(values, ["side", "value"])
+    return sized.withColumn("crowded", F.sum("n").over(Window.partitionBy("key")) > hot).select("key", "side", "value", "crowded")
+
+
+def close_pairs(fps: np.ndarray, bucket: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b), a < b, of the fingerprints of one bucket that differ in
+    at most ``distance`` bits, block by block. Rows are sorted by bucket."""
+    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    sizes = np.diff(np.append(begin, len(bucket)))
+    narrow = np.repeat(sizes <= _NARROW, sizes)
+    for s in range(1, int(sizes[sizes <= _NARROW].max(initial=1))):  # neighbours s apart, of all narrow buckets at once
+        at = np.flatnonzero(narrow[s:] & (bucket[s:] == bucket[:-s]) & (np.bitwise_count(fps[s:] ^ fps[:-s]) <= distance))
+        yield at, at + s
+    for lo, n in zip(begin[sizes > _NARROW].tolist(), sizes[sizes > _NARROW].tolist(), strict=True):
+        step = max(1, (1 << 20) // n)
+        for i in range(lo, lo + n, step):  # rows of the matrix, not all at once
+            a, b = np.nonzero(np.bitwise_count(fps[i : min(i + step, lo + n), None] ^ fps[None, i : lo + n]) <= distance)
+            yield a[a < b] + i, b[a < b] + i
+
+
+def first_connected(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of ``n`` positions the first one that pairs connect it with."""
+    root = np.arange(n)
+    for a, b in pairs:
+        while len(a):
+            x, y = root[a], root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := root[root], root):
+                root = up
+    return root
+
+
+def _verified(distance: int, all_pairs: bool):
+    """Of rows (key, sub, id, fp) sorted by key and sub: the links inside each bucket."""
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, sub, ids = (rows.column(c).to_numpy() for c in ("key", "sub", "id"))
+        bucket = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]))))
+        pairs = close_pairs(rows.column("fp").to_numpy().view(np.uint64), bucket, distance)
+        if not all_pairs:
+            root = first_connected(len(ids), pairs)
+            at = np.flatnonzero(root != np.arange(len(ids)))
+            pairs = iter([(at, root[at])])
+        for a, b in pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            rest = (now if rest is None else pa.concat_tables([rest, now])).combine_chunks()
+            key, sub = rest.column("key").to_numpy(), rest.column("sub").to_numpy()
+            cut = int(np.argmax((key == key[-1]) & (sub == sub[-1])))  # the last bucket may go on
+            if cut:
+                yield from compare(rest.slice(0, cut))
+                rest = rest.slice(cut)
+        if rest is not None:
+            yield from compare(rest)
+
+    return run
+
+
+def _wild(value: str, bits: int, part: int) -> str:
+    """SQL: the keys of a value of so many bits: itself and each variant with one bit wild."""
+    return f"transform(sequence(0L, {bits}L), i -> shiftleft(2 * i + {part}, {bits}) | if(i = 0, {value}, {value} & ~shiftleft(1L, int(i) - 1)))"
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT, all_pairs: bool = True) -> DataFrame:
     """Pairs (a, b) of nodes (id, fp; fp distinct) whose fingerprints differ in
-    at most ``distance`` (3 at most) bits."""
+    at most ``distance`` (3 at most) bits; without ``all_pairs`` only what
+    connects the same nodes: a member of a bucket is linked to the first one
+    that it is connected with there, so that links never outnumber the rows.
+
+    In a crowded place the other half differs in at most three bits too: again
+    one of two parts in one at most, and members are dealt to buckets by the
+    variants of both. Such a bucket has at most 2^18 fingerprints, compared in blocks.
+    """
     if distance > 3:
         raise ValueError("two halves with one wild bit find differences of three bits at most")
-    halves = nodes.select("id", "fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).selectExpr("id", "fp", "side", f"if{_half('side')} as mine", f"if{_half('1 - side')} as other")
-    keyed = halves.selectExpr("id", "fp", "other", "side", f"inline({_variants('mine', 32)})").selectExpr("id", "fp", "other", f"key * 2 + side as key", "bit")
-    # A value that many fingerprints share makes its own bucket and its variants' large.
-    large = halves.groupBy("side", "mine").count().where(F.col("count") > hot).selectExpr("side", f"inline({_variants('mine', 32)})").selectExpr("key * 2 + side as key").distinct().withColumn("large", F.lit(True))
-    # In those, the other half differs in at most three bits as well: again one of two parts in one at most.
-    parts = f"concat(transform({_variants('(other & 65535L)', 16)}, v -> struct(v.key * 2 as sub, v.bit as sub_bit)), transform({_variants('shiftright(other, 16)', 16)}, v -> struct(v.key * 2 + 1 as sub, v.bit as sub_bit)))"
-    index = keyed.join(large, "key", "left").selectExpr("id", "fp", "key", "bit", f"inline(if(large, {parts}, array(struct(-1L as sub, 2 as sub_bit))))")
-    a, b = index.alias("a"), index.alias("b")
-    meet = F.expr("a.key = b.key and a.sub = b.sub and ((a.bit = 0 and b.bit = 1) or (a.bit = 2 and b.bit = 2 and a.fp < b.fp))"
-                  " and ((a.sub_bit = 2 and b.sub_bit = 2) or a.sub_bit + b.sub_bit = 1)" f" and bit_count(a.fp ^ b.fp) <= {distance}")
-    return a.join(b, meet).selectExpr("a.id as a", "b.id as b")
+    halves = _halves(nodes)
+    values = written(halves.groupBy("side", "value").agg(F.count(F.lit(1)).alias("n")), "halves")
+    members = halves.join(places(values, hot), ["side", "value"])
+    subs = f"concat({_wild('(other & 65535L)', 16, 0)}, {_wild('shiftright(other, 16)', 16, 1)})"
+    rows = members.selectExpr("key", f"explode(if(crowded, {subs}, array(-1L))) as sub", "id", "fp")
+    found = _dealt(rows, "key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_verified(distance, all_pairs), "a long, b long")
+    return found.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct() if all_pairs else found
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of an edge (a, b)
     reaches. Alternates large-star and small-star steps; each round is written
-    to the shared folder, so a lost executor costs one round at most."""
+    to the shared folder, so a lost executor costs one round at most. Joins to
+    the least neighbour shuffle for themselves alone, so that the rows of a node
+    with very many edges can be split."""
     mark = F.expr("struct(count(1) as n, sum(cast(xxhash64(u, v) as decimal(20, 0))) as x)")
+    key = F.xxhash64("u")
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        return rows.withColumn("k", key).join(least.withColumn("k", key), ["k", "u"])
+
     now = written(edges.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct(), "edges")
     seen = None
     while (state := now.agg(mark.alias("m")).first()["m"]) != seen:
         seen = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u and v <> m").selectExpr("v as u", "m as v").distinct()
+        large = with_least(both, least).where("v > u and v <> m").selectExpr("v as u", "m as v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").selectExpr("v as u", "m as v").union(least.selectExpr("u", "m as v"))
-        now = written(small.distinct(), "stars")
+        small = with_least(large, least).where("v <> m").selectExpr("v as u", "m as v").union(least.selectExpr("u", "m as v"))
+        following = written(small.distinct(), "stars")
+        forget(now)
+        now = following
     return now.selectExpr("u as node", "v as component")
 
 
@@ -111,7 +210,7 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE
     prints = written(fingerprints(docs, words), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
     nodes = written(nodes, "nodes")
-    found = components(links(nodes.where("id is not null"), distance, hot))
+    found = components(links(nodes.where("id is not null"), distance, hot, all_pairs=False))
     named = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     # A key of its own makes both sides shuffle for this join alone, so that a fingerprint of many copies can be split.
     key = F.xxhash64("fp")
@@ -123,6 +222,9 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the document with the smallest doc_id."""
-    kept = simhash_groups(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id_"], "left_semi")
+    """The rows of ``docs`` that stay: of each group the document with the
+    smallest doc_id. Rows that repeat a doc_id stay together, if any of them is
+    that document; rows of a null doc_id all stay, as nothing names them."""
+    groups = simhash_groups(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = groups.where("not stays").select(F.col("doc_id").alias("gone_id_"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id_"], "left_anti")
