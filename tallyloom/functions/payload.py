@@ -1,7 +1,8 @@
 """Extraction payloads: strict JSON objects and their normalised leaves.
 
-Each text is parsed once, by an Arrow-batched function; what comes after works
-on the arrays it returns and stays in the JVM. A leaf carries its number among
+``judged`` scores all predictions of a row against its gold in one Arrow-batched
+call, so that each text is parsed once and only scores come back. ``parsed``
+returns the leaves themselves; a leaf carries its number among
 equal leaves of its text, so that a bag of leaves is a set of (path, value, nth)
 and the overlap of two bags is the size of an array intersection.
 """
@@ -79,6 +80,17 @@ def parse(text: str | None) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
+def bag(payload: dict) -> dict[tuple[str, str], int] | None:
+    """How often each leaf occurs; None if a number is too long to be one."""
+    out: dict[tuple[str, str], int] = {}
+    try:
+        for pair in leaves(payload):
+            out[pair] = out.get(pair, 0) + 1
+    except InvalidOperation:
+        return None
+    return out
+
+
 def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
@@ -113,6 +125,51 @@ def parsed(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(valid, pa.bool_()), pa.array(forms, pa.string()), pa.array(sizes, pa.int32()), lists], ["valid", "canonical", "top_level_keys", "leaves"])
 
 
+SCORE = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("exact", T.BooleanType()), T.StructField("f1", T.DoubleType())])
+
+
+@F.arrow_udf(T.ArrayType(SCORE))
+def judged(golds: pa.Array, predictions: pa.Array) -> pa.Array:
+    """For each gold text and its array of predictions the score of each:
+    whether it is a JSON object, equals the gold's canonical JSON, and its
+    micro-F1 (1 if both bags are empty). Null where the gold is malformed."""
+    flat = predictions.flatten().to_pylist()
+    at, ends, known = 0, [0], []
+    valid: list[bool] = []
+    exact: list[bool] = []
+    f1: list[float] = []
+    for gold, n in zip(golds.to_pylist(), pc.list_value_length(predictions).fill_null(0).to_pylist(), strict=True):
+        texts, at = flat[at : at + n], at + n
+        want = parse(gold)
+        target = None if want is None else bag(want)
+        known.append(target is not None)
+        for text in texts if target is not None else ():
+            found = parse(text)
+            got = None if found is None else bag(found)
+            valid.append(got is not None)
+            exact.append(got is not None and found == want and canonical(found) == canonical(want))
+            if got is None:
+                f1.append(0.0)
+            else:
+                size = sum(got.values()) + sum(target.values())
+                shared = sum(min(c, target[x]) for x, c in got.items() if x in target)
+                f1.append(2.0 * shared / size if size else 1.0)
+        ends.append(len(valid))
+    rows = pa.StructArray.from_arrays([pa.array(valid, pa.bool_()), pa.array(exact, pa.bool_()), pa.array(f1, pa.float64())], ["valid", "exact", "f1"])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+    return pc.if_else(pa.array(known, pa.bool_()), lists, pa.nulls(len(known), lists.type))
+
+
+# Filters and projections above don't repeat the call of a function that isn't deterministic.
+parsed, judged = parsed.asNondeterministic(), judged.asNondeterministic()
+
+
+@F.arrow_udf(T.StringType())
+def candidate_key(texts: pa.Array) -> pa.Array:
+    """Canonical JSON of an object, else the text itself."""
+    return pa.array([t if (found := parse(t)) is None or bag(found) is None else canonical(found) for t in texts.to_pylist()], pa.string())
+
+
 @F.pandas_udf(T.StringType())
 def normal_leaf(texts: pd.Series) -> pd.Series:
     """The normal form of a text leaf."""
@@ -134,7 +191,3 @@ def micro_f1(predicted: Column, gold: Column) -> Column:
     both = F.size(predicted) + F.size(gold)
     return F.when(both == 0, 1.0).otherwise(2.0 * overlap(predicted, gold) / both)
 
-
-def candidate_key(text: Column, parse_result: Column) -> Column:
-    """Canonical JSON of an object, else the text itself."""
-    return F.coalesce(parse_result["canonical"], text)

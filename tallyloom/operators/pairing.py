@@ -29,9 +29,11 @@ def pair_status(plan: DataFrame, arms: DataFrame, key: list[str], treated: str,
 
 
 def row_deltas(rows: DataFrame, key: list[str], treated: str, control: str) -> DataFrame:
-    """key, treated, control, delta of the rows that both arms scored (joined on the key, never by position)."""
-    one = lambda arm, tag: rows.where((F.col("arm") == arm) & F.col("micro_f1").isNotNull()).select(*key, F.col("micro_f1").alias(tag))
-    return one(treated, "treated").join(one(control, "control"), key).withColumn("delta", F.col("treated") - F.col("control"))
+    """key, treated, control, delta of the rows that both arms scored (by key,
+    never by position), in one aggregation. Of repeated rows the best score counts."""
+    score = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("micro_f1")))
+    both = rows.where(F.col("arm").isin(treated, control)).groupBy(*key).agg(score(treated).alias("treated"), score(control).alias("control"))
+    return both.where("treated is not null and control is not null").withColumn("delta", F.col("treated") - F.col("control"))
 
 
 def attrition(rows: DataFrame, by: list[str], index: str, treated: str, control: str) -> DataFrame:
@@ -44,7 +46,14 @@ def attrition(rows: DataFrame, by: list[str], index: str, treated: str, control:
 
 def pooled(deltas: DataFrame, by: list[str], quantile: str = "t_exact") -> DataFrame:
     """by, n, mean, se, low, high, excludes_zero under a named quantile: t_exact, t_table or z196."""
-    out = deltas.groupBy(*by).agg(F.count("delta").alias("n"), F.avg("delta").alias("mean"), stats.spread(F.col("delta")).alias("sd"))
+    return _interval(deltas.groupBy(*by).agg(*_moments()), quantile)
+
+
+def _moments() -> list[Column]:
+    return [F.count("delta").alias("n"), F.avg("delta").alias("mean"), stats.spread(F.col("delta")).alias("sd")]
+
+
+def _interval(out: DataFrame, quantile: str) -> DataFrame:
     q = {"t_exact": lambda: stats.t_exact(F.col("n") - 1), "t_table": lambda: stats.t_table(F.col("n") - 1), "z196": lambda: F.lit(1.96)}[quantile]()
     out = out.withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("q_", q)
     out = out.withColumn("low", F.col("mean") - F.col("q_") * F.col("se")).withColumn("high", F.col("mean") + F.col("q_") * F.col("se"))
@@ -54,12 +63,13 @@ def pooled(deltas: DataFrame, by: list[str], quantile: str = "t_exact") -> DataF
 SIGN_TESTS = {"sign2_tol01": (0.01, "two", None), "sign2_tol01_r4": (0.01, "two", 4), "sign2_tol01_r6": (0.01, "two", 6), "sign1_eps": (1e-12, "one", None)}
 
 
-def sign_test(deltas: DataFrame, by: list[str], variant: str) -> DataFrame:
-    """by, wins, losses, ties, p under a named variant: tolerance, sides and
-    rounding. ``sign2_tol01`` rounds to four places only from 1e-4 on."""
-    tolerance, sides, places = SIGN_TESTS[variant]
+def _outcomes(tolerance: float) -> list[Column]:
     d = F.col("delta")
-    out = deltas.groupBy(*by).agg(stats.wins(d, tolerance).alias("wins"), stats.losses(d, tolerance).alias("losses"), F.count_if(F.abs(d) <= tolerance).alias("ties"))
+    return [stats.wins(d, tolerance).alias("wins"), stats.losses(d, tolerance).alias("losses"), F.count_if(F.abs(d) <= tolerance).alias("ties")]
+
+
+def _with_p(out: DataFrame, variant: str) -> DataFrame:
+    _, sides, places = SIGN_TESTS[variant]
     p = (stats.sign_two_sided if sides == "two" else stats.sign_one_sided)(F.col("wins"), F.col("losses"))
     out = out.withColumn("p", p)
     if variant == "sign2_tol01":
@@ -67,6 +77,18 @@ def sign_test(deltas: DataFrame, by: list[str], variant: str) -> DataFrame:
     return out.withColumn("p", F.round("p", places)) if places else out
 
 
+def sign_test(deltas: DataFrame, by: list[str], variant: str) -> DataFrame:
+    """by, wins, losses, ties, p under a named variant: tolerance, sides and
+    rounding. ``sign2_tol01`` rounds to four places only from 1e-4 on."""
+    return _with_p(deltas.groupBy(*by).agg(*_outcomes(SIGN_TESTS[variant][0])), variant)
+
+
+def summary(deltas: DataFrame, by: list[str], quantile: str, variant: str) -> DataFrame:
+    """What a gate decides on, in one aggregation: ``pooled``, ``sign_test`` and the control's mean."""
+    out = deltas.groupBy(*by).agg(*_moments(), *_outcomes(SIGN_TESTS[variant][0]), F.avg("control").alias("control"))
+    return _with_p(_interval(out, quantile), variant)
+
+
 def without_largest(deltas: DataFrame, by: list[str], n: int, order: list[str]) -> DataFrame:
     """by, jackknife_mean: the mean without the n largest; null if none is left."""
     largest_first = Window.partitionBy(*by).orderBy(F.desc("delta"), *order)

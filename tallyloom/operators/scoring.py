@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import micro_f1, parsed
+from ..functions.payload import judged, parsed
 
 
 def with_parsed(df: DataFrame, text: str, into: str) -> DataFrame:
@@ -22,16 +22,20 @@ def scored(df: DataFrame, prediction: str = "prediction", gold: str = "gold", on
     (false, false, 0). A malformed gold raises, or with ``on_invalid_gold`` =
     "null" leaves the scores null. Exact means equal canonical JSON, stricter
     than an F1 of 1."""
-    both = with_parsed(with_parsed(df, prediction, "p_"), gold, "g_")
+    one = judged(F.col(gold), F.array(F.col(prediction)))
     if on_invalid_gold == "raise":
-        both = both.withColumn("g_", F.when(F.col("g_.valid"), F.col("g_")).otherwise(F.raise_error(F.lit("gold is not a JSON object"))))
-    ok, known = F.col("p_.valid"), F.col("g_.valid")
-    return (
-        both.withColumn("valid_json", F.when(known, ok))
-        .withColumn("exact_match", F.when(known, ok & F.coalesce(F.col("p_.canonical") == F.col("g_.canonical"), F.lit(False))))
-        .withColumn("micro_f1", F.when(known, F.when(ok, micro_f1(F.col("p_.leaves"), F.col("g_.leaves"))).otherwise(0.0)))
-        .drop("p_", "g_")
-    )
+        one = F.coalesce(one, F.raise_error(F.lit("gold is not a JSON object")))
+    out = df.withColumn("s_", one)  # evaluated once: the fields below stand in a later projection
+    return out.select(*df.columns, F.col("s_")[0]["valid"].alias("valid_json"), F.col("s_")[0]["exact"].alias("exact_match"), F.col("s_")[0]["f1"].alias("micro_f1"))
+
+
+def scored_arms(df: DataFrame, arms: dict[str, str], gold: str = "gold") -> DataFrame:
+    """``df`` with a column per arm: struct<valid, exact, f1> of its prediction
+    (``arms``: arm to prediction column), null where the arm has none. The gold
+    of a row is parsed once for all arms; a malformed gold raises."""
+    all_ = F.coalesce(judged(F.col(gold), F.array(*map(F.col, arms.values()))), F.raise_error(F.lit("gold is not a JSON object")))
+    out = df.withColumn("s_", all_)
+    return out.select(*[c for c in df.columns if c not in arms], *[F.when(F.col(c).isNotNull(), F.col("s_")[i]).alias(a) for i, (a, c) in enumerate(arms.items())])
 
 
 def one_per_id(predictions: DataFrame, key: str = "id", on_duplicate: str = "zero", order: str = "line_no", value: str = "prediction") -> DataFrame:

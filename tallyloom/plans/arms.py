@@ -10,7 +10,7 @@ order) must not change a score.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
@@ -39,10 +39,10 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("gold", F.to_json(F.struct(*LEAVES)))
 
 
-def predictions(g: DataFrame, arm: str) -> DataFrame:
-    """``g`` with arm and prediction; rows that the arm misses are absent."""
+def prediction(arm: str) -> Column:
+    """The arm's text for a row of gold; null where it misses the row."""
 
-    def leaf(j: int, name: str):
+    def leaf(j: int, name: str) -> Column:
         x = F.col(name)
         if name == "total":  # grouped thousands on odd keys
             x = F.when(F.col("k") % 2 == 1, F.format_number(x.cast("double"), 2)).otherwise(x)
@@ -51,10 +51,23 @@ def predictions(g: DataFrame, arm: str) -> DataFrame:
         return F.when(F.expr(SPOILED[arm].format(j=j)), F.concat(F.lit("x"), x)).otherwise(x).alias(name)
 
     text = F.to_json(F.struct(*[leaf(j, n) for j, n in reversed(list(enumerate(LEAVES)))]))
-    out = g.withColumn("arm", F.lit(arm)).withColumn("prediction", text)
     if arm == "base":
-        out = out.where("k % 97 <> 0").withColumn("prediction", F.when(F.col("k") % 41 == 0, F.concat("prediction", F.lit(" trailing"))).otherwise(F.col("prediction")))
-    return out
+        text = F.when(F.col("k") % 97 != 0, F.when(F.col("k") % 41 == 0, F.concat(text, F.lit(" trailing"))).otherwise(text))
+    return text
+
+
+def predictions(g: DataFrame, arm: str) -> DataFrame:
+    """``g`` with arm and prediction; rows that the arm misses are absent."""
+    out = g.where("k % 97 <> 0") if arm == "base" else g
+    return out.withColumn("arm", F.lit(arm)).withColumn("prediction", prediction(arm))
+
+
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    """Gold rows with both predictions, base_text and tuned_text, null where the arm misses the row."""
+    g = gold(spark, d)
+    for arm in ("base", "tuned"):
+        g = g.withColumn(f"{arm}_text", prediction(arm))
+    return g
 
 
 def both(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.payload import candidate_key, is_number, normal_leaf, parsed
+from ..functions.payload import candidate_key, is_number, normal_leaf
 from ..operators import corpora, merges, splits, votes
 from ..tables import table
 
@@ -36,7 +36,7 @@ VOTES = "c as (select o_orderkey as id, j::int as ordinal, case when o_orderkey
 
 def _pool(spark, d):
     rows = completions(spark, d)
-    keyed = rows.withColumn("key", candidate_key(F.col("text"), parsed("text")))
+    keyed = rows.withColumn("key", candidate_key("text"))
     return votes.pool(keyed, ["id"], "key")
 
 
@@ -120,7 +120,7 @@ def label_value_lines(spark, d):
     return joined.select("doc_id", lines.alias("lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("select l_orderkey as k, l_linenumber as n, floor(l_extendedprice)::bigint::varchar as plain, floor(l_extendedprice)::bigint::varchar as grouped, true as numeric from lineitem where l_orderkey % 4 = 0 group by all")
+@query("select l_orderkey as k, l_linenumber as n, floor(l_extendedprice)::bigint::varchar as plain, floor(l_extendedprice)::bigint::varchar as grouped, true as numeric from lineitem group by all")
 def numeric_token_norm(spark, d):
     """A price as 12345.0 and as 12,345 has one normal form."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.floor("l_extendedprice").cast("long").alias("v")).distinct()
@@ -189,7 +189,7 @@ def claimed_count_drift(spark, d):
     return merges.claimed_counts(table(spark, d, "documents"), "([0-9]{1,6}) ", 190)
 
 
-@query("with s as (select event_type, user_id, sum(value) over (partition by event_type order by event_id rows unbounded preceding) as total, event_id from events) select event_id, event_type, round(total, 4) as running from s where event_id % 50 = 0")
+@query("with s as (select event_type, sum(value) over (partition by event_type order by event_id rows unbounded preceding) as total, event_id from events) select event_id, event_type, round(total, 4) as running from s")
 def running_totals(spark, d):
     order = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return table(spark, d, "events").withColumn("running", F.round(F.sum("value").over(order), 4)).select("event_id", "event_type", "running")
