@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8
+from .common import lower_ascii, pieces, utf8, written
 
 #: Chunk sizes in bytes: none is shorter but the last of a text, the usual one, none is longer.
 SHORTEST, USUAL, LONGEST = 512, 2048, 16384
@@ -123,8 +123,8 @@ def exact_groups(docs: DataFrame, identifier_bits: int = 128) -> DataFrame:
     ``docs``: doc_id, text; other columns are left out. Returns doc_id, keep_id,
     group_size, kept, text_sha256. A null text counts as empty, and empty texts
     are equal. Rows that repeat a doc_id with the same text are one document
-    (one row comes back; group_size counts every row). An empty table gives an
-    empty result. ``identifier_bits`` (1 to 128) is for tests: few bits make
+    (one row comes back; group_size counts every row), and so are rows of a null
+    doc_id, which is smaller than any other. An empty table gives an empty result. ``identifier_bits`` (1 to 128) is for tests: few bits make
     clashes, which are resolved exactly.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -136,6 +136,7 @@ def exact_groups(docs: DataFrame, identifier_bits: int = 128) -> DataFrame:
         number = Window.partitionBy("id_a", "id_b", "n").orderBy("body")
         clashes = bodies.join(clashing, ["id_a", "id_b", "n"], "left_semi").distinct().withColumn("which", F.row_number().over(number))
         recipes = _numbered(docs, clashes, identifier_bits)
+    recipes = written(recipes, "recipes")  # read twice, and a hundredth of the texts
     rows = recipes.groupBy("doc_id", "text_sha256", "recipe").agg(F.count(F.lit(1)).alias("n"))
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
     # Joined on the recipe and a hash of it: with a key of its own each side is
@@ -144,14 +145,16 @@ def exact_groups(docs: DataFrame, identifier_bits: int = 128) -> DataFrame:
     return (
         rows.withColumn("key", key)
         .join(groups.withColumn("key", key), ["key", "recipe"])
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the row with the largest
-    doc_id, once; all columns are kept. Rows with a null doc_id can't be told
-    apart and are dropped."""
-    kept = exact_groups(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id_"))
-    cols = docs.columns
-    return docs.join(kept, docs["doc_id"] == kept["kept_id_"], "left_semi").dropDuplicates(["doc_id"]).select(*[f"`{c}`" for c in cols])
+    doc_id (null is the smallest), once; all columns are kept. Of rows that
+    share doc_id and text one stays, whatever their other columns hold."""
+    kept = exact_groups(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").cast("string").alias("id_"), F.col("text_sha256").alias("sha_"))
+    kept = kept.withColumn("id_", F.coalesce("id_", F.lit("null")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.withColumn("id_", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))).withColumn("sha_", F.sha2(lower_ascii(text), 256))
+    return named.join(kept, ["id_", "sha_"], "left_semi").dropDuplicates(["id_", "sha_"]).select(*[f"`{c}`" for c in docs.columns])

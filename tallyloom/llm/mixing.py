@@ -88,7 +88,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     return joined.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _named(doc_id: Column, source: Column) -> list[Column]:
+    return [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null")).alias(name) for c, name in ((doc_id.cast("long"), "id_"), (source, "source_"))]
+
+
 def take_mix(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns."""
-    times = mix(docs, quality, **options).where("copies > 0").select(F.col("doc_id").alias("taken_id_"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy_"))
-    return docs.join(times, docs["doc_id"] == times["taken_id_"]).select(*[docs[f"`{c}`"] for c in docs.columns])
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its
+    columns. Rows that share doc_id (null too) and source are all taken as often
+    as the one of them that is taken most."""
+    times = mix(docs, quality, **options).where("copies > 0").groupBy(*_named(F.col("doc_id"), F.col("source"))).agg(F.max("copies").alias("copies_"))
+    named = docs.select("*", *_named(F.col("doc_id"), F.col("source")))
+    return named.join(times, ["id_", "source_"]).withColumn("copy_", F.explode(F.array_repeat(F.lit(0), F.col("copies_")))).select(*[f"`{c}`" for c in docs.columns])

@@ -43,6 +43,9 @@ def test_exact_repeated_rows_and_empty_table(spark):
     assert got == {0: (2, True), 1: (2, True)}
     kept = drop_exact(frame(spark, ["q", "Q", None, ""]).union(frame(spark, ["q"])))
     assert sorted(x.doc_id for x in kept.collect()) == [1, 3] and kept.columns == frame(spark, ["q"]).columns
+    odd = spark.createDataFrame([(None, "a"), (None, "A"), (None, "b"), (4, "B"), (4, "c"), (4, "d"), (5, "c")], "doc_id long, text string")
+    assert sorted((x.doc_id or 0, x.text.lower()) for x in drop_exact(odd).collect()) == [(0, "a"), (4, "b"), (4, "d"), (5, "c")]
+    assert {(x.doc_id, x.kept) for x in exact_groups(odd).collect()} == {(None, True), (None, False), (4, True), (4, False), (5, True)}
     assert exact_groups(df.limit(0)).count() == 0
 
 
@@ -150,4 +153,6 @@ def test_near_duplicates_leave_one_of_each_group(spark):
     got = drop_near(frame(spark, texts))
     assert {x.doc_id for x in got.collect()} == want and got.columns == frame(spark, ["q"]).columns
     assert drop_near(frame(spark, ["q"]).limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b c d e"), (4, "b c d e"), (5, "b c d e"), (5, "f"), (6, "f")], "doc_id long, text string")
+    assert sorted((x.doc_id or 0, x.text) for x in drop_near(odd).collect()) == [(0, "a"), (0, "a"), (0, "b c d e"), (4, "b c d e"), (5, "b c d e"), (5, "f")]
     assert fingerprints(frame(spark, [None])).first().fp == 0

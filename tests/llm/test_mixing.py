@@ -79,5 +79,13 @@ def test_mix_repeats_whole_rows_and_keeps_columns(spark):
     assert counts == {k: c for k, c in taken.items() if c}
 
 
+def test_null_and_repeated_ids_are_rows_like_any_other(spark):
+    docs = spark.createDataFrame([(i // 2 if i % 5 else None, f"w {i} x y", "s" if i % 3 else None, "clash", 0) for i in range(60)], SCHEMA)
+    assert mix(docs).count() == 60
+    copies = {(x.doc_id, x.source): x.n for x in mix(docs).groupBy("doc_id", "source").agg(F.max("copies").alias("n")).collect()}
+    got = {(x.doc_id, x.text): x["count"] for x in take_mix(docs).groupBy("doc_id", "text").count().collect()}
+    assert got == {(x.doc_id, x.text): copies[x.doc_id, x.source] for x in docs.collect() if copies[x.doc_id, x.source]}
+
+
 def test_empty_table(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
