@@ -23,11 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a folder of our
+    own if everything runs in this process (tests), else an error: executors
+    elsewhere wouldn't see it."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tallyloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

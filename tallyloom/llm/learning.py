@@ -22,7 +22,8 @@ def fold(doc_id: Column, parts: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int) -> DataFrame:
     """doc_id, text, label of at most ``rows`` labelled documents for which
     ``train`` (a condition on doc_id) holds, chosen by a hash of doc_id. The
-    choice has at most ``rows`` rows, so it is broadcast to the documents."""
+    choice has at most ``rows`` rows, so it is broadcast to the documents. Of
+    documents that share a doc_id the smallest text is taken."""
     chosen = (
         labels.where(F.col(label).isin(0, 1) & train)
         .groupBy(F.col("doc_id").cast("long").alias("chosen_id"))
@@ -31,7 +32,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         .limit(rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "label").dropDuplicates(["doc_id"])
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
