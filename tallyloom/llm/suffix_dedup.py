@@ -11,8 +11,12 @@ these: the suffixes one byte further left are the same ones, dealt stably by the
 byte before them, and so on byte by byte. A suffix tuple is (preceding bytes'
 class, rank); its common prefix with the next in its class is the number of
 bytes gone left plus the least common prefix between their ranks. A string
-repeats if that reaches ``length``. Shards hold whole grams; a gram with more
-surroundings than fit is counted by windows instead, so no task grows with it.
+repeats if that reaches ``length``. A task holds whole groups of tuples: those
+of one gram at first. A group that is too large is induced recursively: its
+range of distances is halved, and in each half the tuples are grouped by all the
+bytes that equal strings of that half must share, and those without any
+difference left there become one. Strings of one distance are equal or apart,
+so the recursion ends, and no task grows with a passage that very many share.
 """
 
 from __future__ import annotations
@@ -22,16 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, pieces, utf8, written
 
 LENGTH, GRAM = 400, 64
-#: Grams in more different surroundings than this are counted by windows.
-CROWDED = 50_000
+#: Groups of more tuples than this are induced recursively.
+CROWDED = 500
 _ROWS = 8192
 _SPANS = "key binary, lo int, hi int"
+#: What names a row: its doc_id (null: 0) and a hash of its text. Rows that share both have equal results.
+_ROW = ["did", "mark"]
+_TUPLE = "g long, lo int, hi int, n long, most int, least int, before binary, after binary"
 
 
 def _gears() -> np.ndarray:
@@ -86,25 +94,27 @@ def _anchors(length: int, gram: int):
             data, at = data[at[0] : at[-1]], at - at[0]
             p, h, most, least = anchors_of(data, at, length, gram)
             doc = np.searchsorted(at, p, side="right") - 1
-            ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(p - at[doc]), pa.array(h), pa.array(most, pa.int32()), pa.array(least, pa.int32())], ["doc_id", "p", "h", "most", "least"])
+            ids = [batch.column(c).take(pa.array(doc)) for c in _ROW]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(p - at[doc]), pa.array(h), pa.array(most, pa.int32()), pa.array(least, pa.int32())], [*_ROW, "p", "h", "most", "least"])
 
     return run
 
 
 def _surroundings(length: int):
-    """Rows (key, h, most, least, before, after, doc_id, p): the bytes on both sides of each anchor; key: their MD5."""
+    """Rows (key, h, often, most, least, before, after, did, mark, p): the bytes on both sides of each anchor; key: their MD5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 19):
-            keys, hs, mosts, leasts, befores, afters, docs, ps = [], [], [], [], [], [], [], []
-            for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found"), strict=True):
+            keys, hs, oftens, mosts, leasts, befores, afters, rows, ps = [], [], [], [], [], [], [], [], []
+            for i, (text, found) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found"), strict=True)):
                 found = found.values
-                for p, h, most, least in zip(*(found.field(k).to_pylist() for k in ("p", "h", "most", "least")), strict=True):
+                rows += [i] * len(found)
+                for p, h, often, most, least in zip(*(found.field(k).to_pylist() for k in ("p", "h", "often", "most", "least")), strict=True):
                     before, after = text[p - most : p], text[p : p + length - least]
                     keys.append(hashlib.md5(b"%d:" % most + before + after).digest())
-                    hs.append(h), mosts.append(most), leasts.append(least), befores.append(before), afters.append(after), docs.append(doc), ps.append(p)  # noqa: E702
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(hs, pa.int64()), pa.array(mosts, pa.int32()), pa.array(leasts, pa.int32()), pa.array(befores, pa.binary()), pa.array(afters, pa.binary()), pa.array(docs, pa.int64()), pa.array(ps, pa.int64())], ["key", "h", "most", "least", "before", "after", "doc_id", "p"])
+                    hs.append(h), oftens.append(often), mosts.append(most), leasts.append(least), befores.append(before), afters.append(after), ps.append(p)  # noqa: E702
+            names = [batch.column(c).take(pa.array(rows, pa.int64())) for c in _ROW]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(hs, pa.int64()), pa.array(oftens, pa.bool_()), pa.array(mosts, pa.int32()), pa.array(leasts, pa.int32()), pa.array(befores, pa.binary()), pa.array(afters, pa.binary()), *names, pa.array(ps, pa.int64())], ["key", "h", "often", "most", "least", "before", "after", *_ROW, "p"])
 
     return run
 
@@ -127,7 +137,7 @@ def _least_between(prefix: np.ndarray) -> list[np.ndarray]:
 
 
 def induce(h: np.ndarray, before: np.ndarray, most: np.ndarray, after: np.ndarray, sizes: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by (h, after): the farthest and nearest distance left of
+    """For rows sorted by (h, after), h being the group: the farthest and nearest distance left of
     the anchor at which a string begins that another row has too (-1: none)."""
     n = len(h)
     far, near = np.full(n, -1), np.full(n, 1 << 30)
@@ -176,7 +186,7 @@ def _induced(length: int):
         most, least = rows.column("most").to_numpy(), rows.column("least").to_numpy()
         before, _ = _padded(rows.column("before"), max(1, int(most.max())), True)
         after, sizes = _padded(rows.column("after"), length, False)
-        far, near = induce(rows.column("h").to_numpy(), before, most, after, sizes, least, length)
+        far, near = induce(rows.column("g").to_numpy(), before, most, after, sizes, least, length)
         whole = rows.column("n").to_numpy() > 1  # the same surroundings elsewhere: every string repeats
         far, near = np.where(whole, most, far), np.where(whole, least, near)
         found = np.flatnonzero(far >= 0)
@@ -189,8 +199,8 @@ def _induced(length: int):
             table = pa.Table.from_batches([batch])
             rest = table if rest is None else pa.concat_tables([rest, table])
             if rest.num_rows >= _ROWS:
-                h = rest.column("h").to_numpy()
-                cut = int(np.flatnonzero(h == h[-1])[0])  # the last gram may go on
+                g = rest.column("g").to_numpy()
+                cut = int(np.argmax(g == g[-1]))  # the last group may go on
                 if cut:
                     yield compare(rest.slice(0, cut))
                     rest = rest.slice(cut)
@@ -200,47 +210,79 @@ def _induced(length: int):
     return run
 
 
-def _windows(length: int):
-    """Every string of each row by its MD5, for grams that are too crowded to compare."""
+def _halved(length: int):
+    """Each tuple in both halves of its range of distances: (part, key, tuple),
+    the tuple cut to the half, part naming its contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, most, least, before, after, n in zip(*(batch.column(c).to_pylist() for c in ("key", "most", "least", "before", "after", "n")), strict=True):
-                text = before + after
-                d = range(least, most + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(text[most - x : most - x + length]).digest() for x in d], pa.binary()), pa.array([key] * len(d), pa.binary()), pa.array(d, pa.int32()), pa.array([n] * len(d), pa.int64())], ["string", "key", "d", "n"])
+            out: list[tuple] = []
+            for key, lo, hi, n, most, least, before, after in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "n", "most", "least", "before", "after")), strict=True):
+                for a, b in ((lo, (lo + hi) // 2), ((lo + hi) // 2, hi)):
+                    near, far = max(least, a), min(most, b - 1)
+                    if near <= far:
+                        left, right = before[len(before) - far :], after[: length - near]
+                        core = b"%d,%d:" % (a, b) + left[far - a :] + right[: length - b + 1]
+                        part = hashlib.md5(b"%d,%d,%d,%d:" % (a, b, near, far) + left + right).digest()
+                        out.append((part, key, xxhash.xxh3_64_intdigest(core) - (1 << 63), a, b, n, far, near, left, right))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "key", "g", "lo", "hi", "n", "most", "least", "before", "after"])
 
     return run
 
 
+def _own_key(df: DataFrame, on: str) -> DataFrame:
+    """With a hash of the join key as a key of its own: both sides shuffle for the join alone, so a hot key can be split."""
+    return df.withColumn("k", F.xxhash64(on))
+
+
+def induced_spans(tuples: DataFrame, often: DataFrame, length: int, crowded: int) -> DataFrame:
+    """key, lo, hi: what repeated strings cover, counted from the anchor.
+    ``tuples``: key and the columns of ``_TUPLE``, of groups that aren't crowded;
+    ``often``: the same of groups that may be. Crowded groups are halved until
+    none is crowded; each level is written, and its spans go back along the
+    names of its parts."""
+    levels, names = [tuples], []
+    while True:
+        crowd = often.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowded).select("g")
+        if crowd.isEmpty():
+            levels[-1] = levels[-1].unionByName(often)
+            break
+        levels[-1] = levels[-1].unionByName(_own_key(often, "g").join(_own_key(crowd, "g"), ["k", "g"], "left_anti").drop("k"))
+        cut = _own_key(often, "g").join(_own_key(crowd, "g"), ["k", "g"], "left_semi").drop("k")
+        cut = written(cut.mapInArrow(_halved(length), f"part binary, key binary, {_TUPLE}"), "cut")
+        names.append(cut.select("part", "key").distinct())
+        merged = cut.groupBy("part").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("g", "lo", "hi", "most", "least", "before", "after")])
+        often = written(merged.withColumnRenamed("part", "key"), "tuples")
+        levels.append(often.limit(0))
+
+    def spans(rows: DataFrame) -> DataFrame:
+        return rows.select("g", "key", "n", "most", "least", "before", "after").repartition("g").sortWithinPartitions("g", "after", "before").mapInArrow(_induced(length), _SPANS)
+
+    out = spans(levels.pop())
+    while levels:
+        back = _own_key(names.pop(), "part").join(_own_key(out.withColumnRenamed("key", "part"), "part"), ["k", "part"]).select("key", "lo", "hi")
+        out = spans(levels.pop()).union(back)
+    return out
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
-    """doc_id, spans array<struct<start,stop>> (byte offsets, not merged) of the
-    bytes that repeated strings cover. ``docs``: doc_id (unique), text."""
-    found = written(docs.mapInArrow(_anchors(length, gram), "doc_id long, p long, h long, most int, least int"), "anchors")
-    again = found.groupBy("h").count().where("count > 1").select("h")
-    key = F.xxhash64("h")  # of its own, so that a gram of very many places can be split
-    places = found.withColumn("k", key).join(again.withColumn("k", key), ["k", "h"]).groupBy("doc_id").agg(F.collect_list(F.struct("p", "h", "most", "least")).alias("found"))
+    """did, mark, spans array<struct<start,stop>> (byte offsets, not merged) of the
+    bytes that repeated strings cover. ``docs``: did, mark (together they name a text), text."""
+    found = written(docs.mapInArrow(_anchors(length, gram), "did long, mark long, p long, h long, most int, least int"), "anchors")
+    # A gram in no more places than fit a group can't be crowded; only the others' tuples are counted once copies are one.
+    again = found.groupBy("h").count().where("count > 1").select("h", (F.col("count") > crowded).alias("often"))
+    places = _own_key(found, "h").join(_own_key(again, "h"), ["k", "h"]).groupBy(*_ROW).agg(F.collect_set(F.struct("p", "h", "often", "most", "least")).alias("found"))
     places = written(places, "places")
     forget(found)
-    around = docs.join(places, "doc_id").mapInArrow(_surroundings(length), "key binary, h long, most int, least int, before binary, after binary, doc_id long, p long")
+    around = docs.join(places, _ROW).mapInArrow(_surroundings(length), "key binary, h long, often boolean, most int, least int, before binary, after binary, did long, mark long, p long")
     around = written(around, "around")
     forget(places)
-    distinct = around.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("h", "most", "least", "before", "after")])
-    distinct = written(distinct, "distinct")
-    crowd = distinct.groupBy("h").count().where(F.col("count") > crowded).select("h")
-    if crowd.isEmpty():
-        sparse, strings = distinct, None
-    else:
-        sparse = distinct.join(crowd, "h", "left_anti")
-        strings = distinct.join(crowd, "h", "left_semi").select("key", "most", "least", "before", "after", "n").mapInArrow(_windows(length), "string binary, key binary, d int, n long")
-    rows = sparse.select("h", "key", "n", "most", "least", "before", "after").repartition("h").sortWithinPartitions("h", "after", "before")
-    spans = rows.mapInArrow(_induced(length), _SPANS)
-    if strings is not None:
-        repeated = strings.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
-        spans = spans.union(strings.join(repeated, "string").groupBy("key").agg(-F.max("d"), (length - F.min("d")).cast("int")))
-    key = F.xxhash64("key")
-    out = around.select("key", "doc_id", "p").withColumn("k", key).join(spans.withColumn("k", key), ["k", "key"])
-    out = out.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("p") + F.col("lo")).alias("start"), (F.col("p") + F.col("hi")).alias("stop"))).alias("spans"))
+    distinct = around.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("h", "often", "most", "least", "before", "after")])
+    distinct = written(distinct.withColumnRenamed("h", "g").withColumns({"lo": F.lit(0), "hi": F.lit(length - gram + 1)}), "distinct")
+    spans = induced_spans(distinct.where("not often").drop("often"), distinct.where("often").drop("often"), length, crowded)
+    out = _own_key(around.select("key", *_ROW, "p"), "key").join(_own_key(spans, "key"), ["k", "key"])
+    out = out.groupBy(*_ROW).agg(F.collect_set(F.struct((F.col("p") + F.col("lo")).alias("start"), (F.col("p") + F.col("hi")).alias("stop"))).alias("spans"))
     out = written(out, "spans")
     forget(around)
     forget(distinct)
@@ -253,13 +295,12 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded
 
     A byte goes if a string of ``length`` bytes that covers it also begins at
     another place, of the same text or another. Null and empty texts have no
-    bytes. doc_id identifies a row: of rows that repeat one, one (the first in
-    text order) is taken. Rows of a null doc_id are dropped.
+    bytes. Every row comes back, with a null doc_id or one that others have too;
+    rows that repeat a text repeat its strings.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty() is False:
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    joined = docs.join(repeated_spans(docs, length, gram, crowded), "doc_id", "left")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("did", F.coalesce("doc_id", F.lit(0))).withColumn("mark", F.xxhash64("text"))
+    joined = docs.join(repeated_spans(docs.select(*_ROW, "text"), length, gram, crowded), _ROW, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):

@@ -43,7 +43,28 @@ def test_equals_brute_force(spark, seed, length, gram, crowded):
     assert any(w[1] for w in want.values())
 
 
-def test_repeated_ids_and_empty_table(spark):
+def test_a_passage_that_very_many_share_is_induced_recursively(spark):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
+    shared, short = word(90), word(30)
+    texts = [word(r.randint(0, 30)) + r.choice([shared, shared, short, shared[20:75], ""]) + word(r.randint(0, 30)) for _ in range(250)]
+    rows = [(i, t, "clash", 1, None) for i, t in enumerate(texts)]
+    want = brute({i: t.encode() for i, t in enumerate(texts)}, 40)
+    for crowded in (1, 10, 10_000):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in cut_repeats(spark.createDataFrame(rows, SCHEMA), 40, 8, crowded).collect()}
+        assert got == want
+
+
+def test_null_and_repeated_ids_keep_their_rows(spark):
+    a, b, c = "x" + "ab" * 40, "cd" * 30 + "y", "".join(map(chr, range(40, 120)))
+    rows = [(None, a), (None, a), (None, c), (3, b), (3, c), (3, b + "z"), (0, a), (None, None)]
+    got = cut_repeats(spark.createDataFrame([(i, t, "", 0, "") for i, t in rows], SCHEMA), 40, 8).collect()
+    want = brute(dict(enumerate((t or "").encode() for _, t in rows)), 40)
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got), key=key) == sorted(((i, *want[k]) for k, (i, _) in enumerate(rows)), key=key)
+
+
+def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a" * 30, "", 0, ""), (1, "a" * 30, "", 0, ""), (None, "b" * 50, "", 0, "")], SCHEMA)
-    assert [(x.doc_id, x.n_bytes, x.n_removed) for x in cut_repeats(df, 40, 8).collect()] == [(1, 30, 0)]
+    assert sorted((x.doc_id or 0, x.n_bytes, x.n_removed) for x in cut_repeats(df, 40, 8).collect()) == [(0, 50, 50), (1, 30, 0), (1, 30, 0)]
     assert cut_repeats(df.limit(0), 40, 8).count() == 0
