@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import generate, scoring
+
 TOLERANCE = 5e-4
 
 
@@ -40,6 +42,50 @@ def refuse_conflicts(actions: DataFrame) -> DataFrame:
     return actions.withColumn("action", F.when(F.col("action") == "conflict", F.raise_error(F.lit("conflicting results for one environment"))).otherwise(F.col("action")))
 
 
+def seeded(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """``incoming`` with action: seed, or why not: not an arm (no identity), local
+    (no device), error, here (never overwritten)."""
+    here = existing.select(*key).distinct().withColumn("here_", F.lit(True))
+    anonymous = F.lit(False)
+    for c in key:
+        anonymous = anonymous | F.col(c).isNull()
+    action = F.when(anonymous, "not an arm").when(F.col("device").isNull(), "local").when(F.col("error").isNotNull(), "error").when(F.col("here_"), "here").otherwise("seed")
+    return incoming.join(here, key, "left").withColumn("action", action).drop("here_")
+
+
+def purged(rows: DataFrame, device: str, dtype: str) -> DataFrame:
+    """Rows of a stage that stay when it runs on ``device`` and ``dtype``: those made there."""
+    return rows.where(F.col("device").eqNullSafe(F.lit(device)) & F.col("dtype").eqNullSafe(F.lit(dtype)))
+
+
+def requested(plan: DataFrame, wanted: str) -> DataFrame:
+    """The rows of ``plan`` (k, seed, arm) that a list "k:seed:arm,..." names; an empty list names all."""
+    rows = [tuple(x.split(":")) for x in wanted.split(",") if x.strip()]
+    if any(len(x) != 3 for x in rows):
+        raise ValueError(f"not a list of k:seed:arm: {wanted}")
+    if not rows:
+        return plan
+    names = plan.sparkSession.createDataFrame([(int(k), int(s), a.strip()) for k, s, a in rows], "k int, seed int, arm string")
+    return plan.join(F.broadcast(names.distinct()), ["k", "seed", "arm"], "left_semi")  # as many rows as the list has
+
+
+def primary_audit(runs: DataFrame, results: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """seed, arm, geometry, rescored, mismatched, status: stored predictions
+    scored again against regenerated gold. ``runs``: seed, arm, k, eval_n,
+    schema_text; ``results``: seed, arm, index (of the test records), prediction,
+    micro_f1. Rows without a prediction can't be verified; a schema that no
+    geometry yields is an integrity failure."""
+    fit = generate.resolve_geometry(runs.select("seed", "schema_text").distinct())
+    known = runs.join(fit.withColumnRenamed("schema_text", "s_"), (runs["seed"] == fit["seed"]) & F.col("schema_text").eqNullSafe(F.col("s_"))).select(runs["seed"], "arm", "k", "eval_n", "geometry")
+    stored = results.where(F.length("prediction") > 0).join(known, ["seed", "arm"])
+    gold = generate.record_targets(stored.where("geometry is not null").selectExpr("seed", "geometry", "cast(k + index as int) as index").distinct())
+    again = scoring.scored(stored.withColumn("at_", (F.col("k") + F.col("index")).cast("int")).join(gold.withColumnRenamed("index", "at_"), ["seed", "geometry", "at_"]).withColumnRenamed("micro_f1", "stamped"), "prediction", "target")
+    counts = again.groupBy("seed", "arm").agg(F.count(F.lit(1)).alias("rescored"), F.count_if(F.abs(F.col("stamped") - F.col("micro_f1")) > tolerance).alias("mismatched"))
+    out = known.join(counts, ["seed", "arm"], "left").select("seed", "arm", "geometry", F.coalesce("rescored", F.lit(0)).alias("rescored"), F.coalesce("mismatched", F.lit(0)).alias("mismatched"))
+    status = F.when(F.col("geometry").isNull(), "schema mismatch").when(F.col("rescored") == 0, "no predictions").when(F.col("mismatched") > 0, "mismatches").otherwise("verified")
+    return out.withColumn("status", status)
+
+
 def mismatches(stamped: DataFrame, recomputed: DataFrame, key: list[str], value: str, tolerance: float = TOLERANCE) -> DataFrame:
     """key, stamped, recomputed where they differ by more than ``tolerance`` or one is missing."""
     a = stamped.select(*key, F.col(value).alias("stamped"))

@@ -36,6 +36,27 @@ def row_deltas(rows: DataFrame, key: list[str], treated: str, control: str) -> D
     return both.where("treated is not null and control is not null").withColumn("delta", F.col("treated") - F.col("control"))
 
 
+def partners(runs: DataFrame, key: list[str], arm: str = "arm", order: str = "file") -> DataFrame:
+    """``runs`` with partner_arm and partner_file: of the runs of the same key and
+    another arm the first by ``order``. One aggregation per key and arm; a key has few arms."""
+    first = runs.groupBy(*key, arm).agg(F.min(order).alias(order))
+    per_key = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("f"), F.col(arm).alias("a")))).alias("all_"))
+    found = F.get(F.filter("all_", lambda x: x["a"] != F.col(arm)), F.lit(0))
+    return runs.join(per_key, key).select(*runs.columns, found["a"].alias("partner_arm"), found["f"].alias("partner_file"))
+
+
+def environments(pairs: DataFrame, by: list[str], env: str = "env") -> DataFrame:
+    """by, pairs, pooled_across (the environments, sorted), ci_is_authoritative:
+    an interval over pairs of several environments reports, it doesn't decide."""
+    out = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.array_sort(F.collect_set(env)).alias("pooled_across"))
+    return out.withColumn("ci_is_authoritative", F.size("pooled_across") <= 1)
+
+
+def one_environment(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs measured in one environment, with refused: null, or why not."""
+    return pairs.withColumn("refused", F.when(~same_or_both_null(F.col(a), F.col(b)), F.concat_ws("/", F.coalesce(a, F.lit("none")), F.coalesce(b, F.lit("none")))))
+
+
 def attrition(rows: DataFrame, by: list[str], index: str, treated: str, control: str) -> DataFrame:
     """by, designed, scored (by both), excluded, symmetric: whether the arms lost
     the same rows. Counts only: no set of indices is gathered."""
@@ -110,6 +131,23 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     return sums.select("n", F.when(F.col("s_") > 0, F.col("c_") / F.col("s_")).otherwise(0.0).alias("rho"))
 
 
+def both_measured(before: DataFrame, after: DataFrame, key: list[str], values: str) -> DataFrame:
+    """n_before, mean_before, n_after, mean_after over the finite values of the
+    keys whose lists both sides have and aren't empty; null means without any."""
+    one = lambda df, tag: df.where(F.size(values) > 0).select(*key, F.col(values).alias(tag))
+    both = one(before, "b_").join(one(after, "a_"), key)
+    finite = lambda c: F.filter(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    add = lambda c: F.aggregate(finite(c), F.lit(0.0), lambda s, x: s + x)
+    sums = both.agg(*[f(F.expr("0") + x).alias(n) for f, x, n in ((F.sum, F.size(finite("b_")), "n_before"), (F.sum, add("b_"), "s_before"), (F.sum, F.size(finite("a_")), "n_after"), (F.sum, add("a_"), "s_after"))])
+    mean = lambda t: F.try_divide(F.col(f"s_{t}"), F.col(f"n_{t}")).alias(f"mean_{t}")
+    return sums.select("n_before", mean("before"), "n_after", mean("after"))
+
+
+def break_even(adapt_cost: Column, frontier_cost: Column, adapted_cost: Column) -> Column:
+    """Documents after which adapting pays; null if it never does."""
+    return F.when(frontier_cost > adapted_cost, adapt_cost / (frontier_cost - adapted_cost))
+
+
 def headroom(treated: Column, control: Column) -> Column:
     """Share of the room above the control that the treated arm captures; null without room."""
     return F.when(1 - control > 1e-9, (treated - control) / (1 - control))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import judged, parsed
+from ..functions.payload import judged, overlap, parsed
 
 
 def with_parsed(df: DataFrame, text: str, into: str) -> DataFrame:
@@ -70,6 +70,40 @@ def arm_rollup(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def rounded_rollup(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, mean_micro_f1, valid_json, exact_match: the mean of scores that were rounded to four places before."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.round("micro_f1", 4)), 4).alias("mean_micro_f1"), F.count_if("valid_json").alias("valid_json"), F.count_if("exact_match").alias("exact_match"))
+
+
+def fields_correct(df: DataFrame, by: list[str], prediction: str = "prediction", gold: str = "gold") -> DataFrame:
+    """by, correct, total, share of the gold's fields; a malformed prediction has none right."""
+    both = with_parsed(with_parsed(df, prediction, "p_"), gold, "g_")
+    right = F.when(F.col("p_.valid"), overlap(F.col("p_.leaves"), F.col("g_.leaves"))).otherwise(0)
+    out = both.select(*by, right.alias("r_"), F.size("g_.leaves").alias("n_")).groupBy(*by).agg(F.sum("r_").alias("correct"), F.sum("n_").alias("total"))
+    return out.withColumn("share", F.try_divide(F.col("correct"), F.col("total")))
+
+
+def token_usage(rows: DataFrame, by: list[str], sent: str, received: str) -> DataFrame:
+    """by, calls, input_tokens, output_tokens."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(sent), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum(received), F.lit(0)).alias("output_tokens"))
+
+
+def sampled_token_stats(rows: DataFrame, by: list[str], index: str, tokens: str, every: int = 7) -> DataFrame:
+    """by, sampled, mean_tokens, most_tokens over every seventh row: the sample is what is reported."""
+    return rows.where(F.col(index) % every == 0).groupBy(*by).agg(F.count(F.lit(1)).alias("sampled"), F.avg(tokens).alias("mean_tokens"), F.max(tokens).alias("most_tokens"))
+
+
+def field_audit(texts: DataFrame, gold: DataFrame, arms: dict[str, DataFrame], scores: DataFrame, key: str = "id") -> DataFrame:
+    """One row per text: key, tier, text, gold, each arm's prediction (null where
+    it has none) and the columns of ``scores``. A score of an unknown text raises."""
+    known = scores.join(texts.select(key, F.lit(True).alias("here_")), key, "left")
+    guarded = known.where(F.when(F.col("here_"), F.lit(True)).otherwise(F.raise_error(F.lit("a score of a document that isn't in the holdout")).cast("boolean"))).drop("here_")
+    out = texts.withColumn("tier", tier_of(F.col(key).cast("string"))).join(gold, key, "left")
+    for name, rows in arms.items():
+        out = out.join(rows.select(key, F.col("prediction").alias(name)), key, "left")
+    return out.join(guarded, key, "left")
+
+
 def tier_of(doc_id: Column) -> Column:
     """hard, medium, mixed or easy by the prefix of an id."""
     return F.when(doc_id.startswith("h-"), "hard").when(doc_id.startswith("m-"), "medium").when(doc_id.startswith("x-"), "mixed").otherwise("easy")

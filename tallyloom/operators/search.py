@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,12 @@ def expansions(logits: DataFrame, by: list[str], cutoff: float, column: str = "l
     return logits.select(*by, F.posexplode(log_softmax(F.col(column))).alias("token", "lp")).select(*by, "token", (-F.col("lp")).alias("nll")).where(F.col("nll") < cutoff)
 
 
+def cheapest(rows: DataFrame, by: list[str], cap: int) -> DataFrame:
+    """The ``cap`` rows of the smallest nll of each frame; ties go to the smaller token."""
+    order = Window.partitionBy(*by).orderBy("nll", "token")
+    return rows.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= cap).drop("r_")
+
+
 def bounded_paths(steps: DataFrame, by: list[str], cutoff: float, depth: int) -> DataFrame:
     """by, path, nll: all token sequences of up to ``depth`` steps whose summed
     nll is strictly below ``cutoff``. ``steps``: by, step, token, nll. Each step

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a seeded shuffle, whose positions one process lists.
+MOST_SHUFFLED = 1_000_000
+
+
 def hash_split(rows: DataFrame, key: str, k: int, seed: str = "split") -> DataFrame:
     """``rows`` with split: train for the ``k`` smallest SHA-256 of seed and key, else holdout."""
     order = F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256)
@@ -18,9 +22,12 @@ def hash_split(rows: DataFrame, key: str, k: int, seed: str = "split") -> DataFr
 
 def seeded_split(rows: DataFrame, order: str, k: int, seed: int) -> DataFrame:
     """``rows`` with split, as a shuffle of the positions 0..n-1 by Python's
-    Mersenne Twister gives it: the first ``k`` are train. Only the count and the
-    chosen positions pass through the driver."""
+    Mersenne Twister gives it: the first ``k`` are train. One source draws for
+    all positions in turn, so the draw can't be split; it is meant for challenge
+    kits and refuses tables of over ``MOST_SHUFFLED`` rows."""
     n = rows.count()
+    if n > MOST_SHUFFLED:
+        raise ValueError(f"{n} rows; a seeded shuffle takes {MOST_SHUFFLED} at most: use hash_split")
     if not 1 <= k <= n - 1:
         raise ValueError(f"k must lie between 1 and {n - 1}, not {k}")
     positions = list(range(n))
@@ -48,3 +55,23 @@ def shards(rows: DataFrame, size: str, key: str, workers: int) -> DataFrame:
     before = counts.withColumn("b_", F.coalesce(F.sum("m_").over(Window.orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m_")
     within = rows.withColumn("i_", F.row_number().over(Window.partitionBy(size).orderBy(key)) - 1)
     return within.join(before, within[size].eqNullSafe(before["s_"])).withColumn("shard", ((F.col("b_") + F.col("i_")) % workers).cast("int")).drop("s_", "b_", "i_")
+
+
+def binned_running_sums(rows: DataFrame, by: str, order: str, value: str, width: int, into: str) -> DataFrame:
+    """``rows`` with the running sum of ``value`` per ``by`` along an integer
+    ``order``. Bins of ``width`` are summed first and their sums prefix-summed,
+    so that a task orders one bin, however many rows a group has."""
+    binned = rows.withColumn("bin_", F.floor(F.col(order) / width))
+    sums = binned.groupBy(by, "bin_").agg(F.sum(value).alias("s_"))
+    before = sums.withColumn("b_", F.coalesce(F.sum("s_").over(Window.partitionBy(by).orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("s_")
+    inside = Window.partitionBy(by, "bin_").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return binned.withColumn("i_", F.sum(value).over(inside)).join(before, [by, "bin_"]).withColumn(into, F.col("b_") + F.col("i_")).drop("bin_", "i_", "b_")
+
+
+def counts_before(rows: DataFrame, by: str, value: str, *sums: tuple[str, str]) -> DataFrame:
+    """by, value, m (rows of the value), before (rows of smaller ones), n (rows of
+    the group) and (name, column) sums: a histogram, from which ranks and quantiles
+    are read without ordering rows."""
+    h = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("m"), *[F.sum(c).alias(name) for name, c in sums])
+    w = Window.partitionBy(by)
+    return h.withColumn("before", F.coalesce(F.sum("m").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("m").over(w))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scores, tables_grid, tables_text
+from . import scores, tables_grid, tables_runs, tables_text
 
-MODULES = (scores, tables_text, tables_grid)
+MODULES = (scores, tables_text, tables_grid, tables_runs)
 
 
 def queries() -> dict:

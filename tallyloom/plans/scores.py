@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.payload import overlap, parsed
-from ..operators import merges, pairing, scoring, verdicts
+from ..operators import merges, pairing, scoring, splits, verdicts
 from ..tables import table
 from . import arms
 
@@ -227,9 +227,14 @@ def zero_doc_share(spark, d):
 @query("with x as (select source, doc_id, n_chars, quality from documents join labels using (doc_id)), r as (select *, row_number() over (partition by source order by n_chars, doc_id) as i, count(*) over (partition by source) as n from x) select source, round(avg(quality) filter (where i <= n // 2), 6) as shorter, round(avg(quality) filter (where i > n // 2), 6) as longer from r group by source")
 def median_split(spark, d):
     x = table(spark, d, "documents").select("source", "doc_id", "n_chars").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    r = x.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id"))).withColumn("half", F.floor(F.count(F.lit(1)).over(Window.partitionBy("source")) / 2))
-    low = F.col("i") <= F.col("half")
-    return r.groupBy("source").agg(F.round(F.avg(F.when(low, F.col("quality"))), 6).alias("shorter"), F.round(F.avg(F.when(~low, F.col("quality"))), 6).alias("longer"))
+    # Whole lengths fall on one side; only the length that the middle cuts is ordered by id.
+    h = splits.counts_before(x.withColumn("known", F.col("quality").isNotNull().cast("int")), "source", "n_chars", ("total", "quality"), ("known", "known"))
+    h = h.withColumn("half", F.floor(F.col("n") / 2)).withColumn("low", F.col("before") + F.col("m") <= F.col("half")).withColumn("cut", ~F.col("low") & (F.col("before") < F.col("half")))
+    middle = h.where("cut").select("source", "n_chars", (F.col("half") - F.col("before")).alias("room"))
+    tied = x.join(middle, ["source", "n_chars"]).withColumn("low", F.row_number().over(Window.partitionBy("source", "n_chars").orderBy("doc_id")) <= F.col("room"))
+    rows = h.where("not cut").select("source", "low", "total", "known").unionByName(tied.select("source", "low", F.col("quality").alias("total"), F.col("quality").isNotNull().cast("int").alias("known")))
+    mean = lambda side: F.round(F.try_divide(F.sum(F.when(side, F.col("total"))), F.sum(F.when(side, F.col("known")))), 6)
+    return rows.groupBy("source").agg(mean(F.col("low")).alias("shorter"), mean(~F.col("low")).alias("longer"))
 
 
 @query(PAIRED + ", c as (select tenant, avg(delta) as delta from p group by tenant) select count(*) as tenants, round(min(delta), 6) as low, round(max(delta), 6) as high, round(avg(delta), 6) as mean, round(max(delta) - min(delta), 6) as range, count(*) filter (where delta < 0) as negative from c")

@@ -84,8 +84,10 @@ EX = "with n as (select *, lead(role) over o as r2, lead(text) over o as t2 from
 
 @query(EX + " select a.conv_id, a.i as held, count(b.i) as context, sum(length(b.input) + length(b.output))::bigint as context_chars from x a join x b on a.conv_id = b.conv_id and a.i <> b.i group by a.conv_id, a.i")
 def loo_context(spark, d):
-    loo = corpora.leave_one_out(corpora.exchanges(table(spark, d, "conversations")))
-    return loo.groupBy("conv_id", "held").agg(F.count(F.lit(1)).alias("context"), F.sum(F.length("input") + F.length("output")).cast("long").alias("context_chars"))
+    """What all but the held pair hold is the task's total less its own: no pair of pairs is made."""
+    x = corpora.exchanges(table(spark, d, "conversations")).withColumn("chars", F.length("input") + F.length("output"))
+    totals = x.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("all_chars"))
+    return x.join(totals, "conv_id").where("n > 1").select("conv_id", F.col("index").alias("held"), (F.col("n") - 1).alias("context"), (F.col("all_chars") - F.col("chars")).cast("long").alias("context_chars"))
 
 
 @query(EX + ", d as (select a.conv_id, a.i as held, row_number() over (partition by a.conv_id, a.i order by b.i) - 1 as n, b.input, b.output from x a join x b on a.conv_id = b.conv_id and a.i <> b.i), t as (select conv_id, held, 2 * n as turn, 'user' as role, input as text from d union all select conv_id, held, 2 * n + 1, 'assistant', output from d union all select conv_id, i, 2 * ((count(*) over (partition by conv_id)) - 1), 'user', input from x) select conv_id, held, turn::int as turn, role, sha256(text) as text_sha256 from t")
@@ -174,9 +176,8 @@ def part_merge_fallback(spark, d):
 @query("with r as (select source, n_chars, row_number() over (partition by source order by n_chars, doc_id) as i, count(*) over (partition by source) as n from documents) select source, n_chars as threshold from r where i = (3 * n) // 4 + 1")
 def quartile_threshold(spark, d):
     """The element at floor(3n/4) of the sorted sizes."""
-    by = Window.partitionBy("source")
-    r = table(spark, d, "documents").withColumn("i", F.row_number().over(by.orderBy("n_chars", "doc_id"))).withColumn("n", F.count(F.lit(1)).over(by))
-    return r.where("i = floor(3 * n / 4) + 1").select("source", F.col("n_chars").alias("threshold"))
+    h = splits.counts_before(table(spark, d, "documents"), "source", "n_chars")
+    return h.where("before <= floor(3 * n / 4) and floor(3 * n / 4) < before + m").select("source", F.col("n_chars").alias("threshold"))
 
 
 @query("select doc_id, ((row_number() over (order by n_chars, doc_id) - 1) % 4)::int as shard from documents")
@@ -191,8 +192,8 @@ def claimed_count_drift(spark, d):
 
 @query("with s as (select event_type, sum(value) over (partition by event_type order by event_id rows unbounded preceding) as total, event_id from events) select event_id, event_type, round(total, 4) as running from s")
 def running_totals(spark, d):
-    order = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, d, "events").withColumn("running", F.round(F.sum("value").over(order), 4)).select("event_id", "event_type", "running")
+    sums = splits.binned_running_sums(table(spark, d, "events"), "event_type", "event_id", "value", 1 << 16, "running")
+    return sums.select("event_id", "event_type", F.round("running", 4).alias("running"))
 
 
 @query("select k, seed, arm, (row_number() over (order by case k when 30 then 0 else 1 end, seed, arm))::int as place from (select unnest([10, 30]) as k), (select unnest([1, 2, 3]) as seed), (select unnest(['adapted', 'kshot']) as arm)")

@@ -36,10 +36,16 @@ def whole_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFra
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 1), text of every line that isn't blank. Files are read
-    whole, so that a line knows its number; large journals have numbered rows of their own."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "text"))
-    return files.where(F.trim("text") != "").select("file", (F.col("n") + 1).alias("line_no"), "text")
+    """file, line_no (from 1), text of every line that isn't blank. Files are
+    read split by split: a line's number is its place within its split, which
+    tasks count as they read, plus the lines of the splits before it."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path_"), F.col("_metadata.file_block_start").alias("at_"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("id_"))
+    # Within one task ids go up by one from line to line, so a split's first id tells the place of each.
+    splits = lines.groupBy("path_", "at_").agg(F.min("id_").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("path_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("path_", "at_", (F.coalesce(before, F.lit(0)) - F.col("first_") + 1).alias("shift_"))
+    numbered = lines.join(starts, ["path_", "at_"]).where(F.trim("text") != "")
+    return numbered.select(F.regexp_extract("path_", r"([^/]*)$", 1).alias("file"), (F.col("id_") + F.col("shift_")).cast("int").alias("line_no"), "text")
 
 
 def with_errors(df: DataFrame, *checks: tuple[str, Column]) -> DataFrame:
@@ -49,19 +55,28 @@ def with_errors(df: DataFrame, *checks: tuple[str, Column]) -> DataFrame:
 
 
 def strict(df: DataFrame, what: str) -> DataFrame:
-    """``df`` without _errors; reading a row that has any raises, naming them."""
-    message = F.concat(F.lit(f"{what}: "), F.array_join("_errors", ", "))
+    """``df`` without _errors; reading a row that has any raises, naming them and, where rows have one, the line."""
+    line = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": ")) if "line_no" in df.columns else F.lit("")
+    message = F.concat(F.lit(f"{what}: "), line, F.array_join("_errors", ", "))
     guard = F.when(F.size("_errors") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
     return df.where(guard).drop("_errors")
 
 
+def at_least(df: DataFrame, n: int, what: str) -> DataFrame:
+    """``df``, or an error if it has fewer than ``n`` rows."""
+    if (found := df.limit(n).count()) < n:
+        raise ValueError(f"{what}: {found} rows, at least {n} are needed")
+    return df
+
+
 def duplicated(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).count().where("count > 1").select(key)
 
 
 def _task(files: DataFrame, schema: str, grid: bool) -> DataFrame:
-    t = files.select("stem", F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("t"))
-    rows = t.select(F.coalesce("t.task_id", "stem").alias("task_id"), F.col("t.train").alias("train"), F.col("t.test").alias("test"))
+    t = files.withColumn("t", F.from_json("text", schema, {"mode": "PERMISSIVE"}))
+    place = [c for c in ("file", "line_no") if c in files.columns and "line_no" in files.columns]
+    rows = t.select(*place, F.coalesce("t.task_id", "stem").alias("task_id"), F.col("t.train").alias("train"), F.col("t.test").alias("test"))
     if grid:
         bad = lambda g: ~grids.valid(g)
     else:
@@ -89,8 +104,8 @@ def text_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_task_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text tasks, one to a line; the id is required and must be unique."""
-    lines = numbered_lines(spark, path).select(F.lit(None).cast("string").alias("stem"), "line_no", "text")
+    """file, line_no and the text task of each line; the id is required and must be unique."""
+    lines = numbered_lines(spark, path).withColumn("stem", F.lit(None).cast("string"))
     rows = _task(lines, TEXT_TASK, False)
     again = duplicated(rows, "task_id").withColumn("again_", F.lit(True))
     joined = rows.join(again, "task_id", "left")
@@ -128,7 +143,8 @@ def receipts(rows: DataFrame) -> DataFrame:
 
 
 def labelled(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, id, text, gold (JSON text), _errors of labelled documents, one to a line."""
+    """line_no, id, text, gold (JSON text), _errors of labelled documents, one to a
+    line. A kit has at least three (``at_least``)."""
     rows = numbered_lines(spark, path).select("line_no", F.from_json("text", "id string, text string, gold string").alias("r")).select("line_no", "r.*")
     rows = rows.withColumn("p_", parsed("gold"))
     again = duplicated(rows, "id").withColumn("again_", F.lit(True))
@@ -141,12 +157,14 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).select("line_no", F.from_json("text", "id string, prediction string").alias("r")).select("line_no", "r.*")
 
 
-def arms(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
-    """(arms, others): records that have the identity fields, error arms among
-    them, and the files that aren't arms. ``family`` is the file name up to its
+def arms(spark: SparkSession, path: str, glob: str = "*.json", identity: tuple[str, ...] = ("rung", "k", "seed", "arm")) -> tuple[DataFrame, DataFrame]:
+    """(arms, others): records that have the ``identity`` fields (some families
+    have three), error arms among them, and the files that aren't arms. ``family`` is the file name up to its
     first underscore-digit group; env is kernel where a device is stamped."""
     files = whole_files(spark, path, glob).withColumn("r", F.from_json("text", ARM))
-    is_arm = F.col("r.rung").isNotNull() & F.col("r.k").isNotNull() & F.col("r.seed").isNotNull() & F.col("r.arm").isNotNull()
+    is_arm = F.lit(True)
+    for name in identity:
+        is_arm = is_arm & F.col(f"r.{name}").isNotNull()
     found = files.where(F.coalesce(is_arm, F.lit(False))).select("file", F.regexp_extract("stem", r"^(.*?)_\d", 1).alias("family"), "r.*").withColumn("env", F.when(F.col("device").isNotNull(), "kernel").otherwise("local"))
     return found, files.where(~F.coalesce(is_arm, F.lit(False))).select("file")
 
@@ -156,9 +174,39 @@ def receipt_rows(arms_: DataFrame) -> DataFrame:
     return arms_.select("family", "rung", "k", "seed", "arm", F.inline("results"))
 
 
-def cells(spark: SparkSession, path: str, addendum: str, glob: str = "*.json") -> DataFrame:
-    """The cells of one addendum."""
-    return whole_files(spark, path, glob).select(F.from_json("text", CELL).alias("r")).select("r.*").where(F.col("addendum") == addendum)
+def _asserted(rows: DataFrame, **facts: str | int) -> DataFrame:
+    """``rows``, which raise when one is read whose fields aren't as said."""
+    for name, want in facts.items():
+        message = F.concat(F.lit(f"{name} is not {want} but "), F.coalesce(F.col(name).cast("string"), F.lit("null")))
+        rows = rows.where(F.when(F.col(name).eqNullSafe(F.lit(want)), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    return rows
+
+
+def cells(spark: SparkSession, path: str, addendum: str, glob: str = "*.json", **environment: str) -> DataFrame:
+    """The cells of one addendum; ``environment`` (device, dtype) is asserted of each."""
+    rows = whole_files(spark, path, glob).select(F.from_json("text", CELL).alias("r")).select("r.*").where(F.col("addendum") == addendum)
+    return _asserted(rows, **environment)
+
+
+def one_arm(spark: SparkSession, path: str, rows: int | None = None, **facts: str | int) -> DataFrame:
+    """The record of one file (its name as glob below ``path``), asserted to have
+    ``facts`` (device, dtype, k, arm) and, if given, as many results as ``rows``."""
+    folder, _, name = path.rpartition("/")
+    found, _ = arms(spark, folder, name, ("k", "arm"))
+    found = _asserted(found, **facts)
+    return found if rows is None else _asserted(found.withColumn("results_n", F.size("results")), results_n=rows).drop("results_n")
+
+
+def scores_by_index(arm: DataFrame, **environment: str) -> DataFrame:
+    """index, micro_f1 of the results that have a score; ``environment`` is asserted of their arms."""
+    return _asserted(arm, **environment).select(F.inline("results")).where("micro_f1 is not null").select("index", "micro_f1")
+
+
+def positional(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """``rows`` with index, left and right of two lists of equal length; another length raises."""
+    same = F.when(F.size(left) == F.size(right), F.lit(True)).otherwise(F.raise_error(F.lit("lists of different lengths")).cast("boolean"))
+    keep = [c for c in rows.columns if c not in (left, right)]
+    return rows.where(same).select(*keep, F.posexplode(F.arrays_zip(left, right)).alias("index", "z_")).select(*keep, "index", F.col(f"z_.{left}").alias(left), F.col(f"z_.{right}").alias(right))
 
 
 def latest_per_id(rows: DataFrame, key: str, value: str, order: str = "line_no") -> DataFrame:

@@ -11,6 +11,21 @@ def json_lines(df: DataFrame, path: str, nulls: bool = True) -> None:
     df.write.json(path, ignoreNullFields=not nulls)
 
 
+def prompts(rows: DataFrame, path: str, inline: bool = False) -> None:
+    """Prompts (id, text) and their gold: in folders of their own, or ``inline`` in one."""
+    if inline:
+        json_lines(rows.select("id", "text", "gold"), path)
+    else:
+        json_lines(rows.select("id", "text"), f"{path}/prompts")
+        json_lines(rows.select("id", "gold"), f"{path}/gold")
+
+
+def summary(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """A summary document per row of ``df``: one JSON object to a line, in the
+    order of ``by``, null fields written, all in one file (summaries are few rows)."""
+    json_lines(df.orderBy(*by).coalesce(1) if by else df.coalesce(1), path)
+
+
 def challenge(rows: DataFrame, path: str) -> None:
     """Train (id, text, gold), holdout (id, text) and gold (id, gold), each in its own folder; ``rows`` has split."""
     json_lines(rows.where("split = 'train'").select("id", "text", "gold"), f"{path}/train")
@@ -19,7 +34,7 @@ def challenge(rows: DataFrame, path: str) -> None:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """file, sha256 of every file below ``path``."""
+    """file, sha256 of every file below ``path``; a file of over 2 GB is refused by the source."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
