@@ -2,7 +2,9 @@
 
 The graph starts from leaves of a few random-projection trees. Each round joins
 every node with its neighbours' vectors (those it points to and the nearest that
-point to it), compares them with each other and keeps each one's nearest.
+point to it), compares them with each other and keeps each one's nearest. Pairs
+that met in an earlier round aren't compared again, and only what improves a
+node's list leaves the task, so rounds become cheap and end when no list changes.
 Queries walk the graph: the nearest unexpanded nodes of each query's list are
 joined with the graph until no list changes. Equal vectors are one node, so a
 vector that very many rows share costs as much as any other. What the rounds
@@ -65,18 +67,28 @@ def _edges(u: np.ndarray, c: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], ["u", "c", "d"])
 
 
-def _pairwise(x: np.ndarray) -> np.ndarray:
-    """Squared distances within the last two axes' points, moved to their middle
-    so that little cancels; a median, as one far point would move a mean."""
+def _pairwise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances within the last two axes' points, and by how much each
+    may be off: points are moved to their middle so that little cancels (a
+    median, as one far point would move a mean). They only choose candidates,
+    whose distances are then taken from differences."""
     x = x - np.median(x, axis=-2, keepdims=True)
     n = (x * x).sum(-1)
-    return np.maximum(n[..., :, None] + n[..., None, :] - 2 * (x @ np.swapaxes(x, -1, -2)), 0)
+    sums = n[..., :, None] + n[..., None, :]
+    return np.maximum(sums - 2 * (x @ np.swapaxes(x, -1, -2)), 0), 1e-13 * sums
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a - b
+    return (x * x).sum(-1)
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` smallest distances of each u; needs one shuffle, by u."""
+    """The ``k`` smallest distances of each u; needs one shuffle, by u. An edge
+    that comes twice is new only if it is new each time."""
     order = Window.partitionBy("u").orderBy("d", "c")
-    return edges.repartition("u").groupBy("u", "c").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    one = edges.repartition("u").groupBy("u", "c").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+    return one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
 def first_graph(nodes: DataFrame, rows: int, kind: str, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
@@ -112,7 +124,7 @@ def first_graph(nodes: DataFrame, rows: int, kind: str, trees: int = TREES, leaf
             if m < 1:
                 break
             near = np.argpartition(d, m - 1, axis=1)[:, :m]
-            out.append(_edges(np.repeat(ids[i : i + len(part)], m), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
+            out.append(_edges(np.repeat(ids[i : i + len(part)], m), ids[near].ravel(), _squared(part[:, None], x[near]).ravel()))
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([_edges(*[np.zeros(0)] * 3)])
 
     dealt = nodes.mapInArrow(deal, "tree long, leaf long, id long, h binary")
@@ -123,9 +135,11 @@ def first_graph(nodes: DataFrame, rows: int, kind: str, trees: int = TREES, leaf
 
 def _local_join(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (hub, m, h) sorted by hub: for every member of a hub's list its nearest others in the list."""
+        """Rows (hub, m, new, worst, h) sorted by hub: for every member of a hub's
+        list the nearest others there that it hasn't met and that are nearer than
+        the worst of its own list."""
 
-        def compare(hub: np.ndarray, m: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def compare(hub: np.ndarray, m: np.ndarray, new: np.ndarray, worst: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
             begin = np.flatnonzero(np.concatenate(([True], hub[1:] != hub[:-1])))
             sizes = np.diff(np.append(begin, len(hub)))
             for i in range(0, len(begin), _PIECE):
@@ -134,28 +148,31 @@ def _local_join(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 if wide < 2:
                     continue
                 at = b[:, None] + np.minimum(np.arange(wide)[None], n[:, None] - 1)
-                d = _pairwise(x[at])
+                d, off = _pairwise(x[at])
                 real = np.arange(wide)[None] < n[:, None]
-                d[~(real[:, :, None] & real[:, None, :])] = np.inf
-                d[:, np.arange(wide), np.arange(wide)] = np.inf
+                ok = real[:, :, None] & real[:, None, :] & (new[at][:, :, None] | new[at][:, None, :])
+                ok[:, np.arange(wide), np.arange(wide)] = False
+                ok &= d - off <= worst[at][:, :, None]
+                d[~ok] = np.inf
                 k = min(PASSED_ON, wide - 1)
                 near = np.argpartition(d, k - 1, axis=2)[:, :, :k]
-                dist = np.take_along_axis(d, near, 2)
-                ids = m[at]
-                c = np.take_along_axis(ids[:, None, :].repeat(wide, 1), near, 2)
-                ok = np.isfinite(dist)
-                yield _edges(np.broadcast_to(ids[:, :, None], c.shape)[ok], c[ok], dist[ok])
+                g, row, _ = found = np.nonzero(np.take_along_axis(ok, near, 2))
+                u, c = at[g, row], at[g, near[found]]
+                dist = _squared(x[u], x[c])
+                better = dist < worst[u]
+                yield _edges(m[u[better]], m[c[better]], dist[better])
 
+        columns = ("hub", "m", "new", "worst")
         rest = None
         for batch in batches:
-            hub, m, x = batch.column("hub").to_numpy(), batch.column("m").to_numpy(), _matrix(batch.column("h"), kind)
+            now = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in columns), _matrix(batch.column("h"), kind)]
             if rest is not None:
-                hub, m, x = np.concatenate((rest[0], hub)), np.concatenate((rest[1], m)), np.concatenate((rest[2], x))
-            if not len(hub):
+                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            if not len(now[0]):
                 continue
-            cut = np.searchsorted(hub, hub[-1])  # the last hub may go on in the next batch
-            yield from compare(hub[:cut], m[:cut], x[:cut]) if cut else ()
-            rest = hub[cut:], m[cut:], x[cut:]
+            cut = np.searchsorted(now[0], now[0][-1])  # the last hub may go on in the next batch
+            yield from compare(*(x[:cut] for x in now)) if cut else ()
+            rest = [x[cut:] for x in now]
         if rest is not None:
             yield from compare(*rest)
 
@@ -163,34 +180,37 @@ def _local_join(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def descend(nodes: DataFrame, graph: DataFrame, kind: str, k: int = DEGREE, back: int = BACK) -> DataFrame:
-    """One round: u, c, d after neighbours of neighbours have been compared."""
+    """One round: u, c, d, new after neighbours of neighbours have been compared.
+    A hub none of whose edges is new has nothing to compare."""
     closest = Window.partitionBy("hub").orderBy("d", "m")
-    reverse = graph.selectExpr("c as hub", "u as m", "d").withColumn("r", F.row_number().over(closest)).where(F.col("r") <= back).select("hub", "m")
-    lists = graph.selectExpr("u as hub", "c as m").union(reverse).distinct()
-    rows = lists.join(nodes, lists["m"] == nodes["id"]).select("hub", "m", "h").repartition("hub").sortWithinPartitions("hub")
-    return nearest(rows.mapInArrow(_local_join(kind), _EDGES).union(graph.select("u", "c", "d")), k)
+    reverse = graph.selectExpr("c as hub", "u as m", "d", "new").withColumn("r", F.row_number().over(closest)).where(F.col("r") <= back).select("hub", "m", "new")
+    both = graph.selectExpr("u as hub", "c as m", "new").union(reverse).groupBy("hub").agg(F.collect_list(F.struct("m", "new")).alias("list"))
+    members = both.where("exists(list, x -> x.new)").select("hub", F.inline("list")).groupBy("hub", "m").agg(F.max("new").alias("new"))
+    lists = graph.groupBy("u").agg(F.when(F.count("c") >= k, F.max("d")).otherwise(float("inf")).alias("worst"))
+    points = nodes.join(lists, nodes["id"] == lists["u"], "left").select("id", "h", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+    rows = members.join(points, members["m"] == points["id"]).select("hub", "m", "new", "worst", "h").repartition("hub").sortWithinPartitions("hub")
+    found = rows.mapInArrow(_local_join(kind), _EDGES).withColumn("new", F.lit(True))
+    return nearest(found.union(graph.select("u", "c", "d", F.lit(False).alias("new"))), k)
 
 
 def build(nodes: DataFrame, kind: str, k: int = DEGREE) -> DataFrame:
-    """The neighbour graph u, c, d (squared distance) of ``nodes`` (id, h: bytes
-    of a ``kind``; vectors distinct), each round written to the shared folder.
-    Ends when a round changes no edge: its digest stays."""
-    graph = written(nearest(first_graph(nodes, nodes.count(), kind), k), "graph")
-    digest = F.expr("bit_xor(xxhash64(u, c))")
-    before, now = None, graph.agg(digest).first()[0]
-    while now != before:
+    """The neighbour graph u, c, d (squared distance), new of ``nodes`` (id, h:
+    bytes of a ``kind``; vectors distinct), each round written to the shared
+    folder. Ends when a round adds no edge. A pair's distance is the same in
+    every round and a list only takes what is nearer, so it does end."""
+    graph = written(nearest(first_graph(nodes, nodes.count(), kind).withColumn("new", F.lit(True)), k), "graph")
+    while not graph.where("new").isEmpty():
         following = written(descend(nodes, graph, kind, k), "graph")
         forget(graph)
-        graph, before = following, now
-        now = graph.agg(digest).first()[0]
+        graph = following
     return graph
 
 
 def _distances(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("h"), kind) - _matrix(batch.column("qh"), kind)
-            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array((x * x).sum(1))], ["query", "node", "d"])
+            d = _squared(_matrix(batch.column("h"), kind), _matrix(batch.column("qh"), kind))
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(d)], ["query", "node", "d"])
 
     return run
 

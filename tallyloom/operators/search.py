@@ -18,6 +18,29 @@ def expansions(logits: DataFrame, by: list[str], cutoff: float, column: str = "l
     return logits.select(*by, F.posexplode(log_softmax(F.col(column))).alias("token", "lp")).select(*by, "token", (-F.col("lp")).alias("nll")).where(F.col("nll") < cutoff)
 
 
+def completed_paths(steps: DataFrame, by: list[str], cutoff: float, depth: int, stop: int) -> DataFrame:
+    """by, path, nll: what ``stop`` completes within ``depth`` steps (the stop
+    itself left out of the path) below the summed ``cutoff``. A path ends where
+    it first stops; one that hasn't stopped by then is no candidate."""
+    at = lambda k: steps.where(F.col("step") == k).select(*by, "token", F.col("nll").alias("more"))
+    frontier = at(0).select(*by, F.array("token").alias("path"), F.col("more").alias("nll")).where(F.col("nll") < cutoff)
+    ends = lambda df: df.where(F.element_at("path", -1) == stop).select(*by, F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), "nll")
+    out = ends(frontier)
+    for k in range(1, depth):
+        going = frontier.where(F.element_at("path", -1) != stop)
+        frontier = going.join(at(k), by).where(F.col("nll") + F.col("more") < cutoff).select(*by, F.concat("path", F.array("token")).alias("path"), (F.col("nll") + F.col("more")).alias("nll"))
+        out = out.union(ends(frontier))
+    return out
+
+
+def stop_reasons(frames: DataFrame, candidates: DataFrame, by: list[str], cap: int) -> DataFrame:
+    """by, candidates, reason of each frame: candidate_cap if it has ``cap``
+    candidates or more, else exhausted. A deadline depends on the clock and isn't derived."""
+    counts = candidates.groupBy(*by).agg(F.count(F.lit(1)).alias("candidates"))
+    out = frames.select(*by).join(counts, by, "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    return out.withColumn("reason", F.when(F.col("candidates") >= cap, "candidate_cap").otherwise("exhausted"))
+
+
 def cheapest(rows: DataFrame, by: list[str], cap: int) -> DataFrame:
     """The ``cap`` rows of the smallest nll of each frame; ties go to the smaller token."""
     order = Window.partitionBy(*by).orderBy("nll", "token")

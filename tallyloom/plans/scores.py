@@ -86,10 +86,11 @@ def duplicate_rules(spark, d):
     return zero.join(last.drop("tenant"), "k").groupBy("tenant").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("zero"), 6).alias("zero_mean"), F.round(F.avg("last"), 6).alias("last_mean"))
 
 
-@query(W + " select arm, count(*) filter (where f1 = 1) as f1_one, 0::bigint as exact_one from scores where not missing group by arm")
+@query(W + " select arm, count(*) filter (where f1 = 1 or k % 10 = 0) as f1_one, count(*) filter (where k % 10 = 0) as exact_one from scores where not missing group by arm")
 def exact_vs_f1(spark, d):
-    """Formatting noise leaves F1 at 1 and canonical equality false."""
-    s = scoring.scored(arms.both(spark, d))
+    """Formatting noise leaves F1 at 1 and canonical equality false; every tenth prediction is the gold, differently spaced."""
+    rows = arms.both(spark, d).withColumn("prediction", F.when(F.col("k") % 10 == 0, F.regexp_replace("gold", ":", " :  ")).otherwise(F.col("prediction")))
+    s = scoring.scored(rows)
     return s.groupBy("arm").agg(F.count_if(F.col("micro_f1") == 1).alias("f1_one"), F.count_if(F.col("exact_match")).alias("exact_one"))
 
 
@@ -282,11 +283,14 @@ def bank_merge(spark, d):
     return merges.bank(existing, incoming, ["arm", "tenant"]).select("tenant", "arm", "action")
 
 
-@query(W + ", m as (select tenant, avg(f1) as mean from scores where arm = 'base' group by tenant) select tenant, round(mean + case when tenant = 2 then 0.01 else 0.0001 end, 6) as stamped, round(mean, 6) as recomputed from m where tenant = 2")
+@query(W + ", m as (select tenant, avg(f1) as mean, count(f1) as n, sum(5 - spoiled) filter (where not broken and not missing) as fifths from scores where arm = 'base' group by tenant), s as (select tenant, round(fifths / (5.0 * n), 4) + case tenant % 3 when 2 then 0.01 when 1 then 0.0003 else 0 end as stamped, mean from m) select tenant, round(stamped, 6) as stamped, round(mean, 6) as recomputed from s where abs(stamped - mean) > 0.0005")
 def audit_mismatch(spark, d):
-    """Stamps off by 1e-4 pass the audit, the one off by 1e-2 doesn't."""
-    m = all_scores(spark, d).where("arm = 'base'").groupBy("tenant").agg(F.avg("micro_f1").alias("mean"))
-    stamped = m.withColumn("mean", F.col("mean") + F.when(F.col("tenant") == 2, 0.01).otherwise(0.0001))
+    """Stamps from the roll-up, rounded to four places, against the mean of the
+    rows; some are off by 3e-4, which passes, some by 1e-2."""
+    s = all_scores(spark, d).where("arm = 'base'")
+    m = s.groupBy("tenant").agg(F.avg("micro_f1").alias("mean"))
+    off = F.element_at(F.array(F.lit(0.0), F.lit(0.0003), F.lit(0.01)), F.col("tenant") % 3 + 1)
+    stamped = scoring.arm_rollup(s, ["tenant"]).select("tenant", (F.col("mean_micro_f1") + off).alias("mean"))
     return merges.mismatches(stamped, m, ["tenant"], "mean").select("tenant", F.round("stamped", 6).alias("stamped"), F.round("recomputed", 6).alias("recomputed"))
 
 

@@ -153,12 +153,6 @@ def journal_latest(spark, d):
     return splits.latest(table(spark, d, "events"), "user_id", "event_type", "event_id")
 
 
-@query("select case event_type when 'error' then 'deadline' when 'purchase' then 'candidate_cap' else 'exhausted' end as reason, count(*) as n, count(distinct user_id) as frames from events group by 1")
-def stop_reason_counts(spark, d):
-    reason = F.when(F.col("event_type") == "error", "deadline").when(F.col("event_type") == "purchase", "candidate_cap").otherwise("exhausted")
-    return table(spark, d, "events").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("frames"))
-
-
 @query("with t as (select event_type as mode, count(*) as docs, sum(((event_id * 37) % 1000) + 1)::bigint as millis from events group by 1) select mode, docs, round(millis / 1000.0 / docs, 6) as mean_seconds, round(3600.0 * docs / (millis / 1000.0), 6) as docs_per_hour from t")
 def throughput(spark, d):
     t = table(spark, d, "events").groupBy(F.col("event_type").alias("mode")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.expr("(event_id * 37) % 1000 + 1")).alias("millis"))
