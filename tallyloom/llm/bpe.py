@@ -114,6 +114,12 @@ class Codec:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.classes = _classes()
         self.automaton = _Automaton()
+        # The vocabulary as one run of bytes: token i is flat[first[i] : first[i] + size[i]].
+        self.size = np.zeros(max(self.bytes_of, default=-1) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            self.size[i] = len(b)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), np.uint8)
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -197,16 +203,28 @@ class Codec:
             if len(self.cache) > CACHE:  # what is used again moves on from the older half
                 self.older, self.cache = self.cache, {}
             cache, older = self.cache, self.older
+            rare: dict[str, tuple[int, ...]] = {}  # long slices are merged anew: what is kept has a bounded size
             for s in {*found}.difference(cache):
-                cache[s] = older.get(s) or self.merge(s.encode("utf-8", "replace"))
-            yield list(chain.from_iterable(map(cache.__getitem__, found)))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def spans(self, ids: list[int]) -> list[int]:
-        """Byte offsets at which the tokens end."""
-        return np.cumsum([len(self.bytes_of[i]) for i in ids]).tolist()
+                ids = older.get(s) or self.merge(s.encode("utf-8", "replace"))
+                (cache if len(s) <= LONG_SLICE else rare)[s] = ids
+            yield list(chain.from_iterable(rare[s] if s in rare else cache[s] for s in found) if rare else chain.from_iterable(map(cache.__getitem__, found)))
+
+    def offsets(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the joined lists: the ids, the byte at which each token ends, and
+        the number of tokens at which each list ends."""
+        flat = np.fromiter(chain.from_iterable(ids), np.int64)
+        return flat, np.cumsum(self.size[flat]), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def decode(self, ids: list[list[int]]) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Of each list the bytes and the offsets at which its tokens end. The
+        offsets say where every byte of the result stands in the vocabulary, so
+        one gather decodes all lists, and they cut it into texts again."""
+        flat, ends, until = self.offsets(ids)
+        size = self.size[flat]
+        data = self.flat[np.repeat(self.first[flat] - ends + size, size) + np.arange(int(size.sum()))].tobytes()
+        ends = np.concatenate((np.zeros(1, np.int64), ends))
+        for i, j in zip(until - np.diff(until, prepend=0), until, strict=True):
+            yield data[ends[i] : ends[j]], ends[i + 1 : j + 1] - ends[i]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -239,7 +257,7 @@ def encode(docs: DataFrame, vocabulary: str, offsets: bool = False) -> DataFrame
             ids = list(c.encode([t or "" for t in batch.column("text").to_pylist()]))
             out = {"doc_id": batch.column("doc_id").cast(pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))}
             if offsets:
-                out["ends"] = pa.array([c.spans(x) for x in ids], pa.list_(pa.int64()))
+                out["ends"] = pa.array([ends for _, ends in c.decode(ids)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(out)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>" + ", ends array<bigint>" * offsets)
@@ -251,7 +269,7 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "bytes": pa.array([c.decode(x or []) for x in batch.column("ids").to_pylist()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "bytes": pa.array([x for x, _ in c.decode([x or [] for x in batch.column("ids").to_pylist()])], pa.binary())})
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
@@ -265,10 +283,11 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         decimal = {i: b"%d" % i for i in c.bytes_of}
         for batch in pieces(batches, "text", 1 << 20):
             n, ids_sha, bytes_sha = [], [], []
-            for ids in c.encode([t or "" for t in batch.column("text").to_pylist()]):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
-                bytes_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            ids = list(c.encode([t or "" for t in batch.column("text").to_pylist()]))
+            for x, (data, _) in zip(ids, c.decode(ids), strict=True):
+                n.append(len(x))
+                ids_sha.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, x))).hexdigest())
+                bytes_sha.append(hashlib.sha256(data).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -25,7 +25,10 @@ def test_ids_equal_the_library_and_decode_back(reference):
     c = bpe.codec(PATH)
     for text, ids in zip(texts(), c.encode(texts()), strict=True):
         assert ids == reference.encode_ordinary(text)
-        assert c.decode(ids) == text.encode()
+    found = list(c.encode(texts()))
+    for text, ids, (data, ends) in zip(texts(), found, c.decode(found), strict=True):
+        assert data == text.encode()
+        assert ends.tolist() == [sum(len(reference.decode_single_token_bytes(i)) for i in ids[: k + 1]) for k in range(len(ids))][: len(ids)]
 
 
 def test_a_small_cache_changes_nothing(reference, monkeypatch):
@@ -34,6 +37,13 @@ def test_a_small_cache_changes_nothing(reference, monkeypatch):
     assert list(c.encode(texts(2, 400))) == [reference.encode_ordinary(t) for t in texts(2, 400)]
 
 
+def test_long_slices_are_not_kept(reference):
+    c = bpe.Codec(bpe.read_ranks(PATH))
+    rows = ["x" * 5000, "short words", "x" * 5000 + " y"]
+    assert list(c.encode(rows)) == [reference.encode_ordinary(t) for t in rows]
+    assert max(map(len, c.cache)) <= bpe.LONG_SLICE
+
+
 def test_columns(spark, reference):
     rows = [(i, t, "clash") for i, t in enumerate([*texts(3, 60), None])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
