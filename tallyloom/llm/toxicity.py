@@ -1,9 +1,10 @@
 """Toxicity by FTRL-proximal logistic regression over hashed n-grams.
 
 Features are hashed words, word pairs and triples, skip-grams (one word left
-out) and, so that inflected forms share a weight, the beginnings of words. FTRL-proximal keeps a learning rate per coordinate and its L1 term sets
-most weights to exactly zero, so that the model is a few rows (index, weight)
-which every scoring task gets.
+out) and, so that inflected forms share a weight, the beginnings of words.
+FTRL-proximal keeps a learning rate per coordinate and its L1 term sets most
+weights to exactly zero, so that the model is a few rows (index, weight) which
+every scoring task gets.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import utf8
 from tallyloom.llm.learning import fold, word_hashes
 from tallyloom.llm.quality_crf import WIDTH, forward_backward, keep_good, line_features, quality
-from tallyloom.llm.toxicity import toxicity
+from tallyloom.llm.toxicity import ALPHA, BETA, BITS, L1, L2, ftrl, toxicity
 
 SCHEMA = "doc_id long, text string, score string, label string"
 
@@ -23,6 +23,30 @@ def test_word_hashes_depend_on_the_word_alone():
     assert len(set(h.tolist())) == 3 and h[0] == h[2] == h[5]
 
 
+def test_ftrl_equals_a_plain_loop_over_coordinates():
+    r = random.Random(4)
+    rows = [(sorted(r.sample(range(40), r.randint(0, 12))), r.randint(0, 1)) for _ in range(300)]
+    z, n = dict.fromkeys([*range(40), "bias"], 0.0), dict.fromkeys([*range(40), "bias"], 0.0)
+
+    def weight(i):
+        if abs(z[i]) <= L1:
+            return 0.0
+        return -(z[i] - math.copysign(L1, z[i])) / ((BETA + math.sqrt(n[i])) / ALPHA + L2)
+
+    for _ in range(3):
+        for index, label in rows:
+            w = {i: weight(i) for i in [*index, "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got, bias = ftrl([(np.array(i, np.int32), y) for i, y in rows], epochs=3)
+    assert np.allclose(got[:40], [weight(i) for i in range(40)], atol=1e-9) and not got[40:].any() and len(got) == 1 << BITS
+    assert abs(bias - weight("bias")) < 1e-9
+    assert 0 < np.count_nonzero(got) < 40
+
+
 def test_forward_backward_equals_enumeration():
     r = np.random.default_rng(1)
     sizes = [1, 4, 2, 5]
