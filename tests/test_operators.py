@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import grids
-from tallyloom.operators import corpora, merges, search, splits, votes
+from tallyloom.operators import corpora, merges, scoring, search, splits, votes
 
 
 def grid_ops(g, rotations, flip):
@@ -113,3 +113,27 @@ def test_bounded_paths_equal_brute_force(spark):
         nll[q, s] = [z - x for x in v]
     want = {(q, p) for q in range(6) for n in (1, 2, 3) for p in itertools.product(range(5), repeat=n) if sum(nll[q, s][t] for s, t in enumerate(p)) < 5.0}
     assert got == want and want
+
+
+def test_a_seeded_shuffle_refuses_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MOST_SHUFFLED", 5)
+    with pytest.raises(ValueError, match="use hash_split"):
+        splits.seeded_split(spark.range(6), "id", 2, 1)
+
+
+def test_requests_and_conflicts(spark):
+    plan = spark.createDataFrame([(30, 1, "a"), (10, 2, "b")], "k int, seed int, arm string")
+    assert merges.requested(plan, "").count() == 2 and merges.requested(plan, "30:1:a").count() == 1
+    with pytest.raises(ValueError, match="k:seed:arm"):
+        merges.requested(plan, "30:1")
+    old = spark.createDataFrame([(1, None, "cpu", "fp32", 0.5)], "id int, error string, device string, dtype string, mean double")
+    with pytest.raises(Exception, match="conflicting results"):
+        merges.refuse_conflicts(merges.bank(old, old.withColumn("mean", F.lit(0.6)), ["id"])).collect()
+
+
+def test_a_score_of_an_unknown_text_raises(spark):
+    texts, gold = spark.createDataFrame([("h-1", "t")], "id string, text string"), spark.createDataFrame([("h-1", "{}")], "id string, gold string")
+    known = spark.createDataFrame([("h-1", 0.5)], "id string, sp double")
+    assert scoring.field_audit(texts, gold, {}, known).first().tier == "hard"
+    with pytest.raises(Exception, match="isn't in the holdout"):
+        scoring.field_audit(texts, gold, {}, known.union(spark.createDataFrame([("x", 1.0)], "id string, sp double"))).collect()

@@ -101,3 +101,59 @@ def test_windows_and_sweep(spark, tmp_path):
     write(tmp_path / "d" / "a.md", "190 tests pass")
     write(tmp_path / "d" / "x" / "b.md", "SUPERSEDED\n1 tests")
     assert readers.sweep(spark, str(tmp_path / "d")).count() == 1
+
+
+def test_line_numbers_across_splits(spark, tmp_path):
+    lines = [f"{i:05d} {'x' * (i % 90)}" if i % 7 else "  " for i in range(3000)]
+    write(tmp_path / "n" / "a.txt", "\n".join(lines))
+    write(tmp_path / "n" / "b.txt", "\n".join(["one", "", "three"]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 10_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        numbered = readers.numbered_lines(spark, str(tmp_path / "n"))
+        assert spark.read.text(str(tmp_path / "n")).rdd.getNumPartitions() > 5
+        got = sorted((x.file, x.line_no, x.text) for x in numbered.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [("a.txt", i + 1, x) for i, x in enumerate(lines) if i % 7] + [("b.txt", 1, "one"), ("b.txt", 3, "three")]
+
+
+def test_an_error_names_its_line(spark, tmp_path):
+    one = {"train": [{"input": "a", "output": "b"}], "test": [{"input": "c"}]}
+    path = write(tmp_path / "t.jsonl", "\n".join([json.dumps(one | {"task_id": "x"}), "", json.dumps(one)]))
+    with pytest.raises(Exception, match="tasks: line 3: no id"):
+        readers.strict(readers.text_task_lines(spark, path), "tasks").collect()
+    with pytest.raises(ValueError, match="2 rows, at least 3"):
+        readers.at_least(readers.text_task_lines(spark, path), 3, "kit")
+
+
+def test_asserted_arms_cells_and_positions(spark, tmp_path):
+    arm = {"k": 30, "seed": 1, "arm": "kshot", "device": "cpu", "dtype": "fp32", "results": [{"index": 0, "micro_f1": 0.5}, {"index": 1, "error": "none"}]}
+    path = write(tmp_path / "r" / "e_1.json", json.dumps(arm))
+    one = readers.one_arm(spark, path, rows=2, k=30, arm="kshot", device="cpu")
+    assert [tuple(x) for x in readers.scores_by_index(one, dtype="fp32").collect()] == [(0, 0.5)]
+    for facts in ({"device": "gpu"}, {"rows": 60}):
+        with pytest.raises(Exception, match="device is not gpu but cpu|results_n is not 60 but 2"):
+            readers.one_arm(spark, path, **facts).collect()
+    assert readers.arms(spark, str(tmp_path / "r"), identity=("k", "seed", "arm"))[0].count() == 1 and readers.arms(spark, str(tmp_path / "r"))[0].count() == 0
+    write(tmp_path / "c" / "x.json", json.dumps({"addendum": "G-b", "seed": 1, "j": 2, "device": "cpu"}))
+    assert readers.cells(spark, str(tmp_path / "c"), "G-b", device="cpu").first().j == 2
+    with pytest.raises(Exception, match="device is not gpu"):
+        readers.cells(spark, str(tmp_path / "c"), "G-b", device="gpu").collect()
+    lists = spark.createDataFrame([(1, ["a", "b"], ["x", "y"])], "id int, left array<string>, right array<string>")
+    assert [tuple(x) for x in readers.positional(lists, "left", "right").collect()] == [(1, 0, "a", "x"), (1, 1, "b", "y")]
+    with pytest.raises(Exception, match="different lengths"):
+        readers.positional(lists.withColumn("right", F.array(F.lit("z"))), "left", "right").collect()
+
+
+def test_prompts_and_summaries(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "t", "{}"), ("2", "u", "{}")], "id string, text string, gold string")
+    sinks.prompts(rows, str(tmp_path / "apart"))
+    assert spark.read.json(str(tmp_path / "apart/prompts")).columns == ["id", "text"] and spark.read.json(str(tmp_path / "apart/gold")).columns == ["gold", "id"]
+    sinks.prompts(rows, str(tmp_path / "inline"), inline=True)
+    assert spark.read.json(str(tmp_path / "inline")).columns == ["gold", "id", "text"]
+    sinks.summary(rows.withColumn("none", F.lit(None).cast("string")), str(tmp_path / "s"), ["id"])
+    files = list((tmp_path / "s").glob("*.json"))
+    assert len(files) == 1 and [json.loads(x)["id"] for x in files[0].read_text().splitlines()] == ["1", "2"] and '"none":null' in files[0].read_text()
