@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from .common import forget, written
 
 DEGREE, BACK, PASSED_ON = 32, 32, 5
-TREES, LEAF, SEED = 8, 1024, 7
+TREES, LEAF, SEED = 6, 512, 7
 #: How many of its leaf's nodes each node starts with, per tree.
 FROM_LEAF = 16
 BEAM = 160
+#: NN-descent's rule for ending: a round that adds no more than this part of all edges is the last.
+SETTLED = 0.01
 _EDGES = "u long, c long, d double"
 _PIECE = 128
 
@@ -151,7 +153,8 @@ def _local_join(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 d, off = _pairwise(x[at])
                 real = np.arange(wide)[None] < n[:, None]
                 ok = real[:, :, None] & real[:, None, :] & (new[at][:, :, None] | new[at][:, None, :])
-                ok[:, np.arange(wide), np.arange(wide)] = False
+                ids = m[at]
+                ok &= ids[:, :, None] != ids[:, None, :]  # itself; a node that both points to the hub and is pointed to comes twice
                 ok &= d - off <= worst[at][:, :, None]
                 d[~ok] = np.inf
                 k = min(PASSED_ON, wide - 1)
@@ -180,12 +183,10 @@ def _local_join(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def descend(nodes: DataFrame, graph: DataFrame, kind: str, k: int = DEGREE, back: int = BACK) -> DataFrame:
-    """One round: u, c, d, new after neighbours of neighbours have been compared.
-    A hub none of whose edges is new has nothing to compare."""
+    """One round: u, c, d, new after neighbours of neighbours have been compared."""
     closest = Window.partitionBy("hub").orderBy("d", "m")
     reverse = graph.selectExpr("c as hub", "u as m", "d", "new").withColumn("r", F.row_number().over(closest)).where(F.col("r") <= back).select("hub", "m", "new")
-    both = graph.selectExpr("u as hub", "c as m", "new").union(reverse).groupBy("hub").agg(F.collect_list(F.struct("m", "new")).alias("list"))
-    members = both.where("exists(list, x -> x.new)").select("hub", F.inline("list")).groupBy("hub", "m").agg(F.max("new").alias("new"))
+    members = graph.selectExpr("u as hub", "c as m", "new").union(reverse)
     lists = graph.groupBy("u").agg(F.when(F.count("c") >= k, F.max("d")).otherwise(float("inf")).alias("worst"))
     points = nodes.join(lists, nodes["id"] == lists["u"], "left").select("id", "h", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
     rows = members.join(points, members["m"] == points["id"]).select("hub", "m", "new", "worst", "h").repartition("hub").sortWithinPartitions("hub")
@@ -196,10 +197,11 @@ def descend(nodes: DataFrame, graph: DataFrame, kind: str, k: int = DEGREE, back
 def build(nodes: DataFrame, kind: str, k: int = DEGREE) -> DataFrame:
     """The neighbour graph u, c, d (squared distance), new of ``nodes`` (id, h:
     bytes of a ``kind``; vectors distinct), each round written to the shared
-    folder. Ends when a round adds no edge. A pair's distance is the same in
-    every round and a list only takes what is nearer, so it does end."""
+    folder. Ends when a round adds no more than ``SETTLED`` of all edges. A
+    pair's distance is the same in every round and a list only takes what is
+    nearer, so it does end."""
     graph = written(nearest(first_graph(nodes, nodes.count(), kind).withColumn("new", F.lit(True)), k), "graph")
-    while not graph.where("new").isEmpty():
+    while graph.agg(F.count_if("new") > SETTLED * F.count("new")).first()[0]:
         following = written(descend(nodes, graph, kind, k), "graph")
         forget(graph)
         graph = following

@@ -73,3 +73,11 @@ def test_recall_in_a_dense_cluster_of_a_third(spark):
     x = r.normal(size=(6000, 16))
     x[::3] = x[0] + 1e-5 * r.normal(size=(2000, 16))
     assert recall(spark, [(i, v.tolist()) for i, v in enumerate(x)]) >= 0.95
+
+
+@pytest.mark.parametrize("kind", ["offset", "scales"])
+def test_recall_far_from_the_origin_and_on_mixed_scales(spark, kind):
+    r = np.random.default_rng(13)
+    x = r.normal(size=(10, 16))[r.integers(0, 10, 2000)] + 0.5 * r.normal(size=(2000, 16))
+    x = x + 1000 if kind == "offset" else x * 10.0 ** r.integers(-6, 7, (2000, 1))
+    assert recall(spark, [(i, v.tolist()) for i, v in enumerate(x)]) >= 0.9
