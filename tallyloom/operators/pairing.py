@@ -45,6 +45,14 @@ def partners(runs: DataFrame, key: list[str], arm: str = "arm", order: str = "fi
     return runs.join(per_key, key).select(*runs.columns, found["a"].alias("partner_arm"), found["f"].alias("partner_file"))
 
 
+def side_by_side(rows: DataFrame, key: list[str], required: list[str], optional: list[str] = ()) -> DataFrame:
+    """key and a column per arm of (key, arm, micro_f1): the keys that every
+    required arm scored; an optional arm may be null. One aggregation."""
+    score = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("micro_f1"))).alias(arm)
+    out = rows.where(F.col("arm").isin(*required, *optional)).groupBy(*key).agg(*map(score, [*required, *optional]))
+    return out.dropna(subset=required)
+
+
 def environments(pairs: DataFrame, by: list[str], env: str = "env") -> DataFrame:
     """by, pairs, pooled_across (the environments, sorted), ci_is_authoritative:
     an interval over pairs of several environments reports, it doesn't decide."""

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import grids
 from ..operators import corpora, generate, merges, pairing, predictor, scoring, search, verdicts, votes
 from ..sources import readers, sinks
 from ..streaming import journal
@@ -123,6 +124,91 @@ def streamed_journal(spark, d):
     return spark.read.parquet(f"{at}/out").groupBy("k", "seed").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select o_orderkey as k, o_orderstatus || ' ' || o_orderpriority || chr(10) || o_orderkey as text, '{\"menu\":[{\"nm\":\"' || o_orderpriority || '\"}],\"total\":{\"k\":' || o_orderkey || '}}' as gold, case when o_orderkey % 5 = 0 then 'no allowed label' end as error from orders where o_orderkey % 5 <> 0 union all select o_orderkey, o_orderstatus || ' ' || o_orderpriority || chr(10) || o_orderkey, '{}', 'no allowed label' from orders where o_orderkey % 5 = 0")
+def receipt_rows(spark, d):
+    """Receipts: words as lines, blank ones dropped, labels of the kept classes as JSON with sorted keys."""
+    o = table(spark, d, "orders")
+    words = lambda *w: F.struct(F.array(*[F.struct(x.cast("string").alias("text")) for x in w]).alias("words"))
+    label = F.to_json(F.struct(F.struct(F.col("o_orderkey").alias("k")).alias("total"), F.lit(1).alias("other"), F.array(F.struct(F.col("o_orderpriority").alias("nm"))).alias("menu")))
+    rows = o.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 5 != 0, label).otherwise('{"other":1}').alias("gt_parse"), F.array(words(F.col("o_orderstatus"), F.col("o_orderpriority")), words(F.lit(" ")), words(F.col("o_orderkey"))).alias("valid_line"))
+    return readers.receipts(rows).select("k", "text", "gold", F.get("_errors", F.lit(0)).alias("error"))
+
+
+@query("select 'n' || n_nationkey as task_id, n_regionkey::int as answer from nation where n_nationkey % 2 = 0")
+def answered_tasks(spark, d):
+    """A map of grid tasks joined with the solutions of half of them."""
+    at = scratch.folder(spark, "map")
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), "n_nationkey", F.col("n_regionkey").cast("int").alias("r"))
+    grid = F.array(F.array("r"))
+    one = F.struct(F.array(F.struct(grid.alias("input"), grid.alias("output"))).alias("train"), F.array(F.struct(grid.alias("input"))).alias("test"))
+    as_map = lambda df, value, to: df.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", value.alias("v"))))).alias("value")).write.text(f"{at}/{to}")
+    as_map(n, one, "tasks")
+    as_map(n.where("n_nationkey % 2 = 0"), F.array(grid), "solutions")
+    found = readers.task_map(spark, f"{at}/tasks", f"{at}/solutions")
+    return readers.pairs(found).where("split = 'test'").select("task_id", F.col("output")[0][0].alias("answer"))
+
+
+@query("select n_nationkey::int as seed, (n_nationkey + n_regionkey)::int as j, n_nationkey // 2 as place from nation where n_nationkey % 2 = 1")
+def cells_in_order(spark, d):
+    """The cells of one addendum in the order of (seed, j), their environment asserted."""
+    at = scratch.folder(spark, "cells")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("seed"), (F.col("n_nationkey") + F.col("n_regionkey")).alias("j"))
+    body = F.to_json(F.struct(F.when(F.col("seed") % 2 == 1, "G-b").otherwise("G").alias("addendum"), "seed", "j", F.lit("cpu").alias("device")))
+    n.select(body.alias("value"), "seed").repartition("seed").write.partitionBy("seed").text(at)
+    found = readers.cells(spark, at + "/*", "G-b", "*.txt", device="cpu")
+    order = Window.partitionBy().orderBy("seed", "j")  # a handful of cells, a file each
+    return found.select("seed", "j", (F.row_number().over(order) - 1).cast("long").alias("place"))
+
+
+@query("select conv_id, count(*) as turns from conversations where conv_id % 3 <> 0 group by conv_id")
+def swept_documents(spark, d):
+    """Documents below a folder, but for those marked as superseded: turns of a conversation, as a document each line of which is a turn."""
+    at = scratch.folder(spark, "sweep")
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    head = F.when(F.col("conv_id") % 3 == 0, "SUPERSEDED by another").otherwise("in force")
+    lines = c.select("conv_id", F.concat_ws("\n", F.concat(head, F.lit(" "), F.col("conv_id")), F.array_repeat(F.lit("turn"), F.col("n").cast("int"))).alias("value"))
+    lines.withColumn("part", F.col("conv_id") % 50).repartition("part", "conv_id").sortWithinPartitions("conv_id").drop("conv_id").write.option("maxRecordsPerFile", 1).partitionBy("part").text(at)
+    found = readers.sweep(spark, at)
+    return found.select(F.regexp_extract("text", r"^in force (\d+)", 1).cast("long").alias("conv_id"), (F.size(F.split(F.rtrim("text"), "\n")) - 1).cast("long").alias("turns"))
+
+
+@query(W + " select k, missing or broken as is_null, case when missing or broken then 0 else 5 end as leaves from facts where arm = 'base'")
+def written_predictions(spark, d):
+    """Completions written as predictions: an object in canonical form, or null."""
+    at = scratch.folder(spark, "predictions")
+    sinks.predictions(arms.wide(spark, d).select(F.col("k").alias("id"), F.col("base_text").alias("completion")), at)
+    p = readers.predictions(spark, at)
+    return p.select(F.col("id").cast("long").alias("k"), F.col("prediction").isNull().alias("is_null"), F.coalesce(F.size(F.map_keys(F.from_json("prediction", "map<string,string>"))), F.lit(0)).alias("leaves"))
+
+
+@query("select conv_id, i as index, length(input)::int as chars from (" + EX + " select * from x) where i < 2")
+def export_limit(spark, d):
+    """The first two exchanges of each conversation: the limit is the feature."""
+    x = corpora.exchanges(table(spark, d, "conversations"))
+    return readers.first_per_task(x, "conv_id", "index", 2).select("conv_id", "index", F.length("input").alias("chars"))
+
+
+@query("select doc_id, (row_number() over (order by doc_id::varchar))::int as place from documents order by doc_id::varchar limit 10")
+def first_by_text_id(spark, d):
+    """The first ten ids, sorted as texts."""
+    first = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("s")).orderBy("s").limit(10)
+    return first.select("doc_id", F.row_number().over(Window.partitionBy().orderBy("s")).alias("place"))  # of ten rows
+
+
+@query("select o_orderkey as k, i::int as index, case i when 0 then o_orderstatus else o_orderpriority end as word, o_orderkey + i as number from orders, range(0, 2) r(i)")
+def positional_zip(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.array("o_orderstatus", "o_orderpriority").alias("word"), F.array(F.col("o_orderkey"), F.col("o_orderkey") + 1).alias("number"))
+    return readers.positional(o, "word", "number")
+
+
+@query(SWEEP + "select vec_id, case when vec_id % 3 <> 0 then sha256(string_agg(t, chr(10) order by nr)) end as digest from y where rotations = 1 and flip group by vec_id")
+def augmented_outputs(spark, d):
+    """A task's outputs turned and mirrored; a hidden output stays null."""
+    g = F.when(F.col("vec_id") % 3 != 0, F.col("grid"))
+    same = F.array(*map(F.lit, range(10)))
+    return vectors(spark, d).select("vec_id", F.sha2(grids.text(grids.augmented(g, F.lit(1), F.lit(True), same)), 256).alias("digest"))
+
+
 # ---- arms and banking -------------------------------------------------------------------------------------------
 
 
@@ -172,6 +258,30 @@ def one_environment(spark, d):
     return pairing.one_environment(pairs, "a", "b").select("k", "refused")
 
 
+@query("select o_orderkey as k, o_orderkey % 5 = 0 and o_orderkey % 2 = 0 as superseded, case when o_orderkey % 5 = 0 and o_orderkey % 2 = 0 then 'gpu' else 'cpu' end as device from orders where o_orderkey % 2 = 0 union all select o_orderkey, false, 'cpu' from orders where o_orderkey % 2 = 1 or o_orderkey % 10 = 0")
+def banked_rows(spark, d):
+    """After banking: what was superseded is kept aside, nothing is lost."""
+    new = table(spark, d, "orders").selectExpr("o_orderkey as k", "cast(null as string) as error", "'cpu' as device", "'fp32' as dtype", "0.5 as mean")
+    old = new.where("k % 2 = 0").withColumn("device", F.expr("if(k % 5 = 0, 'gpu', 'cpu')"))
+    return merges.banked(old, new, ["k"]).select("k", "superseded", "device")
+
+
+@query(W + ", s as (select b.k, b.f1 as base, t.f1 as tuned from scores b join scores t using (k) where b.arm = 'base' and t.arm = 'tuned') select k, round(base, 6) as base, round(tuned, 6) as tuned, round(1 - base, 6) as served, case when k % 4 = 0 then round(base, 6) end as extra from s where base is not null and k % 3 <> 0")
+def three_arms(spark, d):
+    """Three arms that must all have scored a row, and a fourth that may have."""
+    s = all_scores(spark, d).select("k", "arm", "micro_f1")
+    base = s.where("arm = 'base'")
+    more = base.where("k % 3 <> 0").select("k", F.lit("served").alias("arm"), (1 - F.col("micro_f1")).alias("micro_f1")).union(base.where("k % 4 = 0").select("k", F.lit("extra"), "micro_f1"))
+    return pairing.side_by_side(s.union(more), ["k"], ["base", "tuned", "served"], ["extra"]).select("k", *[F.round(c, 6).alias(c) for c in ("base", "tuned", "served", "extra")])
+
+
+@query(W + " select k from g where k % 3 = 1")
+def unknown_ids(spark, d):
+    """Predictions of ids that the gold doesn't have."""
+    g = arms.gold(spark, d)
+    return scoring.unknown_ids(g.where("k % 3 <> 1").select("k"), g.select("k"), "k")
+
+
 # ---- roll-ups ---------------------------------------------------------------------------------------------------
 
 

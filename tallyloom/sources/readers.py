@@ -94,8 +94,9 @@ def _task(files: DataFrame, schema: str, grid: bool) -> DataFrame:
 
 
 def grid_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """task_id, train, test, _errors of the grid tasks in a folder or file; the id is the file's stem."""
-    return _task(whole_files(spark, path), GRID_TASK, True)
+    """task_id, train, test, _errors of the grid tasks in a folder or file; the id
+    is the file's stem. A folder without tasks is an error."""
+    return at_least(_task(whole_files(spark, path), GRID_TASK, True), 1, path)
 
 
 def text_tasks(spark: SparkSession, path: str) -> DataFrame:

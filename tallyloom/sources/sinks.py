@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.payload import parsed
+
 
 def json_lines(df: DataFrame, path: str, nulls: bool = True) -> None:
     """One JSON object to a line; null fields are written unless told otherwise."""
     df.write.json(path, ignoreNullFields=not nulls)
 
 
+def predictions(rows: DataFrame, path: str) -> None:
+    """id and prediction (a JSON object, or null where the completion isn't one) to a line, in canonical form."""
+    parsed_ = parsed(F.col("completion"))
+    lines = rows.select(F.to_json(F.struct(F.col("id").cast("string").alias("id"))).alias("i_"), parsed_.alias("p_"))
+    lines.select(F.concat(F.expr("left(i_, length(i_) - 1)"), F.lit(',"prediction":'), F.coalesce("p_.canonical", F.lit("null")), F.lit("}")).alias("value")).write.text(path)
+
+
 def prompts(rows: DataFrame, path: str, inline: bool = False) -> None:
     """Prompts (id, text) and their gold: in folders of their own, or ``inline`` in one."""
     if inline:
