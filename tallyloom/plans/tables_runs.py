@@ -169,7 +169,7 @@ def swept_documents(spark, d):
     lines = c.select("conv_id", F.concat_ws("\n", F.concat(head, F.lit(" "), F.col("conv_id")), F.array_repeat(F.lit("turn"), F.col("n").cast("int"))).alias("value"))
     lines.withColumn("part", F.col("conv_id") % 50).repartition("part", "conv_id").sortWithinPartitions("conv_id").drop("conv_id").write.option("maxRecordsPerFile", 1).partitionBy("part").text(at)
     found = readers.sweep(spark, at)
-    return found.select(F.regexp_extract("text", r"^in force (\d+)", 1).cast("long").alias("conv_id"), (F.size(F.split(F.rtrim("text"), "\n")) - 1).cast("long").alias("turns"))
+    return found.select(F.regexp_extract("text", r"^in force (\d+)", 1).cast("long").alias("conv_id"), (F.size(F.split(F.regexp_replace("text", "\n$", ""), "\n")) - 1).cast("long").alias("turns"))
 
 
 @query(W + " select k, missing or broken as is_null, case when missing or broken then 0 else 5 end as leaves from facts where arm = 'base'")
