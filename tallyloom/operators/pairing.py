@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,10 +120,15 @@ def summary(deltas: DataFrame, by: list[str], quantile: str, variant: str) -> Da
     return _with_p(_interval(out, quantile), variant)
 
 
-def without_largest(deltas: DataFrame, by: list[str], n: int, order: list[str]) -> DataFrame:
-    """by, jackknife_mean: the mean without the n largest; null if none is left."""
-    largest_first = Window.partitionBy(*by).orderBy(F.desc("delta"), *order)
-    return deltas.withColumn("r_", F.row_number().over(largest_first)).groupBy(*by).agg(F.avg(F.when(F.col("r_") > n, F.col("delta"))).alias("jackknife_mean"))
+def without_largest(deltas: DataFrame, by: list[str], n: int, order: Sequence[str] = ()) -> DataFrame:
+    """by, jackknife_mean: the mean without the n largest; null if none is left.
+    Equal deltas are counted first, so a window orders values, not rows; which of
+    equal ones go (``order``) makes no difference to the mean."""
+    largest_first = Window.partitionBy(*by).orderBy(F.desc("delta")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = deltas.where("delta is not null").groupBy(*by, "delta").agg(F.count(F.lit(1)).alias("m_"))
+    dropped = F.greatest(F.lit(0), F.least("m_", n - F.coalesce(F.sum("m_").over(largest_first), F.lit(0))))
+    left = counts.withColumn("left_", F.col("m_") - dropped)
+    return left.groupBy(*by).agg(F.try_divide(F.sum(F.col("delta") * F.col("left_")), F.sum("left_")).alias("jackknife_mean"))
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -197,7 +197,7 @@ def mde_and_required_n(spark, d):
 
 @query(PAIRED + ", r as (select *, row_number() over (partition by tenant order by delta desc, k) as i from p) select tenant, round(avg(delta) filter (where i > 2), 6) as jackknife_mean from r group by tenant")
 def jackknife_top2(spark, d):
-    return pairing.without_largest(tenant_deltas(spark, d), ["tenant"], 2, ["k"]).select("tenant", F.round("jackknife_mean", 6).alias("jackknife_mean"))
+    return pairing.without_largest(tenant_deltas(spark, d), ["tenant"], 2).select("tenant", F.round("jackknife_mean", 6).alias("jackknife_mean"))
 
 
 @query("with x as (select n_chars, quality from documents join labels using (doc_id)), r as (select rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0 as a, rank() over (order by quality) + (count(*) over (partition by quality) - 1) / 2.0 as b from x) select count(*) as n, round(corr(a, b), 9) as rho from r")
