@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 
 LEAVES = ("status", "priority", "total", "cust", "seg")
 SPOILED = {"base": "(k * ({j} + 3) + {j} * {j} * 7) % 5 = 0", "tuned": "(k * 29 + {j} * 13) % 23 = 0"}
@@ -32,7 +32,7 @@ FACTS = (
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
     """k, tenant, tier, doc_chars, the five leaves, and gold JSON."""
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    o, c = spread(table(spark, d, "orders"), "o_orderkey"), table(spark, d, "customer")
     cols = "o_orderkey k, cast(c_nationkey % 7 as int) tenant, o_orderpriority tier, cast((o_orderkey * 37) % 911 as int) doc_chars, o_orderstatus status, o_orderpriority priority, o_totalprice, cast(c_custkey as string) cust, c_mktsegment seg"
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).selectExpr(*cols.split(", "))
     rows = rows.withColumn("total", F.format_string("%.2f", F.col("o_totalprice").cast("double"))).drop("o_totalprice")

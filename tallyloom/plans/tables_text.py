@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.payload import candidate_key, is_number, normal_leaf
 from ..operators import corpora, merges, splits, votes
-from ..tables import table
+from ..tables import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 def completions(spark: SparkSession, d: str) -> DataFrame:
     """Five completions per order: id, ordinal, text, lp. Equal answers come in two
     formattings; every seventh order also has one that isn't JSON."""
-    o = table(spark, d, "orders").selectExpr("o_orderkey as id", "explode(sequence(0, 4)) as ordinal")
+    o = spread(table(spark, d, "orders"), "o_orderkey").selectExpr("o_orderkey as id", "explode(sequence(0, 4)) as ordinal")
     o = o.withColumn("answer", F.expr("(id * 3 + ordinal * ordinal) % 3"))
     text = F.when(F.expr("id % 7 = 0 and ordinal = 4"), F.lit("no json")).when(F.expr("ordinal % 2 = 0"), F.format_string('{"a": %d, "b": 1}', "answer")).otherwise(F.format_string('{"b":1,"a":%d}', "answer"))
     return o.withColumn("text", text).withColumn("lp", F.expr("-cast((id * 7 + ordinal * 11) % 50 as double) / 8"))

@@ -19,3 +19,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name not in NAMES:
         raise ValueError(f"unknown table {name}")
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A scan for Python work: one of fewer splits than the session has cores is
+    dealt to all of them by ``key``; a larger one stays as it is read, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
