@@ -37,14 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the
-    lineage and outlives any executor. Removed when the driver ends, or by
-    ``forget``."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder. Removed when the driver ends."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at, compression="zstd")
     _WRITTEN.append((spark, at))
+    return at
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder (with ``by`` a folder for
+    each value of that column) and read again: cuts the lineage and outlives any
+    executor. Removed when the driver ends, or by ``forget``."""
+    spark = df.sparkSession
+    at = folder(spark, name)
+    df.write.parquet(at, compression="zstd", partitionBy=by)
     return spark.read.schema(df.schema).parquet(at)
 
 

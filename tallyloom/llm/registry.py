@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (name: function of session and folder) and SQL (name: text).
-MODULES = ("queries_dedup", "queries_text", "queries_mixing", "queries_learning", "queries_vectors")
+MODULES = ("queries_dedup", "queries_text", "queries_mixing", "queries_learning", "queries_vectors", "queries_packing")
 
 
 def queries() -> dict:
