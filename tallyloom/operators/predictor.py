@@ -33,7 +33,7 @@ def completions(prompts: DataFrame, make: Callable[[], Predictor]) -> DataFrame:
         for pdf in frames:
             yield pdf.assign(completion=predictor.predict(pdf))
 
-    return prompts.mapInPandas(run, prompts.select("*", F.lit("").alias("completion")).schema)
+    return prompts.mapInPandas(run, prompts.select("*", F.lit(None).cast("string").alias("completion")).schema)
 
 
 def kept(rows: DataFrame, text: str = "completion") -> DataFrame:
@@ -49,7 +49,7 @@ def log_probabilities(pairs: DataFrame, make: Callable[[], Predictor]) -> DataFr
         for pdf in frames:
             yield pdf.assign(lp=predictor.log_probability(pdf).astype(float))
 
-    return pairs.mapInPandas(run, pairs.select("*", F.lit(0.0).alias("lp")).schema)
+    return pairs.mapInPandas(run, pairs.select("*", F.lit(None).cast("double").alias("lp")).schema)
 
 
 def in_frames(candidates: DataFrame, augmentations: DataFrame, grid: str = "grid") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scores, tables_grid, tables_runs, tables_text
+from . import decoding, scores, tables_grid, tables_runs, tables_text
 
-MODULES = (scores, tables_text, tables_grid, tables_runs)
+MODULES = (scores, tables_text, tables_grid, tables_runs, decoding)
 
 
 def queries() -> dict:
