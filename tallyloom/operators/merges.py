@@ -10,22 +10,32 @@ from . import generate, scoring
 TOLERANCE = 5e-4
 
 
-def bank(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+def bank(existing: DataFrame, incoming: DataFrame, key: list[str], partner_by: list[str] | None = None, arm: str = "arm") -> DataFrame:
     """The action for every incoming record (key, error, device, dtype, mean):
-    add, skip (an error, or the same result), supersede error, supersede
-    environment (device or dtype changed), conflict (same environment, other result)."""
-    old = existing.select(*key, F.lit(True).alias("here_"), *[F.col(c).alias(f"old_{c}") for c in ("error", "device", "dtype", "mean")])
+    add (whatever it is), skip (an error, or the same result), supersede error, supersede
+    environment (device or dtype changed), conflict (same environment, other
+    result). With ``partner_by`` also conflict if the record in place still has
+    the environment of its partner: of the existing records of the same
+    ``partner_by`` and another ``arm`` the first by arm, if that is no error."""
+    fields = ("error", "device", "dtype", "mean")
+    old = existing.select(*key, F.lit(True).alias("here_"), *[F.col(c).alias(f"old_{c}") for c in fields])
     both = incoming.join(old, key, "left")
     same = F.col("device").eqNullSafe(F.col("old_device")) & F.col("dtype").eqNullSafe(F.col("old_dtype"))
+    paired = F.lit(False)
+    if partner_by is not None:
+        arms = F.array_sort(F.collect_list(F.struct(F.col(arm).alias("a"), "error", "device", "dtype"))).alias("arms_")  # a key has few arms
+        both = both.join(existing.groupBy(*partner_by).agg(arms), partner_by, "left")
+        other = F.get(F.filter("arms_", lambda x: x["a"] != F.col(arm)), F.lit(0))
+        paired = other.isNotNull() & other["error"].isNull() & other["device"].eqNullSafe(F.col("old_device")) & other["dtype"].eqNullSafe(F.col("old_dtype"))
     action = (
-        F.when(F.col("error").isNotNull(), "skip")
-        .when(F.col("here_").isNull(), "add")
+        F.when(F.col("here_").isNull(), "add")
+        .when(F.col("error").isNotNull(), "skip")
         .when(F.col("old_error").isNotNull(), "supersede error")
-        .when(~same, "supersede environment")
-        .when(F.col("mean").eqNullSafe(F.col("old_mean")), "skip")
-        .otherwise("conflict")
+        .when(same & F.col("mean").eqNullSafe(F.col("old_mean")), "skip")
+        .when(same | paired, "conflict")
+        .otherwise("supersede environment")
     )
-    return both.withColumn("action", action).drop("here_", "old_error", "old_device", "old_dtype", "old_mean")
+    return both.withColumn("action", action).drop("here_", "arms_", *[f"old_{c}" for c in fields])
 
 
 def banked(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:

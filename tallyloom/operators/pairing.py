@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import ranks
 
 
 def same_or_both_null(a: Column, b: Column) -> Column:
@@ -132,18 +133,8 @@ def without_largest(deltas: DataFrame, by: list[str], n: int, order: Sequence[st
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """n, rho over average ranks; 0 if a side is constant. Ranks come from counts
-    per value, so rows are never sorted in one task; only distinct values are."""
-
-    def ranks(c: str) -> DataFrame:
-        counts = rows.groupBy(F.col(c).alias(f"{c}_v")).agg(F.count(F.lit(1)).alias("m_"))
-        before = F.coalesce(F.sum("m_").over(Window.orderBy(f"{c}_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.withColumn(f"{c}_rank", before + (F.col("m_") + 1) / 2).drop("m_")
-
-    both = rows.join(ranks(x), F.col(x).eqNullSafe(F.col(f"{x}_v"))).join(ranks(y), F.col(y).eqNullSafe(F.col(f"{y}_v")))
-    a, b = F.col(f"{x}_rank").cast("double"), F.col(f"{y}_rank").cast("double")
-    sums = both.agg(F.count(F.lit(1)).alias("n"), F.covar_pop(a, b).alias("c_"), (F.stddev_pop(a) * F.stddev_pop(b)).alias("s_"))
-    return sums.select("n", F.when(F.col("s_") > 0, F.col("c_") / F.col("s_")).otherwise(0.0).alias("rho"))
+    """n, rho over average ranks; 0 if a side is constant. No task orders more than a range of the values."""
+    return ranks.rank_correlation(rows, x, y)
 
 
 def both_measured(before: DataFrame, after: DataFrame, key: list[str], values: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 
 #: Rows of a seeded shuffle, whose positions one process lists.
 MOST_SHUFFLED = 1_000_000
@@ -48,13 +49,10 @@ def latest(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
-def shards(rows: DataFrame, size: str, key: str, workers: int) -> DataFrame:
-    """``rows`` with shard: dealt in turn, smallest first. The place of a row is the
-    number before its size (a window over sizes) plus its place within the size."""
-    counts = rows.groupBy(F.col(size).alias("s_")).agg(F.count(F.lit(1)).alias("m_"))
-    before = counts.withColumn("b_", F.coalesce(F.sum("m_").over(Window.orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m_")
-    within = rows.withColumn("i_", F.row_number().over(Window.partitionBy(size).orderBy(key)) - 1)
-    return within.join(before, within[size].eqNullSafe(before["s_"])).withColumn("shard", ((F.col("b_") + F.col("i_")) % workers).cast("int")).drop("s_", "b_", "i_")
+def shards(rows: DataFrame, size: str, key: str, workers: int, at: str | None = None) -> DataFrame:
+    """``rows`` with shard: dealt in turn, smallest first, equal sizes by ``key``.
+    Written (see ``ranks``) in ranges of (size, key), so no size is too frequent."""
+    return ranks.places(rows, [size, key], at, "place_").withColumn("shard", (F.col("place_") % workers).cast("int")).drop("place_")
 
 
 def binned_running_sums(rows: DataFrame, by: str, order: str, value: str, width: int, into: str) -> DataFrame:

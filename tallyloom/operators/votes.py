@@ -46,3 +46,15 @@ def submission(attempts: DataFrame, task: str = "task_id", output: str = "output
     two = attempts.groupBy(task).agg(F.max(F.when(F.col("attempt") == 1, F.col(output))).alias("a"), F.max(F.when(F.col("attempt") == 2, F.col(output))).alias("b"))
     entry = F.array(F.struct(F.coalesce("a", F.lit(fallback)).alias("attempt_1"), F.coalesce("b", "a", F.lit(fallback)).alias("attempt_2")))
     return two.select(F.col(task), F.to_json(F.struct(entry.alias("v"))).alias("json"))
+
+
+def submission_entries(attempts: DataFrame, task: str = "task_id", test: str = "test_index", grid: str = "grid") -> DataFrame:
+    """task, entries (JSON text): of every task a list with an object for each test,
+    in order of ``test``: the grids of attempt 1 and 2. The first is [[0]] where
+    there is none, the second copies the first. ``attempts``: task, test, attempt
+    (1, 2; of repeated ones the smallest grid), grid."""
+    at = lambda n: F.min(F.when(F.col("attempt") == n, F.col(grid)))
+    two = attempts.groupBy(task, test).agg(F.coalesce(at(1), F.array(F.array(F.lit(0)))).alias("a"), at(2).alias("b"))
+    entry = F.struct(F.col("a").alias("attempt_1"), F.coalesce("b", "a").alias("attempt_2"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct(F.col(test).alias("t"), entry.alias("e")))), lambda x: x["e"])
+    return two.groupBy(task).agg(F.to_json(in_order).alias("entries"))

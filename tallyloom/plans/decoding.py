@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import grids
 from ..operators import frontier, voted
 from ..tables import table
-from . import scratch
 
 QUERIES, SQL = {}, {}
 

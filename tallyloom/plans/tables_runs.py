@@ -6,12 +6,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import grids
 from ..operators import corpora, generate, merges, pairing, predictor, scoring, search, verdicts, votes
 from ..sources import readers, sinks
 from ..streaming import journal
 from ..tables import table
-from . import arms, scratch
+from . import arms
 from .scores import W, all_scores, wide_scores
 from .tables_grid import LOGITS, SWEEP, _steps, vectors
 from .tables_text import EX

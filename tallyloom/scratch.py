@@ -1,4 +1,4 @@
-"""Where catalogue queries that write and read again keep their files."""
+"""Where what is written and read again within a query is kept."""
 
 from __future__ import annotations
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.payload import parsed
+from ..operators import votes
+from .files import digests, json_object, opened, readable
 
 
 def json_lines(df: DataFrame, path: str, nulls: bool = True) -> None:
@@ -42,15 +46,35 @@ def challenge(rows: DataFrame, path: str) -> None:
     json_lines(rows.where("split = 'holdout'").select("id", "gold"), f"{path}/gold_holdout")
 
 
+def summary_object(df: DataFrame, path: str, key: str, overwrite: bool = False) -> None:
+    """The rows of ``df`` as one JSON object in one file: ``key`` names an entry,
+    its other columns are the entry's fields, nulls written."""
+    fields = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != key]), {"ignoreNullFields": "false"})
+    json_object(df.select(key, fields.alias("entry_")), path, key, "entry_", overwrite)
+
+
+def submission(attempts: DataFrame, path: str, task: str = "task_id", test: str = "test_index", grid: str = "grid", overwrite: bool = False) -> None:
+    """One JSON object in one file: every task with an entry for each of its tests,
+    in their order, of two attempts; see ``votes.submission_entries``."""
+    json_object(votes.submission_entries(attempts, task, test, grid), path, task, "entries", overwrite)
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """file, sha256 of every file below ``path``; a file of over 2 GB is refused by the source."""
+    """file, sha256 of every file below ``path``, chunk by chunk. Where only Spark
+    knows the file system, by its own source, which refuses files of over 2 GB."""
+    if readable(path):
+        return digests(spark, path).select("file", "sha256")
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
 def manifest(spark: SparkSession, path: str, **facts: str) -> DataFrame:
-    """One row: the files' hashes as a map and the given facts."""
-    hashes = file_hashes(spark, path).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", "sha256")))).alias("files"))
-    return hashes.select("files", *[F.lit(v).alias(k) for k, v in facts.items()])
+    """name, value (JSON text): an entry for every file below ``path`` (its place
+    there, bytes and sha256) and one for each of the facts, to be written as one
+    object (``json_object``)."""
+    _, at, before = opened(path)
+    place = F.substring("file", len(before + at.rstrip("/")) + 2, 1 << 20)
+    files = digests(spark, path).select(F.concat(F.lit("files/"), place).alias("name"), F.to_json(F.struct("bytes", "sha256")).alias("value"))
+    return files.union(spark.createDataFrame([(k, json.dumps(v, ensure_ascii=False)) for k, v in facts.items()], "name string, value string"))
 
 
 def guarded(df: DataFrame, pinned: dict[str, str | None], override: bool = False) -> DataFrame:
@@ -62,14 +86,15 @@ def guarded(df: DataFrame, pinned: dict[str, str | None], override: bool = False
 
 
 def append_journal(df: DataFrame, path: str, key: list[str]) -> int:
-    """Appends the rows whose key the journal doesn't have; returns how many."""
+    """Appends the rows whose key the journal doesn't have, once each; returns how
+    many. They are counted as they are written. For streams see ``journal.follow``,
+    which doesn't read the journal again."""
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
     fresh = df.dropDuplicates(key)
     if exists:
         fresh = fresh.join(spark.read.parquet(path).select(*key), key, "left_anti")
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").parquet(path)
-    return n
+    written = Observation()
+    fresh.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return written.get["n"]

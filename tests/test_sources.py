@@ -77,7 +77,8 @@ def test_challenge_files_never_leak_gold(spark, tmp_path):
     sinks.challenge(rows, str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "c/holdout")).columns == ["id", "text"]
     assert all(len(x.sha256) == 64 for x in sinks.file_hashes(spark, str(tmp_path / "c")).collect())
-    assert sinks.manifest(spark, str(tmp_path / "c"), commit="x").first().commit == "x"
+    entries = {x.name: json.loads(x.value) for x in sinks.manifest(spark, str(tmp_path / "c"), commit="x").collect()}
+    assert entries.pop("commit") == "x" and {len(x["sha256"]) for x in entries.values()} == {64} and all(n.startswith(("files/train/", "files/holdout/", "files/gold_holdout/")) for n in entries)
     with pytest.raises(ValueError, match="unpinned: model"):
         sinks.guarded(rows, {"model": None, "commit": "x"})
 
