@@ -76,6 +76,25 @@ def test_line_windows_repeated_ids_and_empty_table(spark):
     assert drop_repeated_lines(df.limit(0)).count() == 0
 
 
+THIRTY, OTHERS = "\n".join(f"l{i}" for i in range(30)), "\n".join(f"m{i}" for i in range(40))
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, THIRTY), (2, THIRTY), (2, "a\nb")],
+    [(1, THIRTY), (2, THIRTY), (2, OTHERS)],
+    [(2, THIRTY), (2, OTHERS), (2, THIRTY), (2, f"{OTHERS}\nx"), (3, OTHERS)],
+    [(None, THIRTY), (None, f"{THIRTY}\nx"), (None, None), (1, THIRTY), (1, ""), (1, None)],
+])
+def test_line_windows_of_repeated_ids_with_other_texts(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((-1 if x.doc_id is None else x.doc_id, x.n_lines, x.text, x.n_removed, x.n_spans) for x in drop_repeated_lines(df).collect())
+    marks = {(r.doc_id, r.text): r.mark for r in df.selectExpr("*", "xxhash64(text) as mark").collect()}
+    order = sorted({*rows}, key=lambda r: (-1 if r[0] is None else r[0], marks[r]))
+    want = brute_lines({i: text for i, (_, text) in enumerate(order)})
+    by_row = {r: want[i] for i, r in enumerate(order)}
+    assert got == sorted((-1 if r[0] is None else r[0], by_row[r][1], by_row[r][0], *by_row[r][2:]) for r in rows)
+
+
 def brute_print(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
