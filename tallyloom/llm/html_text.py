@@ -5,16 +5,18 @@ less with each level; an element's points are discounted by the share of its
 text that stands in links. The best element, raised to the article that holds
 it, and siblings that score well or read like paragraphs are kept.
 
-Names of classes and ids only speak against an element. Those of comments,
-adverts and menus exclude it; others (header, share, search) and forms do so
-unless it holds most of the page's paragraphs, as a form around a whole page does.
+Names of classes and ids only speak against an element. One that is called
+nothing but comments, advert or cookie banner is excluded; one with other names
+of that kind (menu, header, share), or with such a word in a name of its own
+(menu-recipe), and a form are excluded unless they hold most of the page's
+paragraphs, as a form around a whole page does. A section of an article that
+reads like one may be called what it likes (discussion, related-work).
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,6 +52,7 @@ _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 _DROPPED = set("head nav footer aside menu dialog button".split())
 _DOUBTFUL = set("form fieldset header".split())
 _READ = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 _NEVER = set("html body article main".split())
 _UNWANTED = set(
     "ad ads adbox adunit adsense adslot advert adverts advertisement advertising sponsor sponsored promo promoted promotion cookie cookies consent gdpr "
@@ -57,10 +60,16 @@ _UNWANTED = set(
     "breadcrumb breadcrumbs comment comments commentlist reply replies respond disqus discussion "
     "related recommended recommendations pagination pager skip hidden".split()
 )
+#: Those that exclude an element if its name says nothing else; the others do so in pairs.
+_ALWAYS = set(
+    "ad ads adbox adunit adsense adslot advert adverts advertisement sponsored promo promoted gdpr consent newsletter signup login paywall navbar "
+    "breadcrumb breadcrumbs comment comments commentlist disqus pagination pager skip".split()
+)
 _SUSPECT = set("banner notice alert share sharing social sidebar sidebars aside footer foot widget widgets masthead toolbar search topbar header".split())
 #: Words that say where or how large an element is, or whose service it links to: they don't make a name mean something else.
 _NEUTRAL = set("page site main top bottom left right primary secondary global box block bar area section wrapper wrap container inner outer content list item items button buttons link links icon icons "
-               "post entry article text title row col column facebook twitter linkedin whatsapp pinterest reddit email print".split())
+               "post posts entry entries article articles story stories text title row col column facebook twitter linkedin whatsapp pinterest reddit email print "
+               "reader readers user users visitor visitors thread threads feed form author body meta count latest recent".split())
 _STATES = set("open opened closed enabled disabled fixed loaded accepted".split())
 _ABSENT = set("has with without no not is".split())
 _TITLED = set("article post entry story content title".split())
@@ -69,11 +78,14 @@ _APART = set("ad ads comment comments commentlist promo related replies reply".s
 _ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+_BOUNDS = set("table ul ol dl body html".split())
 _FIRST = {"div": 5, "article": 10, "section": 3, "main": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "address": -3, "th": -5}
 _GOOD = set("article body content entry main page post text blog story".split())
 LEVELS, SCORED_CHARS = 5, 25
 #: An element under suspicion is a plain wrapper if it holds more than this share of the page's paragraph points.
 MOST = 0.7
+#: A section of an article has less than this share of its text in links.
+SECTION_LINKS = 0.25
 
 
 @lru_cache(maxsize=10_000)
@@ -84,14 +96,14 @@ def _class_words(value: str) -> tuple[tuple[str, ...], ...]:
 
 
 @lru_cache(maxsize=10_000)
-def _unwanted(value: str, inside: bool) -> tuple[frozenset[str], bool]:
+def _unwanted(value: str, inside: bool) -> tuple[frozenset[str], bool, bool]:
     """(what excludes an element of this class or id, whether it is under
-    suspicion). Names of a page's state or layout (has-sidebar, comments-open,
-    content-sidebar-wrap) say nothing of the element; a header within an
-    article belongs to it, and so does what is named after a subject of its own
-    (social-history, related-work)."""
+    suspicion, whether it is cleared of that if it reads like a section of an
+    article). Names of a page's state or layout (has-sidebar, comments-open,
+    content-sidebar-wrap) say nothing of the element, and a header within an
+    article belongs to it."""
     found: set[str] = set()
-    suspect = False
+    suspect = cleared = False
     for words in _class_words(value):
         if "hidden" in words:
             if words in (("hidden",), ("is", "hidden"), ("visually", "hidden")):
@@ -107,10 +119,14 @@ def _unwanted(value: str, inside: bool) -> tuple[frozenset[str], bool]:
             continue
         if bad | doubt <= {"sidebar", "sidebars"} and words[-1] in _WRAPS and not {*words} <= doubt | _WRAPS:
             continue
-        found |= bad
         named = all(w in _UNWANTED or w in _SUSPECT or w in _NEUTRAL or w.isdigit() for w in words)
-        suspect |= bool(doubt) and (named or not inside)
-    return frozenset(found), suspect
+        if bad and named and (bad & _ALWAYS or len(bad | doubt) > 1):
+            found |= bad
+        elif bad:
+            suspect = cleared = True
+        else:
+            suspect |= named or not inside
+    return frozenset(found), suspect, cleared
 
 
 @lru_cache(maxsize=10_000)
@@ -146,10 +162,11 @@ class _Page:
     """The elements of a page (parallel lists; 0 is the root) and its text blocks in order."""
 
     def __init__(self, source: str) -> None:
-        self.parent, self.tag, self.drop, self.bonus, self.inside, self.suspect = [0], ["#root"], [False], [0], [False], [False]
+        self.parent, self.tag, self.drop, self.bonus, self.inside, self.suspect, self.cleared = [0], ["#root"], [False], [0], [False], [False], [False]
         self.blocks: list[tuple[int, str, int, int]] = []  # element, text, characters in links, links
         self.stack, self.parts, self.linked, self.links, self.in_link = [0], [], 0, 0, False
-        self.open: Counter[str] = Counter()  # elements of the stack by tag
+        self.at: dict[str, list[int]] = {}  # by tag: where on the stack its open elements are
+        self.solid = [0]  # for each element of the stack: where the last one is that isn't a span
         # A tag that the page's end cuts off is closed there, so no search for a tag's end is in vain.
         whole, source = len(source), source + ">"
         embedded = _embedded(source)
@@ -179,8 +196,13 @@ class _Page:
         self.parts, self.linked, self.links = [], 0, 0
 
     def _pop_to(self, depth: int) -> None:
-        self.open.subtract(self.tag[e] for e in self.stack[depth:])
-        del self.stack[depth:]
+        for e in self.stack[depth:]:
+            self.at[self.tag[e]].pop()
+        del self.stack[depth:], self.solid[depth:]
+
+    def _last(self, tags) -> int:
+        """Where on the stack the innermost open element of one of these tags is; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def _tag(self, tag: str, end: bool, attrs: str) -> None:
         if tag == "a":
@@ -198,34 +220,24 @@ class _Page:
         if tag != "span":
             self._flush()
         if end:
-            for depth in range(len(self.stack) - 1, 0, -1) if self.open[tag] else ():
-                if self.tag[self.stack[depth]] == tag:
-                    self._pop_to(depth)
-                    break
-                if tag == "span":  # closes nothing but the innermost element
-                    break
+            depth = self._last((tag,))
+            if depth and (tag != "span" or depth == len(self.stack) - 1):  # a span's end closes nothing but the innermost element
+                self._pop_to(depth)
             if tag != "span":
                 self.in_link = False
             return
-        if tag != "span":
-            closed = ("p", "span", *_CLOSES.get(tag, ()))
-            for depth in range(len(self.stack) - 1, 0, -1):
-                if not any(map(self.open.__getitem__, closed)):
-                    break
-                open_tag = self.tag[self.stack[depth]]
-                if open_tag in closed:
-                    if open_tag != "span" or any(self.tag[e] == "p" for e in self.stack[max(0, depth - 8) : depth]):
-                        self._pop_to(depth)
-                    continue
-                if tag not in _CLOSES or open_tag in _STOPS.get(tag, ()):
-                    break
-                if open_tag in ("table", "ul", "ol", "dl", "body", "html"):
-                    break
+        # Each step closes an element, so all of them together take time in proportion to the page.
+        if tag in _CLOSES:
+            while (depth := self._last(("p", *_CLOSES[tag]))) > self._last(_BOUNDS | _STOPS.get(tag, set())):
+                self._pop_to(depth)
+        elif tag != "span":
+            while self.tag[self.stack[self.solid[-1]]] == "p":
+                self._pop_to(self.solid[-1])
         self._open(tag, attrs)
 
     def _open(self, tag: str, attrs: str) -> None:
         above = self.stack[-1]
-        drop, bonus = self.drop[above], 0
+        drop, bonus, cleared = self.drop[above], 0, False
         inside = self.inside[above]
         suspect = tag in _DOUBTFUL and not (tag == "header" and inside)
         if tag in _DROPPED:
@@ -234,12 +246,13 @@ class _Page:
             for key, *values in _ATTR.findall(attrs):
                 key, value = key.lower(), html.unescape("".join(values))
                 if key in ("class", "id"):
-                    unwanted, doubted = _unwanted(value, inside)
+                    unwanted, doubted, clears = _unwanted(value, inside)
                     if tag in _READ:  # an id is often a slug of its words
                         drop |= "hidden" in unwanted or key == "class" and _says_only(value)
                     elif tag not in _NEVER or tag == "article" and unwanted & _APART:
                         drop |= bool(unwanted)
-                        suspect |= doubted and tag not in _NEVER
+                        if doubted and tag not in _NEVER:
+                            suspect, cleared = True, clears and (cleared or not suspect)
                     bonus += 25 * any(_GOOD.intersection(w) for w in _class_words(value))
                 elif tag not in _NEVER:
                     value = value.lower()
@@ -249,9 +262,11 @@ class _Page:
         self.drop.append(bool(drop))
         self.bonus.append(bonus - 25 * suspect)
         self.suspect.append(suspect)
+        self.cleared.append(cleared)
         self.inside.append(inside or tag in ("article", "main"))
         self.stack.append(len(self.tag) - 1)
-        self.open[tag] += 1
+        self.at.setdefault(tag, []).append(len(self.stack) - 1)
+        self.solid.append(self.solid[-1] if tag == "span" else len(self.stack) - 1)
 
     def path(self, element: int) -> Iterator[int]:
         while element:
@@ -269,13 +284,21 @@ def main_text(source: str | None) -> str:
     n = len(page.tag)
     chars, linked, points, links, read = [0] * n, [0] * n, [0.0] * n, [0] * n, [0.0] * n
     worth = [1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= SCORED_CHARS else 0.0 for _, text, *_ in page.blocks]
+    held, in_link, headings = [0] * n, [0] * n, [0] * n
     for (element, text, in_links, _), w in zip(page.blocks, worth, strict=True):
         read[element] += w * (2 * in_links < len(text))
+        held[element] += len(text)
+        in_link[element] += in_links
+        headings[element] += page.tag[element] in _HEADINGS
     for e in range(n - 1, 0, -1):  # an element stands after its parent
-        read[page.parent[e]] += read[e]
-    out = page.drop[:]
+        for sums in (read, held, in_link, headings):
+            sums[page.parent[e]] += sums[e]
+    out, article = page.drop[:], [False] * n
     for e in range(1, n):
-        out[e] |= out[page.parent[e]] or page.suspect[e] and read[e] <= MOST * read[0]
+        above = page.parent[e]
+        article[e] = article[above] or page.tag[e] == "article"
+        section = page.cleared[e] and article[e] and read[e] and (page.tag[e] == "section" or headings[e]) and in_link[e] < SECTION_LINKS * held[e]
+        out[e] |= out[above] or page.suspect[e] and not section and read[e] <= MOST * read[0]
     for (element, text, in_links, anchors), w in zip(page.blocks, worth, strict=True):
         if out[element]:
             continue

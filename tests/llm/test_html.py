@@ -71,6 +71,10 @@ NAMED = {
     "heading's id": (f'<article><h2 id="related-work">Related work</h2>{SIX}<h2 id="search-algorithms">Search</h2></article>', f"Related work\n\n{SIX_TEXT}\n\nSearch"),
     "paragraph's id": (f'<article>{SIX}<p id="notice-of-appeal">{LONG}</p><p class=advert>{LONG}</p></article>', f"{SIX_TEXT}\n\n{LONG}"),
     "subject": (f"<article>{SIX}<div class='social-history'><p>{LONG}</p></div><div class='social-share-buttons'><p>{LONG}</p></div></article>", f"{SIX_TEXT}\n\n{LONG}"),
+    "subjects": (f"<article>{SIX}" + "".join(f"<section id='{n}'><h2>About</h2><p>{LONG}</p></section>" for n in ("related-work", "discussion", "recommendations", "comments-on-method", "replies", "navigation", "menu", "cookies")) + "</article>", SIX_TEXT + f"\n\nAbout\n\n{LONG}" * 8),
+    "subjects of divs": (f"<article>{SIX}" + "".join(f"<div class='{n}'><h3>About</h3><p>{LONG}</p></div>" for n in ("related-work", "discussion", "menu")) + "</article>", SIX_TEXT + f"\n\nAbout\n\n{LONG}" * 3),
+    "boilerplate in an article": (f"<article>{SIX}" + "".join(f"<{t} class='{n}'><h2>About</h2><p>{x}</p></{t}>" for t in ("div", "section") for n in ("comments", "ad", "cookie-banner", "newsletter", "user-comments", "related-posts promo", "nav-menu", "subscribe-popup", "reader-comments") for x in (LONG, f"<a href=1>{LONG}</a>")) + f"<div class=related><p>{LONG}</p></div><section class=related><h2>More</h2><p><a href=1>{LONG}</a></p></section><div class=comment-author><p>{LONG}</p></div></article>", SIX_TEXT),
+    "boilerplate beside it": (f"<body><div class=content>{SIX}</div>" + "".join(f"<section class='{n}'><h2>About</h2><p>{LONG}</p></section>" for n in ("related", "discussion", "popup", "menu-recipe", "comments", "cookies", "subscribe")) + "</body>", SIX_TEXT),
     "comments outweigh": (f"<body><div class=content>{SIX}</div><div id=comments>{SIX * 4}</div></body>", SIX_TEXT),
 }
 
@@ -81,6 +85,23 @@ def test_names_alone_exclude_no_article(name):
     assert main_text(source) == want
 
 
+@pytest.mark.parametrize("attribute", [
+    *(f"class='{n}'" for n in ("comment-piece", "menu-recipe", "navigation-guide", "subscription-models", "promotion-history", "popup-book", "ad-hoc-committee", "cookie-recipe", "advertising-industry", "article overlay", "pager-history content")),
+    "id=discussion",
+])
+def test_words_in_a_name_exclude_no_container(attribute):
+    assert main_text(f"<body><nav class=menu><a href=1>Home</a></nav><div {attribute}>{SIX}</div><div class=promo><p>{LONG}</p></div></body>") == SIX_TEXT
+
+
+@pytest.mark.parametrize("parts", ["<span><div></div>", "<span>x", "<p><span>", "<li><span><div>", "<p><foo>", "<td><span>x</td>"])
+def test_open_elements_take_time_in_proportion(parts):
+    began = time.process_time()
+    assert main_text(f"<p>{LONG}</p>" + parts * ((1 << 20) // len(parts)))  # a megabyte of x outweighs it
+    half = (1 << 19) // len(parts)
+    assert main_text(f"<p>{LONG}</p>" + parts * half + "<div></div>" * half + "<dt>" * half)
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("part", ["<a ", "<script", '<a "', "<svg ", "<!", "<!--", "<script>", "<a '", '<a b="', "<td", "</", "<p ", "&"])
 def test_a_megabyte_of_broken_markup_takes_time_in_proportion(part):
     began = time.process_time()
