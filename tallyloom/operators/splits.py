@@ -39,6 +39,32 @@ def seeded_split(rows: DataFrame, order: str, k: int, seed: int) -> DataFrame:
     return numbered.join(chosen, numbered["n_"] == chosen["p_"], "left").withColumn("split", F.when(F.col("t_"), "train").otherwise("holdout")).drop("n_", "p_", "t_")
 
 
+def shuffled_slices(rows: DataFrame, order: str, k: int, n: int, seed: int) -> DataFrame:
+    """The first ``k`` rows of a shuffle (split train) and the next ``n`` (split
+    eval), index from 0 within each: as Python's Mersenne Twister shuffles the rows
+    in ``order``. Fewer than ``k + n`` rows are an error, as are over ``MOST_SHUFFLED``."""
+    size = rows.count()
+    if not k + n <= size <= MOST_SHUFFLED:
+        raise ValueError(f"{size} rows; {k + n} to {MOST_SHUFFLED} are needed")
+    positions = list(range(size))
+    random.Random(seed).shuffle(positions)
+    chosen = [(p, "train" if i < k else "eval", i if i < k else i - k) for i, p in enumerate(positions[: k + n])]
+    slices = rows.sparkSession.createDataFrame(chosen, "place_ long, split string, index int")
+    return ranks.places(rows, [order], into="place_").join(slices, "place_").drop("place_")
+
+
+def arm_plan(seeds: DataFrame, ks: list[int], arms: list[str]) -> DataFrame:
+    """k, seed, arm: everything that is to be run, for every row of ``seeds`` (seed)."""
+    each = lambda values: F.explode(F.array(*map(F.lit, values)))
+    return seeds.select("seed").withColumn("k", each(ks)).withColumn("arm", each(arms)).select("k", "seed", "arm")
+
+
+def resumed(done: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
+    """``done`` and what ``fresh`` has beyond it, with place: the order by ``key``
+    of all results, as an uninterrupted run would have given them."""
+    return ranks.places(done.unionByName(fresh.join(done.select(*key), key, "left_anti")), key)
+
+
 def remaining(plan: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Planned work that the journal doesn't have."""
     return plan.join(done.select(*key).distinct(), key, "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.payload import overlap, parsed
-from ..operators import merges, pairing, scoring, splits, verdicts
+from ..operators import gates, merges, pairing, scoring, splits, verdicts
 from ..tables import table
 from . import arms
 
@@ -206,11 +206,10 @@ def spearman_len_quality(spark, d):
     return pairing.spearman(x, "n_chars", "quality").select("n", F.round("rho", 9).alias("rho"))
 
 
-@query(PAIRED + ", c as (select tenant, avg(control) as base, avg(delta) as delta from p group by tenant), r as (select *, row_number() over (order by base, delta, tenant) as lo, row_number() over (order by base desc, delta desc, tenant desc) as hi from c) select round(avg(delta) filter (where lo <= 3) - avg(delta) filter (where hi <= 3), 6) as gap from r")
+@query(PAIRED + ", c as (select tenant, avg(control) as base, avg(delta) as delta from p group by tenant), r as (select *, row_number() over (order by base, delta, tenant) as lo, row_number() over (order by base desc, delta desc, tenant desc) as hi from c) select round(avg(delta) filter (where lo <= 4) - avg(delta) filter (where hi <= 4), 6) as gap from r")
 def low_high_gap(spark, d):
     c = tenant_deltas(spark, d).groupBy("tenant").agg(F.avg("control").alias("base"), F.avg("delta").alias("delta"))
-    r = c.withColumn("lo", F.row_number().over(Window.orderBy("base", "delta", "tenant"))).withColumn("hi", F.row_number().over(Window.orderBy(F.desc("base"), F.desc("delta"), F.desc("tenant"))))
-    return r.agg(F.round(F.avg(F.when(F.col("lo") <= 3, F.col("delta"))) - F.avg(F.when(F.col("hi") <= 3, F.col("delta"))), 6).alias("gap"))
+    return gates.ends_gap(c, "base", "delta").select(F.round("gap", 6).alias("gap"))
 
 
 @query(PAIRED + " select k, case when 1 - control > 1e-9 then round((treated - control) / (1 - control), 6) end as fraction from p")

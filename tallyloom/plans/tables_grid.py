@@ -154,6 +154,6 @@ def stop_reason_counts(spark, d):
 
 @query()
 def schema_generate(spark, d):
-    """Records of twenty seeds; golden values and invariants are tested."""
-    seeds = spark.range(1, 21).withColumnRenamed("id", "seed")
+    """Records of a seed for each nation; golden values and invariants are tested."""
+    seeds = table(spark, d, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("seed"))
     return generate.records(seeds, 10, 5, "diverse").select("seed", "index", "split", F.length("text").alias("chars"), "target")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..functions import grids
-from ..operators import corpora, generate, merges, pairing, predictor, scoring, search, verdicts, votes
+from ..operators import corpora, generate, merges, pairing, predictor, scoring, search, splits, verdicts, votes
 from ..sources import readers, sinks
 from ..streaming import journal
 from ..tables import table
@@ -116,11 +116,14 @@ def file_digests(spark, d):
 
 @query("select k::int as k, seed::int as seed, count(*) as n from (select user_id % 3 as k, user_id % 5 as seed, event_type from events) group by all")
 def streamed_journal(spark, d):
-    """Events keyed by (k, seed, type) through the file stream into the journal, twice: each key is there once."""
+    """Events keyed by (k, seed, type) through the file stream into the journal,
+    three times: again without new files, and with the same rows in other files. Each key is there once."""
     at = scratch.folder(spark, "journal")
     rows = table(spark, d, "events").selectExpr("cast(user_id % 3 as int) as k", "cast(user_id % 5 as int) as seed", "event_type", "event_id")
     rows.write.json(f"{at}/in")
-    for _ in range(2):
+    for again in (False, False, True):
+        if again:
+            rows.write.mode("append").json(f"{at}/in")
         journal.follow(spark, f"{at}/in", "k int, seed int, event_type string, event_id long", f"{at}/out", f"{at}/checkpoint", ["event_id"]).awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("k", "seed").agg(F.count(F.lit(1)).alias("n"))
 
@@ -231,11 +234,11 @@ def purged_stage(spark, d):
     return merges.purged(o, "cpu", "fp32").select("k")
 
 
-@query("select k, seed, arm from (select unnest([10, 30]) as k), (select unnest([1, 2, 3]) as seed), (select unnest(['adapted', 'kshot']) as arm) where (k = 30 and seed = 1 and arm = 'adapted') or (k = 10 and seed = 3)")
+@query("select k, n_nationkey::int as seed, arm from (select unnest([10, 30]) as k), nation, (select unnest(['adapted', 'kshot']) as arm) where (k = 30 and seed = 1 and arm = 'adapted') or (k = 10 and seed = 3)")
 def requested_arms(spark, d):
-    each = lambda values: F.explode(F.array(*map(F.lit, values)))
-    plan = spark.range(1).select(each([10, 30]).alias("k")).withColumn("seed", each([1, 2, 3])).withColumn("arm", each(["adapted", "kshot"]))
-    return merges.requested(plan, "30:1:adapted, 10:3:kshot,10:3:adapted,10:9:kshot")
+    """What a list names of the plan of every nation as a seed; 99 is no nation."""
+    plan = splits.arm_plan(table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("seed")), [10, 30], ["adapted", "kshot"])
+    return merges.requested(plan, "30:1:adapted, 10:3:kshot,10:3:adapted,10:99:kshot")
 
 
 @query("select o_orderkey as k, case when o_orderkey % 4 = 0 and o_orderkey % 5 <> 0 then 'conflict' when o_orderkey % 4 = 0 then 'skip' when o_orderkey % 5 = 0 then 'supersede environment' else 'skip' end as action from orders where not (o_orderkey % 4 = 0 and o_orderkey % 5 <> 0)")
@@ -337,12 +340,13 @@ def field_audit(spark, d):
 
 # ---- verdict rules over every combination of what they read -------------------------------------------------------
 
-CASES = "c as (select i, (i % 3)::int as trips, (i // 3 % 2)::int as blocked, [-0.06, -0.05, 0.04, 0.05, 0.3][(i // 6 % 5 + 1)::int] as mean, [-0.1, 0.0, 0.02][(i // 30 % 3 + 1)::int] as low, [0.001, 0.049, 0.05, 0.4][(i // 90 % 4 + 1)::int] as p, (i // 360 % 3)::int as wins, (i // 1080 % 3)::int as losses, [null, 0.1, 0.15, 0.95, 0.96, 0.98][(i // 3240 % 6 + 1)::int] as control from range(0, 19440) r(i))"
+CASES = "c as (select i, (i % 3)::int as trips, (i // 3 % 2)::int as blocked, [-0.06, -0.05, 0.04, 0.05, 0.3][(i // 6 % 5 + 1)::int] as mean, [-0.1, 0.0, 0.02][(i // 30 % 3 + 1)::int] as low, [0.001, 0.049, 0.05, 0.4][(i // 90 % 4 + 1)::int] as p, (i // 360 % 3)::int as wins, (i // 1080 % 3)::int as losses, [null, 0.1, 0.15, 0.95, 0.96, 0.98][(i // 3240 % 6 + 1)::int] as control from (select distinct (l_orderkey * 4 + l_linenumber) % 19440 as i from lineitem))"
 
 
-def _cases(spark: SparkSession) -> DataFrame:
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    """A case for every number that line items give, of 19,440."""
     pick = lambda every, values: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("i") / every) % len(values) + 1).cast("int"))
-    c = spark.range(19440).withColumnRenamed("id", "i")
+    c = table(spark, d, "lineitem").select(((F.col("l_orderkey") * 4 + F.col("l_linenumber")) % 19440).alias("i")).distinct()
     number = lambda every, n: (F.floor(F.col("i") / every) % n).cast("int")
     return c.select("i", number(1, 3).alias("trips"), number(3, 2).alias("blocked"), pick(6, [-0.06, -0.05, 0.04, 0.05, 0.3]).alias("mean"), pick(30, [-0.1, 0.0, 0.02]).alias("low"), pick(90, [0.001, 0.049, 0.05, 0.4]).alias("p"), number(360, 3).alias("wins"), number(1080, 3).alias("losses"), pick(3240, [None, 0.1, 0.15, 0.95, 0.96, 0.98]).alias("control"))
 
@@ -351,17 +355,17 @@ def _cases(spark: SparkSession) -> DataFrame:
 def verdict_rules(spark, d):
     """Every rule on both sides of each of its bounds."""
     c = F.col
-    return _cases(spark).select(
+    return _cases(spark, d).select(
         "i", verdicts.validity(c("control")).alias("validity"), verdicts.gate(c("trips"), c("blocked"), c("mean"), c("low"), c("p"), c("wins"), c("losses")).alias("gate"),
         verdicts.receipts_gate(c("blocked"), c("mean")).alias("receipts"), verdicts.retention(c("mean"), c("wins"), c("losses")).alias("retention"), verdicts.unified(c("mean"), c("low"), c("wins"), c("losses")).alias("unified"),
         verdicts.rehearsal(c("mean"), c("p"), c("wins"), c("losses")).alias("rehearsal"), verdicts.advice(c("control"), c("mean")).alias("advice"), verdicts.role(F.when(c("i") % 2 == 0, 10).otherwise(30)).alias("role"),
     )
 
 
-@query("with c as (select i, (i % 4 + 8)::int as cells, [0.09, 0.1, 0.3][(i // 4 % 3 + 1)::int] as spread, [-0.9, -0.6, -0.59, 0.2][(i // 12 % 4 + 1)::int] as rho, [0.0, 0.099, 0.1, 0.2][(i // 48 % 4 + 1)::int] as gap from range(0, 192) r(i)) select i, case when cells < 10 or spread < 0.1 then 'UNINFORMATIVE' when rho <= -0.6 and gap >= 0.1 then 'PASS' when rho <= -0.6 or gap >= 0.1 then 'PARTIAL' else 'REFUTED' end as verdict from c")
+@query("with c as (select i, (i % 4 + 8)::int as cells, [0.09, 0.1, 0.3][(i // 4 % 3 + 1)::int] as spread, [-0.9, -0.6, -0.59, 0.2][(i // 12 % 4 + 1)::int] as rho, [0.0, 0.099, 0.1, 0.2][(i // 48 % 4 + 1)::int] as gap from (select distinct c_custkey % 192 as i from customer)) select i, case when cells < 10 or spread < 0.1 then 'UNINFORMATIVE' when rho <= -0.6 and gap >= 0.1 then 'PASS' when rho <= -0.6 or gap >= 0.1 then 'PARTIAL' else 'REFUTED' end as verdict from c")
 def difficulty_rule(spark, d):
     pick = lambda every, values: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("i") / every) % len(values) + 1).cast("int"))
-    c = spark.range(192).withColumnRenamed("id", "i")
+    c = table(spark, d, "customer").select((F.col("c_custkey") % 192).alias("i")).distinct()
     return c.select("i", verdicts.difficulty(pick(1, [8, 9, 10, 11]), pick(4, [0.09, 0.1, 0.3]), pick(12, [-0.9, -0.6, -0.59, 0.2]), pick(48, [0.0, 0.099, 0.1, 0.2])).alias("verdict"))
 
 
@@ -446,10 +450,11 @@ def primary_audit(spark, d):
     return merges.primary_audit(made, results).select(F.col("seed").cast("int").alias("seed"), "rescored", "mismatched", "status")
 
 
-@query("with t as (select unnest(range(0, 40)) as task), e as (select unnest(range(0, 9)) as epoch) select epoch, task::int as task, ((task + epoch) % 8)::int as augmentation from t, e")
+@query("with t as (select unnest(range(0, (select count(distinct conv_id) from conversations))) as task), e as (select unnest(range(0, 9)) as epoch) select epoch, task::int as task, ((task + epoch) % 8)::int as augmentation from t, e")
 def epoch_stream(spark, d):
     """Every task once per epoch, one dihedral element further each time; the order within an epoch is tested by golden values."""
-    return generate.epochs(spark, 40, 9, 1).select("epoch", "task", "augmentation")
+    n = table(spark, d, "conversations").agg(F.count_distinct("conv_id")).first()[0]
+    return generate.epochs(spark, n, 9, 1).select("epoch", "task", "augmentation")
 
 
 @query("with c as (select conv_id, count(*) as n from conversations group by conv_id), h as (select conv_id, n, unnest(range(0, n)) as held from c), o as (select conv_id, held, unnest(range(0, n)) as index from h) select conv_id::varchar as key, held::int as held, index::int as index from o where held <> index")

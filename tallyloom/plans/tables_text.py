@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.payload import candidate_key, is_number, normal_leaf
-from ..operators import corpora, merges, splits, votes
+from ..operators import corpora, merges, ranks, splits, votes
 from ..tables import spread, table
 
 QUERIES, SQL = {}, {}
@@ -190,12 +190,11 @@ def running_totals(spark, d):
     return sums.select("event_id", "event_type", F.round("running", 4).alias("running"))
 
 
-@query("select k, seed, arm, (row_number() over (order by case k when 30 then 0 else 1 end, seed, arm))::int as place from (select unnest([10, 30]) as k), (select unnest([1, 2, 3]) as seed), (select unnest(['adapted', 'kshot']) as arm)")
+@query("select k, n_nationkey::int as seed, arm, row_number() over (order by case k when 30 then 0 else 1 end, n_nationkey, arm) - 1 as place from (select unnest([10, 30]) as k), nation, (select unnest(['adapted', 'kshot']) as arm)")
 def arm_plan(spark, d):
-    """Every k, seed and arm, the deciding k first."""
-    each = lambda values: F.explode(F.array(*map(F.lit, values)))
-    plan = spark.range(1).select(each([10, 30]).alias("k")).withColumn("seed", each([1, 2, 3])).withColumn("arm", each(["adapted", "kshot"]))
-    return plan.withColumn("place", F.row_number().over(Window.orderBy(F.when(F.col("k") == 30, 0).otherwise(1), "seed", "arm")))
+    """Every k, seed (a nation) and arm, the deciding k first."""
+    plan = splits.arm_plan(table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("seed")), [10, 30], ["adapted", "kshot"])
+    return ranks.places(plan.withColumn("first", F.when(F.col("k") == 30, 0).otherwise(1)), ["first", "seed", "arm"]).drop("first")
 
 
 @query("with a as (select doc_id, text from documents where doc_id % 2 = 0), b as (select doc_id, text from documents where doc_id % 3 = 0) select doc_id, 'left' as side from a where doc_id not in (select doc_id from b) union all select doc_id, 'right' from b where doc_id not in (select doc_id from a)")

@@ -193,7 +193,7 @@ def json_object(rows: DataFrame, path: str, key: str, value: str, overwrite: boo
 
 
 def object_entries(spark: SparkSession, path: str) -> DataFrame:
-    """key, value (JSON text) of an object that ``json_object`` wrote, read line
-    by line: no task holds the file."""
+    """key, value (JSON text; of a text the text itself) of an object that
+    ``json_object`` wrote, read line by line: no task holds the file."""
     lines = spark.read.text(path).where("value not in ('{', '}')").select(F.concat(F.lit("{"), F.regexp_replace("value", ",$", ""), F.lit("}")).alias("line"))
     return lines.select(F.explode(F.from_json("line", "map<string,string>")).alias("key", "value"))

@@ -105,9 +105,14 @@ def text_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_task_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no and the text task of each line; the id is required and must be unique."""
+    """file, line_no and the text task of each line; the id is required and must
+    be unique. A file without a line that isn't blank has a row of its own, which says so."""
     lines = numbered_lines(spark, path).withColumn("stem", F.lit(None).cast("string"))
     rows = _task(lines, TEXT_TASK, False)
+    names = [(f.rpartition("/")[2],) for f in spark.read.text(path).inputFiles()]  # the driver lists files anyway; scans skip those of no bytes
+    every = spark.createDataFrame(names, "file string")
+    empty = every.join(lines.select("file").distinct(), "file", "left_anti").withColumn("_errors", F.array(F.lit("empty file")))
+    rows = rows.unionByName(empty, allowMissingColumns=True)
     again = duplicated(rows, "task_id").withColumn("again_", F.lit(True))
     joined = rows.join(again, "task_id", "left")
     return joined.withColumn("_errors", F.when(F.col("again_"), F.concat("_errors", F.array(F.lit("duplicate id")))).otherwise(F.col("_errors"))).drop("again_")
@@ -203,6 +208,11 @@ def scores_by_index(arm: DataFrame, **environment: str) -> DataFrame:
     return _asserted(arm, **environment).select(F.inline("results")).where("micro_f1 is not null").select("index", "micro_f1")
 
 
+def subset(rows: DataFrame, wanted: DataFrame, index: str) -> DataFrame:
+    """The rows whose ``index`` is among the ``wanted`` ones (a table with that column; repeats don't matter)."""
+    return rows.join(wanted.select(index).distinct(), index, "left_semi")
+
+
 def positional(rows: DataFrame, left: str, right: str) -> DataFrame:
     """``rows`` with index, left and right of two lists of equal length; another length raises."""
     same = F.when(F.size(left) == F.size(right), F.lit(True)).otherwise(F.raise_error(F.lit("lists of different lengths")).cast("boolean"))
