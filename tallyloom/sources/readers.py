@@ -56,7 +56,7 @@ def with_errors(df: DataFrame, *checks: tuple[str, Column]) -> DataFrame:
 
 def strict(df: DataFrame, what: str) -> DataFrame:
     """``df`` without _errors; reading a row that has any raises, naming them and, where rows have one, the line."""
-    line = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": ")) if "line_no" in df.columns else F.lit("")
+    line = F.coalesce(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": ")), F.lit("")) if "line_no" in df.columns else F.lit("")
     message = F.concat(F.lit(f"{what}: "), line, F.array_join("_errors", ", "))
     guard = F.when(F.size("_errors") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
     return df.where(guard).drop("_errors")
