@@ -33,55 +33,67 @@ OWN = 15
 WIDTH = 3 * OWN + 3
 
 
-def line_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, lengths, first) of the lines of the texts at offsets ``at``:
-    ``first`` holds where each text's lines begin, one more for the end. Lines
-    end at a line feed; an empty text is one empty line."""
+def lines_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first) of the lines of the texts at offsets ``at``: ``first``
+    holds where each text's lines begin, one more for the end. Lines end at a line
+    feed; an empty text is one empty line."""
     breaks = np.flatnonzero(data == 10)
-    starts = np.sort(np.concatenate((at[:-1], breaks + 1 if len(breaks) else breaks)), kind="stable")
     # A break at a text's very end begins an empty line of that text, not of the next.
     owner = np.concatenate((np.arange(len(at) - 1), np.searchsorted(at, breaks, side="right") - 1))
-    order = np.lexsort((np.concatenate((at[:-1], breaks + 1)), owner))
-    starts, owner = np.concatenate((at[:-1], breaks + 1))[order], owner[order]
+    starts = np.concatenate((at[:-1], breaks + 1))
+    order = np.lexsort((starts, owner))
+    starts, owner = starts[order], owner[order]
     first = np.searchsorted(owner, np.arange(len(at)))
     ends = np.append(starts[1:] - 1, at[-1])
-    final = first[1:] - 1
-    ends[final] = at[1:]
+    ends[first[1:] - 1] = at[1:]
+    return starts, ends, first
+
+
+def own_features(data: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """The ``OWN`` features of each line, one column after the other."""
     n = (ends - starts).astype(np.float64)
     kind = _KIND[data]
 
-    def share(flags: np.ndarray, of: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0], np.cumsum(flags)))
-        return (sums[ends] - sums[starts]) / np.maximum(of, 1)
-
-    f = np.zeros((len(starts), OWN))
-    for k in (1, 3, 4, 5):
-        f[:, k] = share(kind == k, n)
-    f[:, 0] = share(kind == 0, n)
-    letters = share((kind == 1) | (kind == 2), n)
-    f[:, 2] = letters
-    f[:, 6] = f[:, 1] / np.maximum(letters, 1e-3)
+    def share(flags: np.ndarray) -> np.ndarray:
+        sums = np.concatenate((np.zeros(1, np.int32), np.cumsum(flags, dtype=np.int32)))
+        return (sums[ends] - sums[starts]) / np.maximum(n, 1)
+
+    yield share(kind == 0)
+    upper = share(kind == 1)
+    yield upper
+    letters = share((kind == 1) | (kind == 2))
+    yield letters
+    yield share(kind == 3)
+    yield share(kind == 4)
+    yield share(kind == 5)
+    yield upper / np.maximum(letters, 1e-3)
     w_start, w_end, h = word_hashes(data, at)
-    line = np.searchsorted(starts, w_start, side="right") - 1
-    if len(line):  # of lines that begin at the same byte only the last has words
-        words = np.bincount(line, minlength=len(starts)).astype(np.float64)
-        f[:, 7] = np.bincount(line, w_end - w_start, len(starts)) / np.maximum(words, 1) / 10
-        same = np.zeros(len(h), bool)
-        same[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
-        f[:, 8] = np.bincount(line, same, len(starts)) / np.maximum(words, 1)
-        order = np.lexsort((h, line))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (line[order][1:] != line[order][:-1])
-        f[:, 9] = np.where(words > 0, np.bincount(line[order], new, len(starts)) / np.maximum(words, 1), 1) ** 2
-        f[:, 10] = np.log1p(words) / 5
-    else:
-        f[:, 9] = 1
-    f[:, 11] = np.log1p(n) / 7
-    f[:, 12] = n == 0
-    nonempty = n > 0
+    line = np.searchsorted(starts, w_start, side="right") - 1  # of lines that begin at the same byte only the last has words
+    words = np.bincount(line, minlength=len(starts)).astype(np.float64) if len(line) else np.zeros(len(starts))
+    per_word = lambda at_line, weight: np.bincount(at_line, weight, len(starts)) / np.maximum(words, 1) if len(line) else np.zeros(len(starts))
+    yield per_word(line, w_end - w_start) / 10
+    same = np.zeros(len(h), bool)
+    same[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
+    yield per_word(line, same)
+    order = np.lexsort((h, line))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (line[order][1:] != line[order][:-1])
+    yield np.where(words > 0, per_word(line[order], new), 1) ** 2
+    yield np.log1p(words) / 5
+    yield np.log1p(n) / 7
+    yield (n == 0).astype(np.float64)
     tail = data[np.maximum(ends - 1, 0)] if len(data) else np.zeros(len(ends), np.uint8)
-    f[:, 14] = share(kind == 6, n)
-    f[:, 13] = nonempty & np.isin(tail, [ord(c) for c in ".!?:;"])
+    yield ((n > 0) & np.isin(tail, [ord(c) for c in ".!?:;"])).astype(np.float64)
+    yield share(kind == 6)
+
+
+def line_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, lengths, first) of the lines: a line's own features, those of the
+    lines before and after it in its text, whether it is the first or last, and 1.
+    For training, whose texts are a bounded sample."""
+    starts, ends, first = lines_of(data, at)
+    f = np.stack(list(own_features(data, at, starts, ends)), axis=1)
+    final = first[1:] - 1
     x = np.zeros((len(starts), WIDTH))
     x[:, :OWN] = f
     x[1:, OWN : 2 * OWN] = f[:-1]
@@ -91,7 +103,27 @@ def line_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     x[first[:-1], 3 * OWN] = 1
     x[final, 3 * OWN + 1] = 1
     x[:, 3 * OWN + 2] = 1
-    return x, n, first
+    return x, (ends - starts).astype(np.float64), first
+
+
+def emissions(data: np.ndarray, at: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(emission, lengths, first): ``line_features`` times the emission weights. A
+    column is added up as it is made and then dropped, so a line takes a few
+    numbers however many features there are."""
+    starts, ends, first = lines_of(data, at)
+    own, before, after = (np.zeros(len(starts)) for _ in range(3))
+    for k, column in enumerate(own_features(data, at, starts, ends)):
+        own += theta[k] * column
+        before += theta[OWN + k] * column
+        after += theta[2 * OWN + k] * column
+    own[1:] += before[:-1]
+    own[first[1:-1]] -= before[first[1:-1] - 1]  # a text's first line has none before it
+    final = first[1:] - 1
+    own[:-1] += after[1:]
+    own[final[:-1]] -= after[final[:-1] + 1]
+    own[first[:-1]] += theta[3 * OWN]
+    own[final] += theta[3 * OWN + 1]
+    return own + theta[3 * OWN + 2], (ends - starts).astype(np.float64), first
 
 
 def forward_backward(emission: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,8 +187,8 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = STEPS)
 
 
 def document_scores(data: np.ndarray, at: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    x, n, first = line_features(data, at)
-    good, _, _ = forward_backward(x @ theta[:WIDTH], theta[WIDTH:].reshape(2, 2), first)
+    emission, n, first = emissions(data, at, theta)
+    good, _, _ = forward_backward(emission, theta[WIDTH:].reshape(2, 2), first)
     weight = n + 1
     return np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
 

@@ -1,12 +1,14 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.llm import quality_crf
 from tallyloom.llm.common import utf8
 from tallyloom.llm.learning import fold, word_hashes
 from tallyloom.llm.quality_crf import WIDTH, forward_backward, keep_good, line_features, quality
@@ -127,3 +129,23 @@ def test_keep_good_agrees_with_the_scores(tables):
     want = {x.doc_id for x in quality(docs, labels, train).where("predicted = 1").collect()}
     kept = keep_good(docs, labels, train)
     assert {x.doc_id for x in kept.collect()} == want and kept.columns == docs.columns
+
+
+def test_emissions_are_the_features_times_the_weights():
+    r = np.random.default_rng(6)
+    texts = ["", "\n", "One line.", "a\n\nb b b\n", "\n\n\n", "x|y;z\t1 2 3!!\nUPPER case é\nend", *["\n".join("".join(r.choice(list("ab .,!1|\t#É"), r.integers(0, 30))) for _ in range(r.integers(0, 9))) for _ in range(60)]]
+    data, at = utf8(pa.array(texts, pa.string()))
+    theta = r.normal(size=quality_crf.WIDTH + 4)
+    x, n, first = quality_crf.line_features(data, at)
+    emission, lengths, begins = quality_crf.emissions(data, at, theta)
+    assert np.allclose(emission, x @ theta[: quality_crf.WIDTH], atol=1e-12) and (lengths == n).all() and (begins == first).all()
+
+
+def test_a_text_of_many_lines_takes_memory_for_a_few_numbers_a_line():
+    data, at = utf8(pa.array(["\n" * 200_000], pa.string()))
+    theta = np.zeros(quality_crf.WIDTH + 4)
+    tracemalloc.start()
+    quality_crf.emissions(data, at, theta)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 200 * 200_000
