@@ -244,7 +244,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, beam: int = BEA
     ``is_query`` (of vec_id) holds; score is the Euclidean distance in double
     precision, ties go to the smaller vec_id. Null, zero and non-finite vectors
     take no part; fewer rows give fewer results; an empty table gives none.
-    Rows that repeat a vec_id are candidates like any other.
+    Rows that repeat a vec_id are candidates like any other; of query rows that
+    share one the smallest vector is searched.
     """
     rows = written(taking_part(embeddings), "vectors")
     kind = "f4" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
@@ -254,7 +255,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, beam: int = BEA
     graph = build(nodes.select("id", "h"), kind)
     key = F.xxhash64("v")  # of its own, so that a vector of many rows can be split
     named = rows.withColumn("key", key).join(nodes.withColumn("key", key), ["key", "v"]).select("vec_id", F.col("id").alias("node"), "v", "h")
-    queries = written(named.where(is_query).select(F.col("vec_id").alias("query"), F.col("v").alias("qv"), F.col("h").alias("qh"), "node").dropDuplicates(["query"]), "queries")
+    asked = named.where(is_query).groupBy(F.col("vec_id").alias("query")).agg(F.min(F.struct(F.col("v").alias("qv"), F.col("h").alias("qh"), "node")).alias("a"))
+    queries = written(asked.select("query", "a.*"), "queries")
     found = walk(queries.drop("qv"), graph, nodes.select("id", "h"), kind, beam)
     exact = F.expr("sqrt(aggregate(zip_with(qv, v, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")
     found = found.join(nodes.select(F.col("id").alias("node"), "v"), "node").join(queries.select("query", "qv"), "query").select("query", "node", exact.alias("d"))
