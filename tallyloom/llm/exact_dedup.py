@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,16 +104,18 @@ def _numbered(docs: DataFrame, clashes: DataFrame, bits: int) -> DataFrame:
     may move the bodies again."""
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 40  # rows of one task, in the order of its split
         for batch in pieces(batches, "text"):
             for doc, (text, chunks) in zip(batch.column("doc_id").to_pylist(), _chunks(batch.column("text")), strict=True):
-                rows = [(doc, hashlib.sha256(text).hexdigest(), k, *_identifier(c, bits), len(c), c) for k, c in enumerate(chunks or [b""])]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "text_sha256", "k", "id_a", "id_b", "n", "body"])
+                number += 1
+                rows = [(number, doc, hashlib.sha256(text).hexdigest(), k, *_identifier(c, bits), len(c), c) for k, c in enumerate(chunks or [b""])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["row", "doc_id", "text_sha256", "k", "id_a", "id_b", "n", "body"])
 
-    rows = docs.mapInArrow(run, "doc_id long, text_sha256 string, k long, " + _BODIES)
+    rows = docs.mapInArrow(run, "row long, doc_id long, text_sha256 string, k long, " + _BODIES)
     rows = rows.join(clashes, ["id_a", "id_b", "n", "body"], "left").withColumn("which", F.coalesce("which", F.lit(0)))
     return (
-        rows.groupBy("doc_id", "text_sha256")
-        .agg(F.array_sort(F.collect_set(F.struct("k", "id_a", "id_b", "n", "which"))).alias("x"))
+        rows.groupBy("row", "doc_id", "text_sha256")
+        .agg(F.array_sort(F.collect_list(F.struct("k", "id_a", "id_b", "n", "which"))).alias("x"))
         .select("doc_id", "text_sha256", F.flatten(F.transform("x", lambda e: F.array(e["id_a"], e["id_b"], e["n"], e["which"].cast("long")))).alias("recipe"))
     )
 
@@ -122,10 +125,11 @@ def exact_groups(docs: DataFrame, identifier_bits: int = 128) -> DataFrame:
 
     ``docs``: doc_id, text; other columns are left out. Returns doc_id, keep_id,
     group_size, kept, text_sha256. A null text counts as empty, and empty texts
-    are equal. Rows that repeat a doc_id with the same text are one document
-    (one row comes back; group_size counts every row), and so are rows of a null
-    doc_id, which is smaller than any other. An empty table gives an empty result. ``identifier_bits`` (1 to 128) is for tests: few bits make
-    clashes, which are resolved exactly.
+    are equal. Every row comes back, and group_size counts rows; those that
+    repeat doc_id and text of the one that stays are all marked as kept
+    (``drop_exact`` leaves one). A null doc_id is smaller than any other. An empty
+    table gives an empty result. ``identifier_bits`` (1 to 128) is for tests: few
+    bits make clashes, which are resolved exactly.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bodies = docs.mapInArrow(_bodies(identifier_bits), _BODIES)
@@ -137,13 +141,12 @@ def exact_groups(docs: DataFrame, identifier_bits: int = 128) -> DataFrame:
         clashes = bodies.join(clashing, ["id_a", "id_b", "n"], "left_semi").distinct().withColumn("which", F.row_number().over(number))
         recipes = _numbered(docs, clashes, identifier_bits)
     recipes = written(recipes, "recipes")  # read twice, and a hundredth of the texts
-    rows = recipes.groupBy("doc_id", "text_sha256", "recipe").agg(F.count(F.lit(1)).alias("n"))
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # Joined on the recipe and a hash of it: with a key of its own each side is
     # shuffled for the join, and a large group's partition can be split at run time.
     key = F.xxhash64("recipe")
     return (
-        rows.withColumn("key", key)
+        recipes.withColumn("key", key)
         .join(groups.withColumn("key", key), ["key", "recipe"])
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )
