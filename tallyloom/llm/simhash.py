@@ -205,13 +205,18 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE
     (doc_id, text; other columns are left out). component_id is the smallest
     doc_id reachable over fingerprints that differ in at most ``distance`` bits.
     Null and empty texts have fingerprint zero and are linked like any other;
-    rows that repeat a doc_id come back as often. Rows of a null doc_id keep
-    their fingerprint; where no other row shares it, component_id is null."""
+    rows that repeat a doc_id come back as often. Rows of a null doc_id link and
+    are linked; component_id is null where no row of a component has an id."""
     prints = written(fingerprints(docs, words), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
     nodes = written(nodes, "nodes")
-    found = components(links(nodes.where("id is not null"), distance, hot, all_pairs=False))
-    named = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    found = components(links(nodes.select(F.col("fp").alias("id"), "fp"), distance, hot, all_pairs=False))
+    # A fingerprint that is linked is named by its component's smallest id; any other by its own.
+    named = found.union(found.select(F.col("component").alias("node"), "component").distinct())
+    linked = nodes.join(named, nodes["fp"] == named["node"]).select("fp", "id", "component")
+    smallest = linked.groupBy(F.col("component").alias("of")).agg(F.min("id").alias("component_id")).withColumn("of_key", F.xxhash64("of"))
+    renamed = linked.withColumn("key_", F.xxhash64("component")).join(smallest, (F.col("key_") == F.col("of_key")) & (F.col("component") == F.col("of"))).select(F.col("fp").alias("linked_fp"), "component_id")
+    named = nodes.join(renamed, nodes["fp"] == renamed["linked_fp"], "left").select("fp", F.when(F.col("linked_fp").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     # A key of its own makes both sides shuffle for this join alone, so that a fingerprint of many copies can be split.
     key = F.xxhash64("fp")
     return (

@@ -49,6 +49,20 @@ def test_exact_repeated_rows_and_empty_table(spark):
     assert exact_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [128, 3])
+def test_exact_groups_give_a_row_for_each_row(spark, bits):
+    rows = [(1, "A"), (1, "a"), (1, "a"), (None, "a"), (None, "a"), (2, "b"), (1, "b"), (2, "B"), (3, None), (None, "")] + [(5, "long " * 2000)] * 3
+    got = sorted((-1 if x.doc_id is None else x.doc_id, -1 if x.keep_id is None else x.keep_id, x.group_size, x.kept) for x in exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bits).collect())
+    texts = [(t or "").lower() for _, t in rows]
+    want = []
+    for (i, _), t in zip(rows, texts, strict=True):
+        ids = [-1 if j is None else j for (j, _), u in zip(rows, texts, strict=True) if u == t]
+        own = -1 if i is None else i
+        want.append((own, max(ids), len(ids), own == max(ids)))
+    assert got == sorted(want)
+    assert drop_exact(spark.createDataFrame(rows, "doc_id long, text string")).count() == 4
+
+
 def brute_lines(docs, window=3):
     seen, out = set(), {}
     for doc, text in sorted(docs.items()):
@@ -175,3 +189,19 @@ def test_near_duplicates_leave_one_of_each_group(spark):
     odd = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b c d e"), (4, "b c d e"), (5, "b c d e"), (5, "f"), (6, "f")], "doc_id long, text string")
     assert sorted((x.doc_id or 0, x.text) for x in drop_near(odd).collect()) == [(0, "a"), (0, "a"), (0, "b c d e"), (4, "b c d e"), (5, "b c d e"), (5, "f")]
     assert fingerprints(frame(spark, [None])).first().fp == 0
+
+
+def test_fingerprints_of_null_ids_bridge_others(spark):
+    r = random.Random(8)
+    for _ in range(200):  # three texts, of which only the middle one is near both others
+        words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(90)]
+        chain = [words, [*words[:30], "x", *words[31:]], [*words[:30], "x", *words[31:60], "y", *words[61:]]]
+        prints = [brute_print(" ".join(w)) for w in chain]
+        apart = [(prints[a] ^ prints[b]).bit_count() for a, b in ((0, 1), (1, 2), (0, 2))]
+        if 0 < apart[0] <= 3 and 0 < apart[1] <= 3 < apart[2]:
+            break
+    else:
+        raise AssertionError("no such texts")
+    rows = [(7, " ".join(chain[0])), (None, " ".join(chain[1])), (5, " ".join(chain[2])), (None, "alone " * 9), (9, "far " * 9)]
+    got = {(x.doc_id, x.component_id) for x in simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 5), (None, 5), (5, 5), (None, None), (9, 9)}
