@@ -171,11 +171,22 @@ def candidate_key(texts: pa.Array) -> pa.Array:
 
 
 @F.pandas_udf(T.StringType())
-def normal_leaf(texts: pd.Series) -> pd.Series:
-    """The normal form of a text leaf."""
+def _normal_leaf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else leaf_text(t))
 
 
+def normal_leaf(text: Column) -> Column:
+    """The normal form of a text leaf. ASCII texts, but for numbers of over 28
+    digits, are done in the JVM; Python gets nulls in their place."""
+    folded = F.lower(F.trim(F.regexp_replace(text, r"[\x09-\x0D\x1C-\x20]+", " ")))
+    digits = F.replace(folded, F.lit(","), F.lit(""))
+    whole = F.regexp_replace(F.regexp_extract(digits, r"^[+-]?([0-9]+)", 1), "^0+(?=.)", "")
+    rest = F.regexp_replace(F.regexp_extract(digits, r"(\.[0-9]+)$", 1), r"\.?0+$", "")
+    number = F.concat(F.when(digits.startswith("-"), F.lit("-")).otherwise(F.lit("")), whole, rest)
+    plain = text.rlike(r"^[\x00-\x7F]*$") & ~(is_number(folded) & (F.length(digits) > 28))
+    return F.coalesce(F.when(plain, F.when(is_number(folded), number).otherwise(folded)), _normal_leaf(F.when(~plain, text)))
+
+
 def is_number(text: Column) -> Column:
     """Whether a folded ASCII text is numeric, JVM-side."""
     return text.rlike(r"^[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?$")

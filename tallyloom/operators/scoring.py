@@ -54,6 +54,15 @@ def protocol(gold: DataFrame, predictions: DataFrame, key: str = "id", on_duplic
     return scored(gold.join(one_per_id(predictions, key, on_duplicate, order), key, "left"))
 
 
+def both_protocols(gold: DataFrame, predictions: DataFrame, key: str = "id", order: str = "line_no", value: str = "prediction") -> DataFrame:
+    """``gold`` with zero and last: its scores under both rules for ids that come
+    twice. Predictions are grouped once and each gold is parsed once."""
+    one = predictions.groupBy(key).agg(F.when(F.count(F.lit(1)) == 1, F.max(value)).alias("zero_"), F.max_by(value, order).alias("last_"))
+    both = scored_arms(gold.join(one, key, "left"), {"zero": "zero_", "last": "last_"})
+    score = lambda c: F.coalesce(F.col(f"{c}.f1"), F.lit(0.0)).alias(c)
+    return both.select(*gold.columns, score("zero"), score("last"))
+
+
 def unknown_ids(gold: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
     return predictions.join(gold, key, "left_anti")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decoding, gates, publishing, scores, tables_grid, tables_runs, tables_text
+from . import decoding, gates, kits, publishing, scores, tables_grid, tables_runs, tables_text
 
-MODULES = (scores, tables_text, tables_grid, tables_runs, decoding, publishing, gates)
+MODULES = (scores, tables_text, tables_grid, tables_runs, decoding, publishing, gates, kits)
 
 
 def queries() -> dict:

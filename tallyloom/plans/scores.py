@@ -82,8 +82,7 @@ def duplicate_rules(spark, d):
     p = arms.predictions(g, "base").select("k", "prediction", F.lit(1).alias("line_no"))
     p = p.union(g.where("k % 5 = 0").select("k", F.lit("{"), F.lit(0)))
     p = p.where("not (k % 97 = 0 and k % 5 = 0)")
-    zero, last = (scoring.protocol(g, p, "k", on_duplicate=how).select("k", "tenant", F.col("micro_f1").alias(how)) for how in ("zero", "last"))
-    return zero.join(last.drop("tenant"), "k").groupBy("tenant").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("zero"), 6).alias("zero_mean"), F.round(F.avg("last"), 6).alias("last_mean"))
+    return scoring.both_protocols(g, p, "k").groupBy("tenant").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("zero"), 6).alias("zero_mean"), F.round(F.avg("last"), 6).alias("last_mean"))
 
 
 @query(W + " select arm, count(*) filter (where f1 = 1 or k % 10 = 0) as f1_one, count(*) filter (where k % 10 = 0) as exact_one from scores where not missing group by arm")

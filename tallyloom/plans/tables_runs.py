@@ -64,10 +64,10 @@ def numbered_lines(spark, d):
     return readers.numbered_lines(spark, at).select(F.col("text").cast("long").alias("part"), "line_no")
 
 
-@query(W + " select k, tenant, case when missing then 0 else 5 - spoiled end as fifths from facts where arm = 'base' and k % 3 <> 0")
+@query(W + " select k, tenant, case when missing then 0 else 5 - spoiled end as fifths from facts where arm = 'base'")
 def labelled_and_predictions(spark, d):
     """Labelled rows and predictions written as JSON lines, read by their readers and scored by id; a missing one scores 0."""
-    g = arms.wide(spark, d).where("k % 3 <> 0").withColumn("id", F.col("k").cast("string"))
+    g = arms.wide(spark, d).withColumn("id", F.col("k").cast("string"))
     at = scratch.folder(spark, "labelled")
     sinks.json_lines(g.select("id", F.lit("text").alias("text"), "gold"), f"{at}/gold")
     sinks.json_lines(g.where("base_text is not null").select("id", F.regexp_replace("base_text", " trailing$", "").alias("prediction")), f"{at}/predictions")
@@ -328,11 +328,14 @@ def break_even(spark, d):
     return c.select(F.col("c_custkey").alias("k"), F.round(x, 6).alias("documents"))
 
 
-@query(W + ", s as (select b.k, b.f1 as base, t.f1 as tuned, b.missing from scores b join scores t using (k) where b.arm = 'base' and t.arm = 'tuned') select k::varchar as id, 'easy' as tier, not missing as prompted, k % 5 <> 0 as adapted, round(base, 6) as sp, round(tuned, 6) as sa from s")
+@query(W + ", s as (select b.k, b.f1 as base, t.f1 as tuned, b.missing from scores b join scores t using (k) where b.arm = 'base' and t.arm = 'tuned') select case k % 4 when 0 then 'h-' when 1 then 'm-' when 2 then 'x-' else '' end || k as id, case k % 4 when 0 then 'hard' when 1 then 'medium' when 2 then 'mixed' else 'easy' end as tier, not missing as prompted, k % 5 <> 0 as adapted, round(base, 6) as sp, round(tuned, 6) as sa from s")
 def field_audit(spark, d):
     """Two arms, gold, text and scores side by side; arm two lacks every fifth prediction."""
-    w = arms.wide(spark, d).withColumn("id", F.col("k").cast("string"))
-    scores = wide_scores(spark, d).select(F.col("k").cast("string").alias("id"), F.col("base.f1").alias("sp"), F.col("tuned.f1").alias("sa"))
+    named = F.concat(F.element_at(F.array(*map(F.lit, ("h-", "m-", "x-", ""))), (F.col("k") % 4 + 1).cast("int")), F.col("k").cast("string"))
+    made = arms.wide(spark, d).select(named.alias("id"), "k", "gold", "base_text", "tuned_text")
+    made.write.parquet(at := scratch.folder(spark, "audit"))  # the sources of an audit are files
+    w = spark.read.parquet(at)
+    scores = scoring.scored_arms(w, {"base": "base_text", "tuned": "tuned_text"}).select("id", F.col("base.f1").alias("sp"), F.col("tuned.f1").alias("sa"))
     two = {"prompted": w.select("id", F.col("base_text").alias("prediction")), "adapted": w.where("k % 5 <> 0").select("id", F.col("tuned_text").alias("prediction"))}
     out = scoring.field_audit(w.select("id", F.lit("text").alias("text")), w.select("id", "gold"), two, scores)
     return out.select("id", "tier", F.col("prompted").isNotNull().alias("prompted"), F.col("adapted").isNotNull().alias("adapted"), F.round("sp", 6).alias("sp"), F.round("sa", 6).alias("sa"))

@@ -93,10 +93,10 @@ def _task(files: DataFrame, schema: str, grid: bool) -> DataFrame:
     )
 
 
-def grid_tasks(spark: SparkSession, path: str) -> DataFrame:
+def grid_tasks(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """task_id, train, test, _errors of the grid tasks in a folder or file; the id
     is the file's stem. A folder without tasks is an error."""
-    return at_least(_task(whole_files(spark, path), GRID_TASK, True), 1, path)
+    return at_least(_task(whole_files(spark, path, glob), GRID_TASK, True), 1, path)
 
 
 def text_tasks(spark: SparkSession, path: str) -> DataFrame:
@@ -225,6 +225,11 @@ def latest_per_id(rows: DataFrame, key: str, value: str, order: str = "line_no")
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
+def pruned_rows(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """``column`` (JSON text) and its gt_parse, of the rows that have one; no other column is read."""
+    return spark.read.parquet(path).select(column, F.get_json_object(column, "$.gt_parse").alias("gt_parse")).where("gt_parse is not null")
+
+
 def pruned_labels(spark: SparkSession, path: str, column: str, limit: int) -> DataFrame:
     """The first ``limit`` rows of one JSON column that have gt_parse; reads that column only."""
     return spark.read.parquet(path).select(F.get_json_object(column, "$.gt_parse").alias("gt_parse")).where("gt_parse is not null").limit(limit)
