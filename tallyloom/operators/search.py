@@ -1,4 +1,5 @@
-"""Bounded search over a table of log-probabilities."""
+"""Bounded search over a table of log-probabilities that depend on the step alone.
+``frontier`` searches with a predictor in the loop, and has the capped search."""
 
 from __future__ import annotations
 
@@ -50,8 +51,7 @@ def cheapest(rows: DataFrame, by: list[str], cap: int) -> DataFrame:
 def bounded_paths(steps: DataFrame, by: list[str], cutoff: float, depth: int) -> DataFrame:
     """by, path, nll: all token sequences of up to ``depth`` steps whose summed
     nll is strictly below ``cutoff``. ``steps``: by, step, token, nll. Each step
-    is one join of the frontier with the next step's tokens, on ``by``; a capped
-    search depends on visiting order and is not offered."""
+    is one join of the frontier with the next step's tokens, on ``by``."""
     frontier = steps.where(F.col("step") == 0).select(*by, F.array("token").alias("path"), "nll").where(F.col("nll") < cutoff)
     out = frontier
     for k in range(1, depth):

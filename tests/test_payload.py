@@ -74,3 +74,17 @@ def test_field_status_and_tiers(spark):
     df = spark.createDataFrame([("h-1",), ("m-1",), ("x-1",), ("q",)], "id string").select(tier_of(F.col("id")).alias("t"))
     assert [x.t for x in df.collect()] == ["hard", "medium", "mixed", "easy"]
 
+
+def test_normal_form_is_the_same_in_the_jvm(spark):
+    import random
+
+    from tallyloom.functions.payload import leaf_text, normal_leaf
+
+    r = random.Random(2)
+    parts = ["0", "00", "12", "345", ",", ",", ".", ".", "-", "+", " ", "\t", "\x1c", "\x0b", "a", "B", "É", "ß", "\u00a0", "\u0663", "1,234", "9" * 15, "\n", "İ"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 6))) for _ in range(3000)]
+    texts += ["-0", "-0.0", "+5", "007", "0.500", "-000.50", "1,234,567.890", "12,34", "1" * 28, "1" * 29, "1" * 27 + ".55", "0" * 40, "1." + "0" * 40, "", " ", None, "\x00", "5.", ".5"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", normal_leaf(F.col("t")).alias("n")).collect()
+    for x in rows:
+        t = texts[x.i]
+        assert x.n == (None if t is None else leaf_text(t)), repr(t)
