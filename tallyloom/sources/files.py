@@ -8,9 +8,11 @@ file's size.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 CHUNK, TOGETHER = 1 << 20, 1 << 27
+_SPACE = re.compile(r"[ \t\n\r]*")
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str, str]:
@@ -44,6 +47,18 @@ def readable(path: str) -> bool:
     return True
 
 
+def below(path: str) -> list[fs.FileInfo]:
+    """The file ``path``, or the files below it but hidden ones, by name."""
+    system, at, _ = opened(path)
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.is_file:
+        return [info]
+    hidden = lambda p: any(x.startswith((".", "_")) for x in p[len(at) :].split("/"))
+    return sorted((x for x in system.get_file_info(fs.FileSelector(at, recursive=True)) if x.is_file and not hidden(x.path)), key=lambda x: x.path)
+
+
 # ---- digests ----------------------------------------------------------------------------------------------------------
 
 
@@ -73,14 +88,8 @@ class _DigestReader(DataSourceReader):
         self.path, self.chunk, self.together = path, chunk, together
 
     def partitions(self) -> list[InputPartition]:
-        system, at, _ = opened(self.path)
-        info = system.get_file_info(at)
-        if info.type == fs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        found = [info] if info.is_file else [x for x in system.get_file_info(fs.FileSelector(at, recursive=True)) if x.is_file]
-        hidden = lambda p: any(x.startswith((".", "_")) for x in p[len(at) :].split("/"))
         out, size = [], 0
-        for x in sorted((x for x in found if x is info or not hidden(x.path)), key=lambda x: x.path):
+        for x in below(self.path):
             if not out or size + x.size > self.together:
                 out.append(Files([]))
                 size = 0
@@ -107,6 +116,105 @@ def digests(spark: SparkSession, path: str, chunk: int = CHUNK, together: int =
     return spark.read.format("file_digests").options(chunk=chunk, together=together).load(path)
 
 
+# ---- entries of JSON objects ----------------------------------------------------------------------------------------------
+
+
+class Entries(DataSource):
+    """key, value (JSON text) of every entry of the JSON objects in the files below
+    ``path``, a task for each file, which holds one entry at a time."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "json_entries"
+
+    def schema(self) -> str:
+        return "key string, value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _EntryReader(self.options["path"], int(self.options.get("chunk", CHUNK)))
+
+
+class _EntryReader(DataSourceReader):
+    def __init__(self, path: str, chunk: int) -> None:
+        self.path, self.chunk = path, chunk
+
+    def partitions(self) -> list[InputPartition]:
+        return [Files([x.path]) for x in below(self.path)] or [Files([])]
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        system, _, _ = opened(self.path)
+        for path in partition.paths:
+            with system.open_input_stream(path) as stream:
+                yield from entries_of(stream, self.chunk)
+
+
+def entries_of(stream, chunk: int) -> Iterator[tuple[str, str]]:
+    """(key, JSON text of the value) of the object in ``stream``. Text is read until
+    the next key or value is whole; what is read at once doubles while it isn't."""
+    decode, incoming = json.JSONDecoder().raw_decode, codecs.getincrementaldecoder("utf-8-sig")()
+    text, at, ended = "", 0, False
+
+    def more(size: int) -> None:
+        nonlocal text, at, ended
+        block = stream.read(size)
+        ended = not block
+        text, at = text[at:] + incoming.decode(block, ended), 0
+
+    def mark() -> str:
+        nonlocal at
+        while True:
+            at = _SPACE.match(text, at).end()
+            if at < len(text):
+                at += 1
+                return text[at - 1]
+            if ended:
+                raise ValueError("the object ends too early")
+            more(chunk)
+
+    def whole() -> tuple[object, str]:
+        nonlocal at
+        if mark() in "]},:":
+            raise ValueError("a key or value is missing")
+        at -= 1
+        size = chunk
+        while True:
+            try:
+                found, end = decode(text, at)
+            except json.JSONDecodeError:
+                if ended:
+                    raise
+                end = len(text)
+            if end < len(text) or ended:  # a number at the end may go on
+                begin, at = at, end
+                return found, text[begin:end]
+            size *= 2
+            more(size)
+
+    if mark() != "{":
+        raise ValueError("not a JSON object")
+    if mark() == "}":
+        return
+    at -= 1
+    while True:
+        key, _ = whole()
+        if not isinstance(key, str) or mark() != ":":
+            raise ValueError("not a JSON object")
+        yield key, whole()[1]
+        after = mark()
+        if after == "}":
+            return
+        if after != ",":
+            raise ValueError("not a JSON object")
+
+
+def entries(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """key, value (JSON text as it stands there) of the objects in the files below
+    ``path``, however they are laid out and however large. A key that comes twice
+    gives two rows; what isn't an object raises."""
+    spark.dataSource.register(Entries)
+    return spark.read.format("json_entries").option("chunk", chunk).load(path)
+
+
 # ---- one JSON object --------------------------------------------------------------------------------------------------
 
 

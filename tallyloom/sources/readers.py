@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grids
 from ..functions.payload import parsed
+from . import files
 
 GRID_TASK = "task_id string, train array<struct<input:array<array<int>>,output:array<array<int>>>>, test array<struct<input:array<array<int>>,output:array<array<int>>>>"
 TEXT_TASK = "task_id string, train array<struct<input:string,output:string>>, test array<struct<input:string,output:string>>"
@@ -123,7 +124,13 @@ def task_map(spark: SparkSession, path: str, solutions: str | None = None) -> Da
     only the answered tasks, their outputs filled in by position."""
     body = GRID_TASK.split(", ", 1)[1]
     fields = body.replace("train ", "train:").replace("test ", "test:")
-    read = lambda p, kind: spark.read.text(p, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias("task_id", "t"))
+    in_pieces = lambda p: files.readable(p) and not set(p) & set("*?[{")
+
+    def read(p: str, kind: str) -> DataFrame:
+        if in_pieces(p):  # entry by entry; else Spark reads the file whole
+            return files.entries(spark, p).select(F.col("key").alias("task_id"), F.from_json("value", kind).alias("t"))
+        return spark.read.text(p, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias("task_id", "t"))
+
     tasks = read(path, f"struct<{fields}>").select("task_id", "t.train", "t.test")
     if not solutions:
         return tasks

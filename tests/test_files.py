@@ -1,6 +1,7 @@
 """Data sources of whole files: digests in chunks, one object from all tasks."""
 
 import hashlib
+import io
 import json
 
 import pytest
@@ -76,3 +77,34 @@ def test_submission_file(spark, tmp_path):
     assert votes.submission_entries(rows.limit(0)).count() == 0
     sinks.summary_object(spark.createDataFrame([("b", 1, None), ("a", 2, 0.5)], "arm string, n int, mean double"), str(tmp_path / "m.json"), "arm")
     assert json.loads((tmp_path / "m.json").read_text()) == {"a": {"n": 2, "mean": 0.5}, "b": {"n": 1, "mean": None}}
+
+
+OBJECTS = [{}, {"a": 1}, {"a": [1, {"b": "}"}], 'k"é\\n': "x,:{", "n": None, "e": {}, "f": -1.5e3, "t": True, "long": "y" * 5000}, {f"t{i}": {"train": [[i] * 20]} for i in range(300)}]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_entries_of_objects_in_pieces(chunk, indent):
+    for x in OBJECTS:
+        for ascii_ in (True, False):
+            text = json.dumps(x, indent=indent, ensure_ascii=ascii_)
+            found = list(files.entries_of(io.BytesIO(text.encode()), chunk))
+            assert {k: json.loads(v) for k, v in found} == x and len(found) == len(x)
+    for bad in ("", "[]", "{", '{"a"', '{"a":', '{"a":1', '{"a":1,}', '{"a":1 "b":2}', "{1:2}", '{"a":}', '{"a":tru'):
+        with pytest.raises(ValueError):
+            list(files.entries_of(io.BytesIO(bad.encode()), chunk))
+
+
+def test_task_maps_are_read_entry_by_entry(spark, tmp_path):
+    from tallyloom.sources import readers
+
+    tasks = {f"t{i}": {"train": [{"input": [[i % 10]], "output": [[1]]}], "test": [{"input": [[2]]}]} for i in range(50)}
+    (tmp_path / "tasks.json").write_text(json.dumps(tasks, indent=1))
+    (tmp_path / "solutions.json").write_text(json.dumps({f"t{i}": [[[i % 7]]] for i in range(0, 50, 2)}))
+    got = {r.task_id: r for r in readers.task_map(spark, str(tmp_path / "tasks.json"), str(tmp_path / "solutions.json")).collect()}
+    assert set(got) == {f"t{i}" for i in range(0, 50, 2)} and all(got[f"t{i}"].test[0].output == [[i % 7]] and got[f"t{i}"].train[0].input == [[i % 10]] for i in range(0, 50, 2))
+    assert readers.task_map(spark, str(tmp_path / "tas*.json")).count() == 50
+    (tmp_path / "two").mkdir()
+    for name in "ab":
+        (tmp_path / "two" / f"{name}.json").write_text(json.dumps({name: 1}))
+    assert sorted(map(tuple, files.entries(spark, str(tmp_path / "two"), chunk=2).collect())) == [("a", "1"), ("b", "1")]
