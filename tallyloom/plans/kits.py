@@ -163,11 +163,11 @@ def seeded_palettes(spark, d):
     return out.where(F.array_sort("palette") == plain).select("seed", "ordinal", F.aggregate("palette", F.lit(0), lambda s, x: s + x).alias("total"), (F.col("palette") == plain).alias("is_plain"), F.col("palette")[0].alias("background"))
 
 
-@query("with r as (select conv_id, unnest(['train', 'holdout']) as side from conversations) select 20::bigint as train, count(distinct conv_id) - 20 as holdout, 0::bigint as shared from r")
+@query("with r as (select conv_id, unnest(['train', 'holdout']) as side from conversations) select 10::bigint as train, count(distinct conv_id) - 10 as holdout, 0::bigint as shared from r")
 def seeded_split(spark, d):
-    """Twenty conversations train; which ones is drawn by a seed and tested."""
+    """Ten conversations train; which ones is drawn by a seed and tested."""
     c = table(spark, d, "conversations").select("conv_id").distinct()
-    s = splits.seeded_split(c, "conv_id", 20, 11)
+    s = splits.seeded_split(c, "conv_id", 10, 11)
     per = s.groupBy("conv_id").agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "holdout").alias("h"))
     return per.agg(F.sum("t").alias("train"), F.sum("h").alias("holdout"), F.count_if((F.col("t") > 0) & (F.col("h") > 0)).alias("shared"))
 

@@ -104,6 +104,20 @@ def arm_scores(spark, d):
     return cpu.select("seed", F.inline("results")).where("micro_f1 is not null").select("seed", "index", F.round("micro_f1", 6).alias("micro_f1"))
 
 
+@query("with " + ARM_FILES + " select seed::int as seed, case arm_no when 0 then 'adapted' else 'kshot' end as arm, (r + 1)::int as results from a")
+def arms_of_three_keys(spark, d):
+    """The same records under an identity of three fields: that of nation 0, which has no rung, is an arm too."""
+    found, _ = readers.arms(spark, _arm_files(spark, d) + "/*", "*.txt", ("k", "seed", "arm"))
+    return found.select("seed", "arm", F.size("results").alias("results"))
+
+
+@query("with " + ARM_FILES + ", s as (select unnest(range(0, r + 1)) as index from a where seed = 7) select index::int as index, round((7 + index) / 100.0, 6) as micro_f1 from s where index % 2 = 0")
+def one_arm_scores(spark, d):
+    """One arm's file, its environment asserted: scores by index."""
+    arm = readers.one_arm(spark, _arm_files(spark, d) + "/name=run_07/*.txt", device="cpu", dtype="fp32", k=30)
+    return readers.scores_by_index(arm, device="cpu").select("index", F.round("micro_f1", 6).alias("micro_f1"))
+
+
 @query("select n_nationkey as part, sha256('{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\",\"note\":null}' || chr(10)) as sha256 from nation")
 def file_digests(spark, d):
     """JSON lines (null fields written), a file each, and their digests as a manifest holds them."""
