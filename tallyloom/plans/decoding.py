@@ -143,4 +143,4 @@ def voted_calls(spark, d):
     again = voted.calls(spark, cache).first()
     prompts = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     chars = voted.pool(prompts, OrderTexts, SAMPLES).select("k", "text").distinct().agg(F.sum(F.length("text")).alias("chars"))
-    return chars.select(F.lit(first["texts"]).alias("texts"), "chars", F.lit(again["texts"] - first["texts"]).alias("asked_again"))
+    return chars.select(F.lit(first["texts"]).cast("long").alias("texts"), "chars", F.lit(again["texts"] - first["texts"]).cast("long").alias("asked_again"))
