@@ -13,7 +13,7 @@ from ..sources import readers, sinks
 from ..streaming import journal
 from ..tables import table
 from . import arms
-from .scores import W, all_scores, wide_scores
+from .scores import W, all_scores
 from .tables_grid import LOGITS, SWEEP, _steps, vectors
 from .tables_text import EX
 
