@@ -85,20 +85,22 @@ def _line_feeds(text: Column) -> Column:
 
 
 def _claims_of(text: str, place: int, pattern: str) -> Column:
-    """array<struct<pattern, line, claimed>> of one pattern. Each match is taken
-    together with the text since the one before it, and lines are summed up from
-    match to match."""
-    each = lambda group: F.regexp_extract_all(text, F.lit(rf"\G([\s\S]*?)(?:{pattern})"), F.lit(group))
-    matches = F.arrays_zip(F.transform(each(0), _line_feeds).alias("all"), F.transform(each(1), _line_feeds).alias("ahead"), each(2).alias("number"))
-    one = lambda s, x: F.struct(F.lit(place).alias("pattern"), (s["line"] + x["ahead"]).alias("line"), x["number"].alias("claimed"))
+    """array<struct<pattern, line, claimed>> of one pattern: the text is split at
+    its matches, and lines are summed up from match to match."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    ahead = F.split(text, pattern)  # what stands before each match, and after the last
+    counted = F.transform(whole, lambda m: F.struct(_line_feeds(m).alias("own"), F.regexp_extract(m, pattern, 1).alias("number")))
+    matches = F.filter(F.arrays_zip(counted.alias("m"), F.transform(ahead, _line_feeds).alias("ahead")), lambda x: x["m"].isNotNull())
+    one = lambda s, x: F.struct(F.lit(place).alias("pattern"), (s["line"] + x["ahead"]).alias("line"), x["m"]["number"].alias("claimed"))
     start = F.struct(F.lit(1).alias("line"), F.expr("cast(array() as array<struct<pattern:int,line:int,claimed:string>>)").alias("found"))
-    add = lambda s, x: F.struct((s["line"] + x["all"]).alias("line"), F.concat(s["found"], F.array(one(s, x))).alias("found"))
+    add = lambda s, x: F.struct((s["line"] + x["ahead"] + x["m"]["own"]).alias("line"), F.concat(s["found"], F.array(one(s, x))).alias("found"))
     return F.aggregate(matches, start, add, lambda s: s["found"])
 
 
 def claims(documents: DataFrame, key: str = "doc_id", text: str = "text", patterns: Sequence[str] = CLAIMS) -> DataFrame:
     """key, pattern (its place), line, claimed: every number that one of
-    ``patterns`` (one group; Java's syntax) claims, as a search of the whole text
+    ``patterns`` (one group; Java's syntax; none matches nothing, or looks beyond
+    its match but for a word's end) claims, as a search of the whole text
     for each pattern finds them, across line ends too. ``line`` (from 1) is where
     the match begins. One scan and no shuffle."""
     return documents.select(key, F.inline(F.concat(*[_claims_of(text, i, p) for i, p in enumerate(patterns)])))
