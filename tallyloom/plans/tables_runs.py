@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..functions import grids
 from ..operators import corpora, generate, merges, pairing, predictor, scoring, search, splits, verdicts, votes
-from ..sources import readers, sinks
+from ..sources import files, readers, sinks
 from ..streaming import journal
 from ..tables import table
 from . import arms
@@ -185,7 +185,7 @@ def swept_documents(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     head = F.when(F.col("conv_id") % 3 == 0, "SUPERSEDED by another").otherwise("in force")
     lines = c.select("conv_id", F.concat_ws("\n", F.concat(head, F.lit(" "), F.col("conv_id")), F.array_repeat(F.lit("turn"), F.col("n").cast("int"))).alias("value"))
-    lines.withColumn("part", F.col("conv_id") % 50).repartition("part", "conv_id").sortWithinPartitions("conv_id").drop("conv_id").write.option("maxRecordsPerFile", 1).partitionBy("part").text(at)
+    files.file_each(lines, at, "conv_id", "value")
     found = readers.sweep(spark, at)
     return found.select(F.regexp_extract("text", r"^in force (\d+)", 1).cast("long").alias("conv_id"), (F.size(F.split(F.regexp_replace("text", "\n$", ""), "\n")) - 1).cast("long").alias("turns"))
 

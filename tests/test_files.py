@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import votes
-from tallyloom.sources import files, sinks
+from tallyloom.sources import files, readers, sinks
 
 
 def test_digests_of_files_in_chunks(spark, tmp_path):
@@ -108,3 +108,14 @@ def test_task_maps_are_read_entry_by_entry(spark, tmp_path):
     for name in "ab":
         (tmp_path / "two" / f"{name}.json").write_text(json.dumps({name: 1}))
     assert sorted(map(tuple, files.entries(spark, str(tmp_path / "two"), chunk=2).collect())) == [("a", "1"), ("b", "1")]
+
+
+def test_a_file_for_each_row_in_bounded_folders(spark, tmp_path):
+    rows = spark.range(300).selectExpr("concat('t', id) as name", "concat('é', id, '\n') as text").union(spark.createDataFrame([("t7", "again"), ("t7", "again"), ("t8", None)], "name string, text string"))
+    files.file_each(rows, str(tmp_path / "each"), "name", "text", together=20)
+    folders = list((tmp_path / "each").iterdir())
+    assert len(folders) > 10 and max(len(list(f.iterdir())) for f in folders) < 60  # tasks grow in number, not in size
+    want = sorted([f"é{i}\n" for i in range(300)] + ["again", "again", ""])
+    assert sorted(p.read_text() for f in folders for p in f.iterdir()) == want
+    assert {p.name for f in folders for p in f.iterdir()} >= {f"t{i}.txt" for i in range(300)}
+    assert sorted(r.text for r in readers.whole_files(spark, str(tmp_path / "each"), "*.txt").collect()) == want
