@@ -158,3 +158,14 @@ def test_prompts_and_summaries(spark, tmp_path):
     sinks.summary(rows.withColumn("none", F.lit(None).cast("string")), str(tmp_path / "s"), ["id"])
     files = list((tmp_path / "s").glob("*.json"))
     assert len(files) == 1 and [json.loads(x)["id"] for x in files[0].read_text().splitlines()] == ["1", "2"] and '"none":null' in files[0].read_text()
+
+
+def test_enough_rows_are_known_from_the_first_tasks(spark):
+    many, ran = spark.range(0, 64, 1, 64).select("id"), spark.sparkContext.accumulator(0)
+
+    def noted(frames):
+        ran.add(1)
+        yield from frames
+
+    assert readers.at_least(many.mapInPandas(noted, "id long"), 1, "rows").count() == 64
+    assert ran.value < 64 + 8  # one task more tells that there is a row, not each of 64
