@@ -32,9 +32,10 @@ FACTS = (
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
     """k, tenant, tier, doc_chars, the five leaves, and gold JSON."""
-    o, c = spread(table(spark, d, "orders"), "o_orderkey"), table(spark, d, "customer")
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
     cols = "o_orderkey k, cast(c_nationkey % 7 as int) tenant, o_orderpriority tier, cast((o_orderkey * 37) % 911 as int) doc_chars, o_orderstatus status, o_orderpriority priority, o_totalprice, cast(c_custkey as string) cust, c_mktsegment seg"
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).selectExpr(*cols.split(", "))
+    rows = spread(rows, "k", o)
     rows = rows.withColumn("total", F.format_string("%.2f", F.col("o_totalprice").cast("double"))).drop("o_totalprice")
     return rows.withColumn("gold", F.to_json(F.struct(*LEAVES)))
 

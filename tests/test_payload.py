@@ -96,3 +96,14 @@ def test_bags_are_made_within_their_rows(spark):
     assert sorted((x.id, x.path, x.value, x.n) for x in rows.collect()) == [(1, "a", "2", 1), (1, "a", "x", 1), (1, "a", "x", 2), (1, "b.c", "null", 1)]
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("sign", ["", "+", "-"])
+def test_number_leaves_without_decimals_equal_those_by_decimals(sign):
+    from decimal import Decimal
+
+    from tallyloom.functions.payload import leaf_text, number_text
+
+    for text in ("0", "000", "0.00", "00.50", "1,234.500", "12,345,678", "1234567890123456789012345678", "123456789012345678901234.5678", "1" + "0" * 27, "٣.٥٠", "1" * 20 + "." + "2" * 20):
+        assert leaf_text(sign + text) == number_text(Decimal((sign + text).replace(",", "")))
+    assert leaf_text("1" * 29) == "1" * 29 and leaf_text(" 1,23 ") == "1,23"

@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 
 from tallyloom.functions.stats import student_cdf, student_quantile, tail_at_least
-from tallyloom.plans import scores, tables_text
+from tallyloom.plans import arms, scores, tables_text
 
 ORDERS, TENANTS = 4000, 2
 
@@ -129,3 +129,11 @@ def test_running_total_of_every_event(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = sorted(tuple(r) for r in tables_text.running_totals(spark, str(tmp_path)).select("event_id", "event_type", "running").collect())
     assert got == [(i, t, sum(v for j, u, _, v in rows if u == t and j <= i)) for i, t, _, _ in rows]
+
+
+def test_scoring_gets_more_tasks_not_larger_ones(spark, folder, monkeypatch):
+    monkeypatch.setattr("tallyloom.tables.ROWS_A_TASK", 100)
+    assert arms.gold(spark, folder).rdd.getNumPartitions() == ORDERS // 100
+    monkeypatch.setattr("tallyloom.tables.ROWS_A_TASK", 10 * ORDERS)
+    assert arms.gold(spark, folder).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert scores.wide_scores(spark, folder).count() == ORDERS
