@@ -13,7 +13,7 @@ from ..sources import files, readers, sinks
 from ..streaming import journal
 from ..tables import table
 from . import arms
-from .scores import W, all_scores
+from .scores import W, all_scores, wide_scores
 from .tables_grid import LOGITS, SWEEP, _steps, vectors
 from .tables_text import EX
 
@@ -287,10 +287,12 @@ def banked_rows(spark, d):
 @query(W + ", s as (select b.k, b.f1 as base, t.f1 as tuned from scores b join scores t using (k) where b.arm = 'base' and t.arm = 'tuned') select k, round(base, 6) as base, round(tuned, 6) as tuned, round(1 - base, 6) as served, case when k % 4 = 0 then round(base, 6) end as extra from s where base is not null and k % 3 <> 0")
 def three_arms(spark, d):
     """Three arms that must all have scored a row, and a fourth that may have."""
-    s = all_scores(spark, d).select("k", "arm", "micro_f1")
-    base = s.where("arm = 'base'")
-    more = base.where("k % 3 <> 0").select("k", F.lit("served").alias("arm"), (1 - F.col("micro_f1")).alias("micro_f1")).union(base.where("k % 4 = 0").select("k", F.lit("extra"), "micro_f1"))
-    return pairing.side_by_side(s.union(more), ["k"], ["base", "tuned", "served"], ["extra"]).select("k", *[F.round(c, 6).alias(c) for c in ("base", "tuned", "served", "extra")])
+    x = wide_scores(spark, d).select("k", F.col("base.f1").alias("base"), F.col("tuned.f1").alias("tuned"))
+    one = lambda arm, score: F.struct(F.lit(arm).alias("arm"), score.alias("micro_f1"))
+    base = F.col("base")
+    each = F.array(one("base", base), one("tuned", F.col("tuned")), F.when(F.col("k") % 3 != 0, one("served", 1 - base)), F.when(F.col("k") % 4 == 0, one("extra", base)))
+    rows = x.select("k", F.inline(F.filter(each, lambda a: a.isNotNull())))  # a row is scored once for all arms
+    return pairing.side_by_side(rows, ["k"], ["base", "tuned", "served"], ["extra"]).select("k", *[F.round(c, 6).alias(c) for c in ("base", "tuned", "served", "extra")])
 
 
 @query(W + " select k from g where k % 3 = 1")

@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 
 from tallyloom.functions.stats import student_cdf, student_quantile, tail_at_least
-from tallyloom.plans import arms, scores, tables_text
+from tallyloom.plans import arms, scores, tables_runs, tables_text
 
 ORDERS, TENANTS = 4000, 2
 
@@ -137,3 +137,11 @@ def test_scoring_gets_more_tasks_not_larger_ones(spark, folder, monkeypatch):
     monkeypatch.setattr("tallyloom.tables.ROWS_A_TASK", 10 * ORDERS)
     assert arms.gold(spark, folder).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert scores.wide_scores(spark, folder).count() == ORDERS
+
+
+def test_three_arms_score_a_row_once(spark, folder):
+    rows = tables_runs.three_arms(spark, folder)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = {k: (c, c + x, 1 - c, c if k % 4 == 0 else None) for _, k, c, x in pairs() if k % 3}
+    got = {r.k: (r.base, r.tuned, r.served, r.extra) for r in rows.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
