@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from . import pairing, ranks, verdicts
 
 #: The seeds that were frozen for the environment gate, and how many cells stand at each end of the law.
@@ -41,7 +42,11 @@ def ends_gap(cells: DataFrame, base: str, delta: str, n: int = ENDS) -> DataFram
 
 
 def difficulty(cells: DataFrame, base: str = "base", delta: str = "delta") -> DataFrame:
-    """cells, spread, rho, gap, verdict of the law that harder cells gain more."""
+    """cells, spread, rho, gap, verdict of the law that harder cells gain more.
+    Cells are read several times, so they are computed and written once."""
+    at = scratch.folder(cells.sparkSession, "cells")
+    cells.select(base, delta).write.parquet(at)
+    cells = cells.sparkSession.read.parquet(at)
     size = cells.agg(F.count(F.lit(1)).alias("cells"), (F.max(base) - F.min(base)).alias("spread"))
     one = size.join(F.broadcast(ranks.rank_correlation(cells, base, delta).select("rho"))).join(F.broadcast(ends_gap(cells, base, delta)))  # a row each
     return one.withColumn("verdict", verdicts.difficulty(F.col("cells"), F.col("spread"), F.col("rho"), F.col("gap")))

@@ -71,3 +71,16 @@ def test_plans_and_frozen_seeds(spark):
     plan = splits.arm_plan(spark.createDataFrame([(1,), (2,)], "seed int"), [10, 30], ["a", "b"])
     assert sorted(map(tuple, plan.collect())) == [(k, s, a) for k in (10, 30) for s in (1, 2) for a in "ab"]
     assert [x.seed for x in gates.frozen_plan(spark, 30).collect()] == list(gates.FROZEN_SEEDS)
+
+
+def test_cells_of_the_law_are_computed_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def cells(frames):
+        for pdf in frames:
+            ran.add(len(pdf))
+            yield pdf.assign(base=pdf["id"] / 20.0, delta=1.0 - pdf["id"] / 20.0)[["base", "delta"]]
+
+    r = gates.difficulty(spark.range(20).mapInPandas(cells, "base double, delta double")).first()
+    assert (r.cells, r.rho, r.verdict) == (20, pytest.approx(-1.0), "PASS")
+    assert ran.value == 20
