@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grids import once
+
 
 def log_softmax(logits: Column) -> Column:
     """x - max - log(sum(exp(x - max)))."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.transform(logits, lambda x: x - top - F.ln(total))
+    log_total = lambda y: F.ln(F.aggregate(y, F.lit(0.0), lambda s, x: s + F.exp(x)))
+    shifted = lambda v: once(F.array_max(v), lambda top: F.transform(v, lambda x: x - top))
+    return once(once(logits, shifted), lambda y: once(log_total(y), lambda t: F.transform(y, lambda x: x - t)))
 
 
 def expansions(logits: DataFrame, by: list[str], cutoff: float, column: str = "logits") -> DataFrame:
@@ -22,15 +24,17 @@ def expansions(logits: DataFrame, by: list[str], cutoff: float, column: str = "l
 def completed_paths(steps: DataFrame, by: list[str], cutoff: float, depth: int, stop: int) -> DataFrame:
     """by, path, nll: what ``stop`` completes within ``depth`` steps (the stop
     itself left out of the path) below the summed ``cutoff``. A path ends where
-    it first stops; one that hasn't stopped by then is no candidate."""
-    at = lambda k: steps.where(F.col("step") == k).select(*by, "token", F.col("nll").alias("more"))
-    frontier = at(0).select(*by, F.array("token").alias("path"), F.col("more").alias("nll")).where(F.col("nll") < cutoff)
-    ends = lambda df: df.where(F.element_at("path", -1) == stop).select(*by, F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), "nll")
-    out = ends(frontier)
+    it first stops; one that hasn't stopped by then is no candidate, so the last
+    step is joined with the stop alone."""
+    at = lambda k, token: steps.where((F.col("step") == k) & token).select(*by, "token", F.col("nll").alias("more"))
+    stops, goes = F.col("token") == stop, F.col("token") != stop
+    first = lambda token, path: at(0, token).select(*by, path.cast("array<int>").alias("path"), F.col("more").alias("nll")).where(F.col("nll") < cutoff)
+    further = lambda k, token, path: frontier.join(at(k, token), by).where(F.col("nll") + F.col("more") < cutoff).select(*by, path.alias("path"), (F.col("nll") + F.col("more")).alias("nll"))
+    out, frontier = first(stops, F.array()), first(goes, F.array("token"))
     for k in range(1, depth):
-        going = frontier.where(F.element_at("path", -1) != stop)
-        frontier = going.join(at(k), by).where(F.col("nll") + F.col("more") < cutoff).select(*by, F.concat("path", F.array("token")).alias("path"), (F.col("nll") + F.col("more")).alias("nll"))
-        out = out.union(ends(frontier))
+        out = out.union(further(k, stops, F.col("path")))
+        if k < depth - 1:
+            frontier = further(k, goes, F.concat("path", F.array("token")))
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grids
 from ..operators import generate, search, votes
-from ..tables import table
+from ..tables import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -116,7 +116,7 @@ LOGITS = "t as (select vec_id, (i // 16)::int as step, (i % 16)::int as token, e
 
 
 def _steps(spark, d):
-    e = table(spark, d, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 4).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("step"))
+    e = spread(table(spark, d, "embeddings"), "vec_id").where(F.size("embedding") == 64).select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 4).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("step"))
     return e.select("vec_id", "step", F.slice("v", F.col("step") * 16 + 1, F.lit(16)).alias("logits"))
 
 

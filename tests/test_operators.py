@@ -137,3 +137,30 @@ def test_a_score_of_an_unknown_text_raises(spark):
     assert scoring.field_audit(texts, gold, {}, known).first().tier == "hard"
     with pytest.raises(Exception, match="isn't in the holdout"):
         scoring.field_audit(texts, gold, {}, known.union(spark.createDataFrame([("x", 1.0)], "id string, sp double"))).collect()
+
+
+def test_what_lambdas_share_is_computed_once(spark):
+    from tallyloom.functions import grids
+
+    df = spark.createDataFrame([("12\n34", [1.0, 2.0]), ("12\n3", [0.0]), ("1a", []), ("", None), (None, [5.0])], "t string, x array<double>")
+    out = df.select(grids.valid(grids.from_text(F.col("t"))).alias("v"), search.log_softmax(F.col("x")).alias("p"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(t") == 1 and plan.count("array_max(") == 1 and plan.count("aggregate(") == 1
+    rows = out.collect()
+    assert [r.v for r in rows] == [True, False, False, False, False]
+    assert [None if r.p is None else [round(z, 6) for z in r.p] for r in rows] == [[-1.313262, -0.313262], [0.0], [], None, [0.0]]
+
+
+def test_completed_paths_join_the_last_step_with_the_stop_alone(spark):
+    rows = [(q, s, t, 1.0 + ((q * 7 + s * 5 + t * 3) % 11) / 10) for q in range(3) for s in range(3) for t in range(4)]
+    steps = spark.createDataFrame(rows, "q int, step int, token int, nll double")
+    cost = {r[:3]: r[3] for r in rows}
+    want = {}
+    for q in range(3):
+        for path in [(), *[(a,) for a in range(3)], *[(a, b) for a in range(3) for b in range(3)]]:
+            total = sum(cost[q, i, t] for i, t in enumerate((*path, 3)))
+            if total < 4.25:
+                want[q, path] = round(total, 9)
+    found = search.completed_paths(steps, ["q"], 4.25, 3, 3)
+    assert {(r.q, tuple(r.path)): round(r.nll, 9) for r in found.collect()} == want and len(want) > 5
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3  # two for what ends, one for what goes on
