@@ -13,10 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.payload import candidate_key
+from ..tables import spread
 from . import votes
 from .predictor import Predictor
 
@@ -47,17 +50,22 @@ def _in_calls(chars: np.ndarray, most: int) -> Iterator[slice]:
 
 
 def _scored(pairs: DataFrame, make: Callable[[], Predictor], most: int) -> DataFrame:
+    """``pairs`` with lp and call_first. rest_ passes through as Arrow has it; the predictor doesn't see it."""
     texts = [f.name for f in pairs.schema if f.dataType.simpleString() == "string" and f.name != "text_key"]
+    seen = [c for c in pairs.columns if c != "rest_"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = make()
-        for pdf in frames:
+        for batch in batches:
+            pdf = batch.select(seen).to_pandas()
             chars = sum(pdf[c].str.len().fillna(0).to_numpy(int) for c in texts)
+            shown, lp, first = pdf.rename(columns={"text": "output"}), [np.empty(0)], np.zeros(len(pdf), bool)
             for rows in _in_calls(chars, most):
-                part = pdf.iloc[rows].reset_index(drop=True)
-                yield part.assign(lp=predictor.log_probability(part.rename(columns={"text": "output"})).astype(float), call_first=np.arange(len(part)) == 0)
+                first[rows.start] = True
+                lp.append(predictor.log_probability(shown.iloc[rows].reset_index(drop=True)).astype(float).to_numpy())
+            yield batch.append_column("lp", pa.array(np.concatenate(lp), pa.float64(), from_pandas=True)).append_column("call_first", pa.array(first))
 
-    return pairs.mapInPandas(run, pairs.select("*", F.lit(None).cast("double").alias("lp"), F.lit(False).alias("call_first")).schema)
+    return pairs.mapInArrow(run, pairs.select("*", F.lit(None).cast("double").alias("lp"), F.lit(False).alias("call_first")).schema)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -70,17 +78,31 @@ def scored_once(candidates: DataFrame, by: list[str], make: Callable[[], Predict
     log-probability of each, asked for once for each different (by, text) that
     the ``cache`` (a folder that outlives the run; by, text_key, lp, call_first)
     hasn't, and added to it. ``context``: columns that depend on ``by`` alone and
-    that the predictor reads too. Texts meet by their SHA-256, so none is
-    shuffled twice; null log-probabilities are kept as such."""
+    that the predictor reads too. Candidates are made and shuffled once: equal
+    texts of a task are one row that keeps the rest of each, and what is scored is
+    written to a folder of this run and read again, not joined with the candidates.
+    Null log-probabilities are kept as such."""
     spark = candidates.sparkSession
-    keyed = candidates.withColumn("text_key", F.sha2("text", 256))
-    # The smallest text of a key is the text: copies are dropped before they are shuffled.
-    asked = keyed.groupBy(*by, "text_key").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in context])
+    rest = [c for c in candidates.columns if c not in (*by, "text", *context)]
+    dealt = candidates.repartition(*by).withColumn("text_key", F.sha2("text", 256))
+    # The smallest text of a key is the text.
+    asked = dealt.groupBy(*by, "text_key").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in context], F.collect_list(F.struct(*rest)).alias("rest_"))
+    at, known = scratch.folder(spark, "voted"), None
     if _exists(spark, cache):
-        asked = asked.join(spark.read.parquet(cache).select(*by, "text_key"), [*by, "text_key"], "left_anti")
-    _scored(asked, make, most_chars).select(*by, "text_key", "lp", "call_first").write.mode("append").parquet(cache)
-    known = spark.read.parquet(cache).select(*by, "text_key", "lp")
-    return keyed.join(known, [*by, "text_key"]).drop("text_key")
+        asked.write.parquet(f"{at}/asked")
+        had = spark.read.parquet(cache).select(*by, "text_key", F.struct("lp").alias("had_"))
+        joined = spark.read.schema(asked.schema).parquet(f"{at}/asked").join(had, [*by, "text_key"], "left")
+        asked, known = joined.where("had_ is null").drop("had_"), joined.where("had_ is not null").withColumn("lp", F.col("had_.lp"))
+    names = [*by, "text_key", "text", *context, "rest_", "lp"]
+    fresh = _scored(asked, make, most_chars)
+    fresh.write.parquet(f"{at}/scored")
+    scored = spark.read.schema(fresh.schema).parquet(f"{at}/scored")
+    if known is not None:  # fixed before the cache grows
+        known.select(*names).write.parquet(f"{at}/known")
+        known = spark.read.schema(known.select(*names).schema).parquet(f"{at}/known")
+    scored.select(*by, "text_key", "lp", "call_first").write.mode("append").parquet(cache)
+    out = scored.select(*names) if known is None else scored.select(*names).unionByName(known)
+    return out.select(*by, "text", *context, "lp", F.inline("rest_")).select(*candidates.columns, "lp")
 
 
 def calls(spark: SparkSession, cache: str) -> DataFrame:
@@ -92,7 +114,8 @@ def top(scored: DataFrame, by: list[str], attempts: int = 1) -> DataFrame:
     """by, attempt, text, key, found_count, mean_lp: candidates (by, ordinal,
     text, lp) pooled by canonical key, the text of the largest lp for each, by
     count plus exp(mean lp); ties go to the pool that was seen first."""
-    pooled = votes.pool(scored.withColumn("key", candidate_key("text")), by, "key")
+    # Dealt by task, pools and their order need no shuffle of their own.
+    pooled = votes.pool(scored.repartition(*by).withColumn("key", candidate_key("text")), by, "key")
     return votes.ranked_by_sum(pooled, by, attempts).select(*by, "attempt", "text", "key", "found_count", "mean_lp")
 
 
@@ -100,4 +123,4 @@ def decode(prompts: DataFrame, by: list[str], make: Callable[[], Predictor], sam
     """``top`` of a pool of ``samples`` completions for each of ``prompts``. Tasks
     without a completion have no row."""
     context = [c for c in prompts.columns if c not in by]
-    return top(scored_once(pool(prompts, make, samples), by, make, cache, most_chars, context), by)
+    return top(scored_once(pool(spread(prompts, by), make, samples), by, make, cache, most_chars, context), by)

@@ -116,3 +116,22 @@ def test_voted_decode_asks_once_for_each_text_in_bounded_calls(spark, tmp_path):
     more = prompts.union(spark.createDataFrame([("c", "s")], "task string, prompt string"))
     assert voted.decode(more, ["task"], make, 5, cache).count() == 3
     assert sorted(x.split("|")[0] for f in asked.iterdir() for x in f.read_text().split("\n")) == ["a"] * 4 + ["b"] * 4 + ["c"] * 4
+
+
+def test_candidates_are_made_once_and_scores_are_not_joined_with_them(spark, tmp_path):
+    (tmp_path / "asked").mkdir()
+    made = spark.sparkContext.accumulator(0)
+
+    class Counted(Sampler):
+        def predict(self, prompts):
+            made.add(len(prompts))
+            return super().predict(prompts)
+
+    prompts = spark.createDataFrame([(f"t{i}", "p") for i in range(40)], "task string, prompt string")
+    make = lambda: Counted(str(tmp_path / "asked"))
+    for _ in range(2):  # with a cache and without
+        rows = voted.scored_once(voted.pool(prompts, make, 5), ["task"], make, str(tmp_path / "cache"), context=["prompt"])
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+        got = {(r.task, r.ordinal): (r.text, r.prompt, r.lp) for r in rows.collect()}
+        assert len(got) == 200 and got["t7", 1] == ("{\"a\":1}", "p", -0.1) and got["t7", 3] == got["t7", 4] == ("x", "p", -0.7)
+    assert made.value == 2 * 200
