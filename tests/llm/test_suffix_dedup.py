@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from tallyloom.llm.queries_dedup import op3_suffix_repeats
 from tallyloom.llm.suffix_dedup import cut_repeats
 
 SCHEMA = "doc_id long, text string, key string, p int, spans string"
@@ -68,3 +69,19 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a" * 30, "", 0, ""), (1, "a" * 30, "", 0, ""), (None, "b" * 50, "", 0, "")], SCHEMA)
     assert sorted((x.doc_id or 0, x.n_bytes, x.n_removed) for x in cut_repeats(df, 40, 8).collect()) == [(0, 50, 50), (1, 30, 0), (1, 30, 0)]
     assert cut_repeats(df.limit(0), 40, 8).count() == 0
+
+
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark, tmp_path):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    passage = lambda size: " ".join(word(5) for _ in range(size))[:size]
+    texts = []
+    for size in (399, 400, 460):
+        shared = passage(size)
+        assert len(shared.split()) > 50
+        texts += [f"{passage(300)}{i}{shared}{i}{passage(200)}" for i in (1, 2)]
+    texts.append(passage(900))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in op3_suffix_repeats(spark, str(tmp_path)).collect()}
+    assert got == brute({i: t.encode() for i, t in enumerate(texts)}, 400)
+    assert [got[i][1] for i in range(7)] == [0, 0, 400, 400, 460, 460, 0]
