@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from tallyloom.llm.measure import planted
 from tallyloom.llm.queries_dedup import op3_suffix_repeats
 from tallyloom.llm.suffix_dedup import cut_repeats
 
@@ -85,3 +86,15 @@ def test_passages_of_over_50_words_go_from_400_bytes_on(spark, tmp_path):
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in op3_suffix_repeats(spark, str(tmp_path)).collect()}
     assert got == brute({i: t.encode() for i, t in enumerate(texts)}, 400)
     assert [got[i][1] for i in range(7)] == [0, 0, 400, 400, 460, 460, 0]
+
+
+def test_planted_passages_go_by_their_bytes_and_clean_texts_stay(spark, tmp_path):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghé") for _ in range(r.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(r.randint(30, 90))) for _ in range(160)]
+    rows = [*enumerate(texts), (200, texts[0] + texts[1]), (201, texts[0] + texts[1]), (202, None), (203, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = planted(spark, str(tmp_path))
+    assert all(x["exact"] == x["holders"] == 20 and x["caught"] == x["share 400 bytes"] for x in got["by words"].values())
+    assert 0 < sum(x["caught"] for x in got["by words"].values()) < 100
+    assert got["left alone"] == got["clean"] > 0 and got["as before"] == got["others"] > 0
